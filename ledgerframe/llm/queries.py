@@ -5,19 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import pieces, toxicity
 from .common import table
+from .decontaminate import benchmark_matches
 from .minhash import near_duplicates
+from .repeats import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_words", F.expr("end_word - start_word"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_minhash_near_duplicates,)}
+    return {f.__name__: f for f in (op4_sentencepiece, op5_minhash_near_duplicates, op7_toxicity, op8_decontamination, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
