@@ -1,14 +1,50 @@
-"""From raw documents to token ids in five stages, each written as Parquet and read again as the next one's input."""
+"""From raw documents to token ids in five stages, each written as Parquet and read again as the next one's input.
 
-from __future__ import annotations
+All stages but the last return the columns of ``documents``. Null texts count as empty texts and stay; rows with a null id stay
+(no group, passage or match can name them); an empty table passes through.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerframe.llm import pieces
 from ledgerframe.llm.common import Scratch
+from ledgerframe.llm.decontaminate import clean_documents
+from ledgerframe.llm.minhash import near_duplicates
+from ledgerframe.llm.repeats import remove_repeats
+from ledgerframe.llm.toxicity import reject_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go. The score is learned from labels of the given documents."""
+    return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays; of rows that repeat an id, all or none."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay in the first document that has them and are cut from all others."""
+    return remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids with the source bytes of each piece, beside what tells the document's origin."""
+    rows = pieces.encode(docs)
+    return rows.select("doc_id", "ids", "starts", "ends", F.size("ids").cast("long").alias("n_tokens"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("repeats", repeats), ("decontamination", decontamination), ("encoding", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
