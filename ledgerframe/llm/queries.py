@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, toxicity
-from .common import table
+from . import pieces, tokenfiles, toxicity
+from .common import Scratch, table
 from .decontaminate import benchmark_matches
 from .minhash import near_duplicates
 from .repeats import repeated_passages
@@ -16,6 +16,12 @@ from .repeats import repeated_passages
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokenfiles.checksums(tokenfiles.read_tokens(spark, path))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
 
@@ -38,7 +44,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_sentencepiece, op5_minhash_near_duplicates, op7_toxicity, op8_decontamination, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_token_files, op4_sentencepiece, op5_minhash_near_duplicates, op7_toxicity, op8_decontamination, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
