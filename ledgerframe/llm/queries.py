@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, tokenfiles, toxicity
+from . import pieces, scoring, tokenfiles, toxicity
 from .common import Scratch, table
 from .decontaminate import benchmark_matches
 from .minhash import near_duplicates
@@ -22,6 +22,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(tokenfiles.read_tokens(spark, path))
 
 
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = scoring.backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
 
@@ -44,8 +49,8 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op4_sentencepiece, op5_minhash_near_duplicates, op7_toxicity, op8_decontamination, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_token_files, op2_backoff_scores, op4_sentencepiece, op5_minhash_near_duplicates, op7_toxicity, op8_decontamination, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_backoff_scores": scoring.ORACLE}
