@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, scoring, tokenfiles, toxicity
+from . import pieces, scoring, tokenfiles, toxicity, urls, vectors
 from .common import Scratch, table
 from .decontaminate import benchmark_matches
 from .minhash import near_duplicates
@@ -35,6 +35,10 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,13 +48,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_words", F.expr("end_word - start_word"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_backoff_scores, op4_sentencepiece, op5_minhash_near_duplicates, op7_toxicity, op8_decontamination, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_token_files, op2_backoff_scores, op4_sentencepiece, op5_minhash_near_duplicates, op6_url_rules, op7_toxicity, op8_decontamination, op9_near_vectors, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_backoff_scores": scoring.ORACLE}
+    return {"op2_backoff_scores": scoring.ORACLE, "op6_url_rules": urls.ORACLE, "op9_near_vectors": vectors.ORACLE}
