@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, scoring, tokenfiles, toxicity, urls, vectors
+from . import pagediff, pieces, scoring, tokenfiles, toxicity, urls, vectors
 from .common import Scratch, table
 from .decontaminate import benchmark_matches
 from .minhash import near_duplicates
@@ -27,6 +27,10 @@ def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
 
@@ -57,7 +61,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_backoff_scores, op4_sentencepiece, op5_minhash_near_duplicates, op6_url_rules, op7_toxicity, op8_decontamination, op9_near_vectors, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_token_files, op2_backoff_scores, op3_main_text, op4_sentencepiece, op5_minhash_near_duplicates, op6_url_rules, op7_toxicity, op8_decontamination, op9_near_vectors, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
