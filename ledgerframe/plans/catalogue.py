@@ -1,17 +1,503 @@
-"""Every query of the engine over the test tables, with the DuckDB SQL that gives the same rows."""
+"""Every query of the engine over the test tables, with the DuckDB SQL that gives the same rows.
+
+``events`` is a change log: user_id is the key, event_id the sequence number, event_type 'error' a tombstone. The other tables are
+keyed tables. Queries whose order matters return each row's position.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import binpack, hashing
+from ..functions.expr import Capture, Col, Expr, Lit, compile_predicate
+from ..functions.ordering import key_order
+from ..operators import history, lookups, state, stats
+from ..operators.table import Database
+from ..sources.workspace import workspace
+from ..streaming.replicate import deduplicated, missing, replicate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The past that time-travel queries look at.
+THEN = 700
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", "D").otherwise("P").alias("op")
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op, "user_id", "event_type", "value")
+
+
+KEY = ["user_id"]
+LOG = "log AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op, user_id, event_type, value FROM events)"
+
+
+def _newest(source: str, where: str = "TRUE", alive: bool = True) -> str:
+    """SQL: the newest row of each user in ``source``."""
+    return f"SELECT seq, op, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM {source} WHERE {where}) WHERE rn = 1" + (" AND op <> 'D'" if alive else "")
+
+
+# --- scans, lookups, counts ------------------------------------------------------------------------------------------
+
+
+@_query("SELECT * FROM customer WHERE c_custkey = 42")
+def point_get(spark, d):
+    return _table(spark, d, "customer").where(F.col("c_custkey") == 42)
+
+
+@_query("SELECT count(*) > 0 AS found, (SELECT count(*) > 0 FROM customer WHERE c_custkey = -1) AS absent FROM customer WHERE c_custkey = 42")
+def exists_key(spark, d):
+    c = _table(spark, d, "customer").select("c_custkey")
+    return c.agg(F.coalesce(F.bool_or(F.col("c_custkey") == 42), F.lit(False)).alias("found"), F.coalesce(F.bool_or(F.col("c_custkey") == -1), F.lit(False)).alias("absent"))
+
+
+@_query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders")
+def scan_all_pos(spark, d):
+    return lookups.with_position(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+
+
+@_query("SELECT *, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer WHERE c_custkey >= 100")
+def scan_from(spark, d):
+    return lookups.with_position(lookups.in_range(_table(spark, d, "customer"), ["c_custkey"], (100,)), ["c_custkey"])
+
+
+@_query("SELECT *, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer WHERE c_custkey >= 50 AND c_custkey < 90")
+def scan_range(spark, d):
+    return lookups.with_position(lookups.in_range(_table(spark, d, "customer"), ["c_custkey"], (50,), (90,)), ["c_custkey"])
+
+
+@_query("SELECT p_name, p_partkey, row_number() OVER (ORDER BY strlen(p_name), encode(p_name), p_partkey) AS pos FROM part")
+def scan_string_pk_order(spark, d):
+    return lookups.with_position(_table(spark, d, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"])
+
+
+@_query("SELECT s_name, s_suppkey FROM supplier WHERE (strlen(s_name), encode(s_name)) >= (18, encode('Supplier#000000003')) AND (strlen(s_name), encode(s_name)) < (18, encode('Supplier#000000008'))")
+def scan_string_range(spark, d):
+    return lookups.in_range(_table(spark, d, "supplier").select("s_name", "s_suppkey"), ["s_name"], ("Supplier#000000003",), ("Supplier#000000008",))
+
+
+@_query("SELECT c_custkey - 70 AS k, row_number() OVER (ORDER BY c_custkey < 70, c_custkey) AS pos FROM customer")
+def scan_signed_pk_order(spark, d):
+    return lookups.with_position(_table(spark, d, "customer").select((F.col("c_custkey") - 70).alias("k")), ["k"])
+
+
+@_query("SELECT k FROM (SELECT c_custkey - 70 AS k FROM customer) WHERE k >= 5 OR k < -20")
+def scan_signed_range(spark, d):
+    keys = _table(spark, d, "customer").select((F.col("c_custkey") - 70).alias("k"))
+    return lookups.in_range(keys, ["k"], (5,), (-20,))
+
+
+@_query("SELECT c_acctbal, c_custkey, row_number() OVER (ORDER BY c_acctbal < 0, abs(c_acctbal), c_custkey) AS pos FROM customer")
+def scan_double_pk_order(spark, d):
+    return lookups.with_position(_table(spark, d, "customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"])
+
+
+@_query("SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS pos FROM conversations")
+def scan_composite_pk(spark, d):
+    return lookups.with_position(_table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+
+
+@_query("SELECT encode(c_name) AS key, encode(c_mktsegment) AS value FROM customer WHERE encode(c_name) >= encode('Customer#000000010') AND encode(c_name) < encode('Customer#000000020')")
+def raw_range_scan(spark, d):
+    raw = _table(spark, d, "customer").select(F.encode("c_name", "UTF-8").alias("key"), F.encode("c_mktsegment", "UTF-8").alias("value"))
+    return raw.where((F.col("key") >= F.lit(b"Customer#000000010")) & (F.col("key") < F.lit(b"Customer#000000020")))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+def filter_one(spark, d):
+    return _table(spark, d, "orders").where(F.col("o_totalprice") > 200000).select("o_orderkey", "o_totalprice")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
+def filter_two(spark, d):
+    return _table(spark, d, "orders").where(F.col("o_totalprice") > 100000).where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_totalprice")
+
+
+@_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10")
+def filter_limit(spark, d):
+    rows = _table(spark, d, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus")
+    return lookups.first_rows(rows, ["o_orderkey"], 10)
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 ORDER BY o_orderkey LIMIT 1")
+def filter_first(spark, d):
+    rows = _table(spark, d, "orders").where(F.col("o_totalprice") > 150000).select("o_orderkey", "o_totalprice")
+    return lookups.first_rows(rows, ["o_orderkey"], 1)
+
+
+@_query("SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 1e12")
+def filter_any(spark, d):
+    return _table(spark, d, "orders").agg(F.coalesce(F.bool_or(F.col("o_totalprice") > 1e12), F.lit(False)).alias("found"))
+
+
+@_query("SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'")
+def filter_count(spark, d):
+    return _table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n FROM lineitem")
+def table_count(spark, d):
+    return _table(spark, d, "lineitem").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
+def range_count(spark, d):
+    return lookups.in_range(_table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], (100,), (900,)).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT c.c_custkey, c.c_name, c.c_acctbal FROM customer c JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 15 = 0) p ON p.o_custkey = c.c_custkey")
+def batched_point_lookup(spark, d):
+    probes = _table(spark, d, "orders").where(F.col("o_orderkey") % 15 == 0).select(F.col("o_custkey").alias("c_custkey"))
+    return lookups.lookup(_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], probes)
+
+
+@_query("SELECT * FROM customer WHERE c_name = 'Customer#000000042'")
+def find_by_unique(spark, d):
+    rows = _table(spark, d, "customer")
+    return lookups.find_by(rows.withColumn("seq", F.col("c_custkey")), "c_name", "Customer#000000042").drop("seq")
+
+
+@_query("SELECT c_mktsegment, max(c_custkey) AS c_custkey FROM customer GROUP BY c_mktsegment")
+def find_by_last_wins(spark, d):
+    return lookups.unique_index(_table(spark, d, "customer").withColumn("seq", F.col("c_custkey")), "c_mktsegment", ["c_custkey"])
+
+
+@_query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 7")
+def find_all_by(spark, d):
+    return lookups.find_all_by(_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", 7)
+
+
+# --- state, history ---------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {LOG} {_newest('log')}")
+def current_state(spark, d):
+    return state.current(_log(spark, d), KEY)
+
+
+@_query(f"WITH {LOG} {_newest('log', f'seq <= {THEN}')}")
+def as_of_state(spark, d):
+    return state.as_of(_log(spark, d), KEY, THEN)
+
+
+@_query(f"WITH {LOG} {_newest('log', alive=False)}")
+def tombstones_kept(spark, d):
+    return state.latest(_log(spark, d), KEY)
+
+
+@_query(f"WITH {LOG} {_newest('log', f'seq <= {THEN} AND user_id IN (3, 5, 8)')}")
+def get_at(spark, d):
+    return history.get_at(_log(spark, d), KEY, F.col("user_id").isin(3, 5, 8), THEN)
+
+
+@_query(f"WITH {LOG} SELECT *, row_number() OVER (ORDER BY seq) AS version FROM log WHERE user_id = 3")
+def history_key(spark, d):
+    from ..functions.numbering import numbered
+
+    return numbered(history.history(_log(spark, d), F.col("user_id") == 3), [F.col("seq")], "version")
+
+
+_TARGETS = f"""targets AS (SELECT a.user_id, coalesce(b.op, 'D') AS op, CASE WHEN b.op = 'P' THEN b.event_type END AS event_type, CASE WHEN b.op = 'P' THEN b.value END AS value
+FROM (SELECT user_id FROM log GROUP BY user_id HAVING max(seq) > {THEN}) a LEFT JOIN ({_newest('log', f'seq <= {THEN}', False)}) b USING (user_id))"""
+
+
+@_query(f"WITH {LOG}, {_TARGETS} SELECT * FROM targets")
+def rollback_targets(spark, d):
+    return history.rollback_targets(_log(spark, d), KEY, THEN)
+
+
+_ROLLED = f"""rolled AS (SELECT (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY user_id) AS seq, op, user_id, event_type, value FROM targets),
+after AS (SELECT * FROM log UNION ALL SELECT * FROM rolled)"""
+
+
+@_query(f"WITH {LOG}, {_TARGETS}, {_ROLLED} {_newest('after')}")
+def rollback_to_state(spark, d):
+    log = _log(spark, d)
+    rows = history.rollback_rows(log, KEY, THEN, key_order(log.schema, KEY))
+    return state.current(log.unionByName(rows.select(*log.columns)), KEY)
+
+
+@_query(f"""WITH {LOG}, one AS (SELECT (SELECT max(seq) FROM log) + 1 AS seq, coalesce(max(op), 'D') AS op, 3 AS user_id, max(event_type) AS event_type, max(value) AS value FROM ({_newest('log', f'seq <= {THEN} AND user_id = 3')})),
+after AS (SELECT * FROM log UNION ALL SELECT * FROM one) {_newest('after')}""")
+def rollback_key_state(spark, d):
+    log = _log(spark, d)
+    rows = history.rollback_rows(log, KEY, THEN, key_order(log.schema, KEY), F.col("user_id") == 3)
+    return state.current(log.unionByName(rows.select(*log.columns)), KEY)
+
+
+@_query(f"WITH {LOG} SELECT * FROM log WHERE seq >= {THEN} OR seq IN (SELECT max(seq) FROM log WHERE seq < {THEN} GROUP BY user_id)")
+def prune_before(spark, d):
+    return history.prune_before(_log(spark, d), KEY, THEN)
+
+
+@_query(f"WITH {LOG} SELECT * FROM log WHERE seq >= {THEN}")
+def prune_before_all(spark, d):
+    return history.prune_before(_log(spark, d), KEY, THEN, keep_newest=False)
+
+
+@_query(f"SELECT count(*) AS removed FROM events WHERE event_id < {THEN}")
+def prune_removed_count(spark, d):
+    return _log(spark, d).where(F.col("seq") < THEN).agg(F.count("*").alias("removed"))
+
+
+@_query(f"""WITH {LOG}, old AS ({_newest('log', f'seq <= {THEN}', False)}), new AS ({_newest('log', f'seq > {THEN}', False)})
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM new)""")
+def overlay_merge(spark, d):
+    log = _log(spark, d)
+    return state.overlay(state.latest(log.where(F.col("seq") <= THEN), KEY), state.latest(log.where(F.col("seq") > THEN), KEY), KEY)
+
+
+@_query(f"WITH {LOG} {_newest('log')}")
+def compact_base_delta(spark, d):
+    log = _log(spark, d)
+    base = state.compact([log.where(F.col("seq") <= THEN)], KEY, bottom=True)
+    return state.compacted_state(base, log.where(F.col("seq") > THEN), KEY)
+
+
+@_query(f"WITH {LOG} {_newest('log', alive=False)}")
+def compact_upper_level(spark, d):
+    log = _log(spark, d)
+    runs = [log.where(F.col("seq") % 3 == i) for i in range(3)]
+    return state.compact(runs, KEY, bottom=False)
+
+
+@_query(f"""WITH {LOG}, probes AS (SELECT o_orderkey AS probe_id, o_custkey AS user_id, o_orderkey % 1000 AS t FROM orders WHERE o_orderkey % 7 = 0)
+SELECT probe_id, p.user_id, t, l.seq, l.op, l.event_type, l.value FROM probes p ASOF LEFT JOIN log l ON p.user_id = l.user_id AND p.t >= l.seq""")
+def probe_asof_join(spark, d):
+    probes = _table(spark, d, "orders").where(F.col("o_orderkey") % 7 == 0)
+    probes = probes.select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 1000).alias("t"))
+    return history.probe_as_of(_log(spark, d), KEY, probes, "t", "probe_id")
+
+
+# --- writes -----------------------------------------------------------------------------------------------------------
+
+
+def _append(log: DataFrame, rows: DataFrame) -> DataFrame:
+    from ..functions.numbering import numbered
+
+    last = log.agg(F.max("seq").alias("seq")).first()["seq"]
+    return log.unionByName(numbered(rows, key_order(rows.schema, KEY), "seq", last + 1).select(*log.columns))
+
+
+_NEXT = "(SELECT max(seq) FROM log) + row_number() OVER (ORDER BY user_id) AS seq"
+
+
+@_query(f"WITH {LOG}, puts AS (SELECT {_NEXT}, 'P' AS op, c_custkey AS user_id, c_mktsegment AS event_type, c_acctbal AS value FROM (SELECT *, c_custkey AS user_id FROM customer WHERE c_custkey <= 20)), after AS (SELECT * FROM log UNION ALL SELECT * FROM puts) {_newest('after')}")
+def put_batch(spark, d):
+    rows = _table(spark, d, "customer").where("c_custkey <= 20").select(F.lit("P").alias("op"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_acctbal").alias("value"))
+    return state.current(_append(_log(spark, d), rows), KEY)
+
+
+@_query(f"WITH {LOG}, gone AS (SELECT {_NEXT}, 'D' AS op, user_id, NULL AS event_type, NULL AS value FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 4 = 0)), after AS (SELECT * FROM log UNION ALL SELECT * FROM gone) {_newest('after')}")
+def remove_batch(spark, d):
+    rows = _table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.lit("D").alias("op"), F.col("c_custkey").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    return state.current(_append(_log(spark, d), rows), KEY)
+
+
+@_query(f"""WITH {LOG}, cur AS ({_newest('log')}), ups AS (SELECT {_NEXT}, 'P' AS op, user_id, event_type, coalesce(value, 0) + 1 AS value FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey <= 30) LEFT JOIN cur USING (user_id)),
+after AS (SELECT * FROM log UNION ALL SELECT seq, op, user_id, event_type, value FROM ups) {_newest('after')}""")
+def upsert_batch(spark, d):
+    log = _log(spark, d)
+    probes = _table(spark, d, "customer").where("c_custkey <= 30").select(F.col("c_custkey").alias("user_id"))
+    rows = lookups.upsert_rows(state.current(log, KEY), KEY, probes, {"value": F.coalesce("value", F.lit(0.0)) + 1})
+    return state.current(_append(log, rows.withColumn("op", F.lit("P"))), KEY)
+
+
+@_query("SELECT doc_id, CASE WHEN strlen(text) < 16384 THEN text END AS text, CASE WHEN strlen(text) >= 16384 THEN doc_id END AS blob_id, CASE WHEN strlen(text) >= 16384 THEN strlen(text) END AS bytes FROM documents")
+def blob_split(spark, d):
+    inline, _ = lookups.split_blobs(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+    return inline.select("doc_id", "text", F.col("text_blob.blob_id").alias("blob_id"), F.col("text_blob.bytes").alias("bytes"))
+
+
+@_query("SELECT page_id, html FROM pages")
+def blob_deref(spark, d):
+    inline, blobs = lookups.split_blobs(_table(spark, d, "pages").select("page_id", "html"), "html", "page_id")
+    return lookups.join_blobs(inline, blobs, "html")
+
+
+@_query("SELECT doc_id AS blob_id, strlen(text) AS bytes FROM documents WHERE strlen(text) >= 16384 AND doc_id % 2 = 1")
+def blob_orphans(spark, d):
+    inline, blobs = lookups.split_blobs(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+    found = lookups.blob_orphans(blobs, inline.where("doc_id % 2 = 0"), "text")
+    return found.select("blob_id", F.octet_length("value").cast("long").alias("bytes"))
+
+
+# --- predicates -------------------------------------------------------------------------------------------------------
+
+#: Rows with every kind of value, some null, some NaN, some beyond 2**53.
+_ENTITY = """e AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS flag, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 10 END AS opt, 9007199254740992 + c_custkey % 4 AS big,
+CASE WHEN c_custkey % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE c_acctbal END AS d, c_mktsegment AS s, CASE WHEN c_custkey % 5 > 0 THEN [c_mktsegment, NULL] END AS tags,
+CASE WHEN c_custkey % 6 > 0 THEN map {c_mktsegment: c_custkey} END AS scores, {'city': c_mktsegment, 'zip': c_name} AS address FROM customer)"""
+
+
+def _entity(spark: SparkSession, d: str) -> DataFrame:
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    return _table(spark, d, "customer").select(
+        k.alias("id"), (k % 2 == 0).alias("flag"), F.when(k % 3 > 0, k % 10).alias("opt"), (F.lit(2**53) + k % 4).alias("big"),
+        F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("d"), seg.alias("s"), F.when(k % 5 > 0, F.array(seg, F.lit(None).cast("string"))).alias("tags"),
+        F.when(k % 6 > 0, F.create_map(seg, k)).alias("scores"), F.struct(seg.alias("city"), F.col("c_name").alias("zip")).alias("address"),
+    )
+
+
+def _predicate(name: str, expr: Expr, where: str, captures: tuple = (), **options: bool) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = _entity(spark, d)
+        return rows.where(compile_predicate(expr, rows.schema, captures, **options)).select("id")
+
+    run.__name__ = name
+    _query(f"WITH {_ENTITY} SELECT id FROM e WHERE {where}")(run)
+
+
+c = Col
+_predicate("expr_eq_null", c("opt") == Lit(None), "opt IS NULL")
+_predicate("expr_eq_value", c("opt") == 4, "opt = 4")
+_predicate("expr_neq_null", c("opt") != 4, "opt IS DISTINCT FROM 4")
+_predicate("expr_int_double", (c("opt") == 4.0) | (c("id") == 9), "id = 9")
+_predicate("expr_nan", c("d") == c("d"), "NOT isnan(d)")
+_predicate("expr_nan_order", (c("d") > 0.0) | (c("d") <= 0.0), "NOT isnan(d)")
+_predicate("expr_cmp_double_cast", c("big") > 2**53, "CAST(big AS DOUBLE) > 9007199254740992.0")
+_predicate("expr_cmp_exact_ints", c("big") > 2**53, "big > 9007199254740992", exact_ints=True)
+_predicate("expr_cmp_null_lenient", c("opt") > 3, "coalesce(opt > 3, FALSE)")
+_predicate("expr_string_cmp", (c("s") >= "B") & (c("s") < "H"), "s >= 'B' AND s < 'H'")
+_predicate("expr_and_or", ((c("opt") == 1) & c("flag")) | (c("s") == "BUILDING") & ~c("flag"), "(coalesce(opt = 1, FALSE) AND flag) OR (s = 'BUILDING' AND NOT flag)")
+_predicate("expr_and_non_bool", (c("opt") & c("flag")) | (c("id") == 3), "id = 3")
+_predicate("expr_short_circuit", c("opt").is_null() | (c("opt") > 5), "opt IS NULL OR opt > 5")
+_predicate("expr_not", ~(c("s") == "BUILDING"), "s <> 'BUILDING'")
+_predicate("expr_not_error", ~(c("opt") > 3), "opt <= 3")
+_predicate("expr_in_list", Lit("BUILDING").is_in(c("tags")), "coalesce(list_contains(tags, 'BUILDING'), FALSE)")
+_predicate("expr_in_list_null", Lit(None).is_in(c("tags")), "tags IS NOT NULL")
+_predicate("expr_not_in_null", Lit("BUILDING").not_in(c("tags")), "NOT coalesce(list_contains(tags, 'BUILDING'), FALSE)")
+_predicate("expr_in_map", Lit("MACHINERY").is_in(c("scores")), "scores IS NOT NULL AND s = 'MACHINERY'")
+_predicate("expr_map_get", c("scores").get("MACHINERY") > 50, "scores IS NOT NULL AND s = 'MACHINERY' AND id > 50")
+_predicate("expr_map_get_missing", c("scores").get("none").is_null() & (c("id") < 50), "id < 50")
+_predicate("expr_is_null", c("opt").is_null() & c("d").is_not_null(), "opt IS NULL AND d IS NOT NULL")
+_predicate("expr_nested_path", c("address.city") == "AUTOMOBILE", "address.city = 'AUTOMOBILE'")
+_predicate("expr_missing_column", c("address").is_null() & c("none").is_null() & (c("id") <= 10), "id <= 10")
+_predicate("expr_capture", (c("id") >= Capture(0)) & (c("s") == Capture(1)), "id >= 40 AND s = 'FURNITURE'", (40, "FURNITURE"))
+_predicate("expr_strict", (c("id") > 10) & (c("id") < 20), "id > 10 AND id < 20", strict=True)
+del c
+
+
+# --- replication, statistics, codec, whole tables --------------------------------------------------------------------
+
+
+@_query(f"WITH {LOG} {_newest('log')}")
+def replica_replay(spark, d):
+    return state.current(missing(_log(spark, d), -1), KEY)
+
+
+@_query(f"WITH {LOG} SELECT * FROM log WHERE seq > {THEN}")
+def replica_resume(spark, d):
+    return missing(_log(spark, d), THEN)
+
+
+@_query(f"WITH {LOG} SELECT * FROM log")
+def replica_dedup(spark, d):
+    log = _log(spark, d)
+    return deduplicated(log.unionByName(log.where(F.col("seq") % 3 == 0)))
+
+
+@_query(f"WITH {LOG} SELECT count(*) AS writes, count(*) FILTER (op = 'P') AS puts, count(*) FILTER (op = 'D') AS deletes, max(seq) AS last_seq, (SELECT count(*) FROM n) AS keys, (SELECT count(*) FROM n WHERE op <> 'D') AS live_keys, (SELECT count(*) FROM n WHERE op = 'D') AS tombstones FROM log".replace("SELECT count(*) AS writes", f", n AS ({_newest('log', alive=False)}) SELECT count(*) AS writes", 1))
+def log_stats(spark, d):
+    return stats.log_stats(_log(spark, d), KEY)
+
+
+@_query(f"SELECT CASE WHEN event_id <= {THEN} THEN 1 ELSE 0 END AS level, count(*) AS rows, min(event_id) AS min_seq, max(event_id) AS max_seq FROM events GROUP BY 1")
+def level_stats(spark, d):
+    rows = _log(spark, d).withColumn("level", F.when(F.col("seq") <= THEN, 1).otherwise(0))
+    files = rows.groupBy("level").agg(F.count("*").alias("rows"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.lit(0).cast("long").alias("bytes"))
+    return stats.level_stats(files).select("level", "rows", "min_seq", "max_seq")
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def binpack_roundtrip(spark, d):
+    rows = _table(spark, d, "customer")
+    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    packed = rows.select(binpack.encoded(F.struct(*rows.columns), kind).alias("packed"))
+    return packed.select(binpack.decoded(F.col("packed"), kind).alias("r")).select("r.*")
+
+
+@_query("SELECT p_partkey, encode(p_name[1:8]) AS mini FROM part WHERE p_name = regexp_replace(p_name, '[^\\x00-\\x7F]', '', 'g')")
+def mini_keys(spark, d):
+    return _table(spark, d, "part").where(~F.col("p_name").rlike("[^\\x00-\\x7F]")).select("p_partkey", hashing.mini_key(F.encode("p_name", "UTF-8")).alias("mini"))
+
+
+@_query("SELECT page_id, replace(url, '/', ' ') AS decoded FROM pages WHERE url NOT LIKE '%\\%%' ESCAPE '\\' AND url NOT LIKE '%+%'")
+def percent_decoding(spark, d):
+    pages = _table(spark, d, "pages").where("not contains(url, '%') and not contains(url, '+')")
+    return pages.select("page_id", hashing.percent_decode(F.regexp_replace("url", "/", "%20")).alias("decoded"))
+
+
+@_query("WITH f AS (SELECT o_custkey % 50 AS file, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE o_orderkey // 100 = o_custkey % 50 GROUP BY 1) SELECT file FROM f WHERE last >= 300 AND first < 900")
+def file_pruning(spark, d):
+    orders = _table(spark, d, "orders").withColumn("file", F.col("o_custkey") % 50).where(F.floor(F.col("o_orderkey") / 100) == F.col("file"))
+    files = orders.groupBy("file").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    return files.where(hashing.ranges_overlap(F.col("first"), F.col("last"), 300, 900)).select("file")
+
+
+_SEGMENTS = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 5 <> 0"
+
+
+@_query(_SEGMENTS)
+def table_lifecycle(spark, d):
+    """A table on storage: put, change, remove, compact, read."""
+    rows = _table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    t = Database(spark, workspace(spark, "database")).table("customer", rows.schema, "c_custkey")
+    t.put(rows)
+    t.put(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")))
+    t.remove(rows.where("c_custkey % 5 = 0"))
+    t.compact()
+    return t.rows()
+
+
+@_query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+def table_rollback(spark, d):
+    """A table on storage: put, change, roll back, read."""
+    rows = _table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    t = Database(spark, workspace(spark, "database")).table("customer", rows.schema, "c_custkey")
+    then = t.put(rows)
+    t.put(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")))
+    t.remove(rows.where("c_custkey % 5 = 0"))
+    t.rollback_to(then)
+    return t.rows()
+
+
+@_query(_SEGMENTS)
+def replica_stream(spark, d):
+    """A primary's batches streamed to a replica."""
+    rows = _table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    root = workspace(spark, "replication")
+    primary, replica = (Database(spark, f"{root}/{x}").table("customer", rows.schema, "c_custkey") for x in ("primary", "replica"))
+    primary.put(rows)
+    primary.put(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")))
+    primary.remove(rows.where("c_custkey % 5 = 0"))
+    replicate(spark, primary.changes, replica.changes, f"{root}/checkpoint", 4).awaitTermination()
+    return replica.rows()
