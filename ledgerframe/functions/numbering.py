@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1, part
     """``df`` with ``name``: start, start + 1, ... in ``order``, which should leave no ties.
 
     Rows are dealt to ranges and sorted there; a range's first number is the sum of the counts before it (one row per range,
-    so the one window over all of them is small). Both uses of the ranges read one exchange.
+    so the one window over all of them is small). The ranges are kept, because dealing the rows out again would sample
+    other bounds; a lost part is made again within the same bounds.
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -21,6 +23,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1, part
     ranged = df.select("*", *keys).repartitionByRange(n, *names).sortWithinPartitions(*names)
     ranged = ranged.select(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id().alias("__id"))
     ranged = ranged.withColumn("__part", F.shiftright("__id", _ROW_BITS)).withColumn("__row", F.col("__id").bitwiseAND((1 << _ROW_BITS) - 1))
+    ranged = ranged.persist(StorageLevel.DISK_ONLY)
     sums = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sums.select("__part", before.cast("long").alias("__base"))

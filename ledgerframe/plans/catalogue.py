@@ -99,7 +99,7 @@ def scan_string_pk_order(spark, d):
     return lookups.with_position(_table(spark, d, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"])
 
 
-@_query("SELECT s_name, s_suppkey FROM supplier WHERE (strlen(s_name), encode(s_name)) >= (18, encode('Supplier#000000003')) AND (strlen(s_name), encode(s_name)) < (18, encode('Supplier#000000008'))")
+@_query("SELECT s_name, s_suppkey FROM supplier WHERE strlen(s_name) = 18 AND encode(s_name) >= encode('Supplier#000000003') AND encode(s_name) < encode('Supplier#000000008')")
 def scan_string_range(spark, d):
     return lookups.in_range(_table(spark, d, "supplier").select("s_name", "s_suppkey"), ["s_name"], ("Supplier#000000003",), ("Supplier#000000008",))
 
