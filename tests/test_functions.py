@@ -93,7 +93,10 @@ def test_hashes():
     assert hashing.next_prefix(hashing.be64(255)) == hashing.be64(256) and hashing.from_be64(hashing.be64(7)) == 7
 
 
-KIND = T._parse_datatype_string("a long not null, b string, c array<int>, d map<string,double>, e struct<x:boolean,y:binary>, f double not null")
+KIND = (
+    T.StructType().add("a", T.LongType(), False).add("b", T.StringType()).add("c", T.ArrayType(T.IntegerType())).add("d", T.MapType(T.StringType(), T.DoubleType()))
+    .add("e", T.StructType().add("x", T.BooleanType()).add("y", T.BinaryType())).add("f", T.DoubleType(), False)
+)
 
 
 @settings(max_examples=60, deadline=None)
