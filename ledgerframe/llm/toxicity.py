@@ -1,7 +1,8 @@
 """Toxic documents: Levenshtein automata intersected with a lexicon trie, and context windows around what they catch.
 
 1. The lexicon is learned from labelled rows: stems (word beginnings, whole words included) that mark toxic documents and hardly ever
-   others. Of nested stems the longest that loses no documents stays.
+   others. Of nested stems the longest that loses no documents stays. A stem whose near words stand in clean documents too is
+   caught exactly only.
 2. One automaton walks the trie of all stems with up to one or two edits at once (its states are sets of trie nodes and edits, made
    deterministic as they are met). A word is caught exactly when it begins with a stem, or fuzzily when as a whole it is
    within the allowed edits of one: one from ``FUZZY_LETTERS`` letters on, two from twice as many minus two.
@@ -42,12 +43,13 @@ N_FEATURES = 6
 class Automaton:
     """The trie of the stems under a Levenshtein automaton; ``catch`` tells 2 (begins with a stem), 1 (within the edits of one) or 0."""
 
-    def __init__(self, stems: list[str]) -> None:
+    def __init__(self, stems: list[str], exact_only: frozenset[str] = frozenset()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.allowed = [0]  # the most edits of any stem below a node
         self.stem = [0]  # the edits a stem that ends here allows, plus one; 0: none ends here
+        self.name = [""]
         for stem in stems:
-            edits = (len(stem) >= FUZZY_LETTERS) + (len(stem) >= 2 * FUZZY_LETTERS - 2)
+            edits = 0 if stem in exact_only else (len(stem) >= FUZZY_LETTERS) + (len(stem) >= 2 * FUZZY_LETTERS - 2)
             node = 0
             self.allowed[0] = max(self.allowed[0], edits)
             for c in stem:
@@ -56,15 +58,16 @@ class Automaton:
                     self.children.append({})
                     self.allowed.append(0)
                     self.stem.append(0)
+                    self.name.append("")
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], edits)
-            self.stem[node] = edits + 1
+            self.stem[node], self.name[node] = edits + 1, stem
         self.letters = {c for x in self.children for c in x}
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.exact: list[bool] = []
-        self.fuzzy: list[bool] = []
+        self.fuzzy: list[tuple[str, ...]] = []  # the stems that a whole word ending here is near to
         self.dead = self._state({})
         self.start = self._state({0: 0})
 
@@ -84,7 +87,7 @@ class Automaton:
             self.sets.append(key)
             self.next.append({})
             self.exact.append(any(e == 0 and self.stem[n] for n, e in key))
-            self.fuzzy.append(any(e < self.stem[n] for n, e in key))
+            self.fuzzy.append(tuple(sorted(self.name[n] for n, e in key if e < self.stem[n])))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -98,7 +101,17 @@ class Automaton:
                     cost[child] = min(cost.get(child, 9), e)
         return self._state(cost)
 
+    def near(self, word: str) -> tuple[str, ...]:
+        """The stems that the whole word is within the edits of, if it begins with none."""
+        state = self._walk(word)
+        return () if state is None else self.fuzzy[state]
+
     def catch(self, word: str) -> int:
+        state = self._walk(word)
+        return 2 if state is None else int(bool(self.fuzzy[state]))
+
+    def _walk(self, word: str) -> int | None:
+        """The state behind a word; None: it begins with a stem."""
         state = self.start
         for c in word:
             if c not in self.letters:
@@ -109,17 +122,17 @@ class Automaton:
                 after = following[c] = self._step(state, c)
             state = after
             if state == self.dead:
-                return 0
+                break
             if self.exact[state]:
-                return 2
-        return int(self.fuzzy[state])
+                return None
+        return state
 
 
 class Reader:
     """Texts to features, with the verdicts on recent words kept (their number is bounded)."""
 
-    def __init__(self, stems: list[str]) -> None:
-        self.automaton = Automaton(stems)
+    def __init__(self, stems: list[str], exact_only: frozenset[str] = frozenset()) -> None:
+        self.automaton = Automaton(stems, exact_only)
         self.caught: dict[str, int] = {}
         self.known: set[str] = set()
 
@@ -152,12 +165,12 @@ class Reader:
                 addressed = not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
                 places.append((i, self.caught[w], quoted, addressed))
             i += 1
-        exact = sum(k == 2 and not z for _, k, z, _ in places)
+        caught = sum(not z for _, _, z, _ in places)
         fuzzy = sum(k == 1 and not z for _, k, z, _ in places)
         quoted = sum(z for _, _, z, _ in places)
         addressed = sum(a and not z for _, _, z, a in places)
         close = sum(b[0] - a[0] <= WINDOW for a, b in pairwise(x for x in places if not x[2]))
-        return tuple(math.log1p(x) for x in (exact, fuzzy, quoted, addressed, close, 100 * exact / len(words)))
+        return tuple(math.log1p(x) for x in (caught, fuzzy, quoted, addressed, close, 100 * caught / len(words)))
 
 
 def held_out(doc_id):
@@ -195,9 +208,23 @@ def _lexicon(rows: list, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(chosen, key=lambda t: (-by[t][0], t))[:MAX_STEMS]
 
 
-def _read(stems):
+def _near(stems):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many toxic and other documents of a slice have a word near each stem."""
+        automaton = Automaton(stems.value)
+        for batch in slices(batches, 1, 4 << 20):
+            counts = (Counter(), Counter())
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[toxic].update({s for w in set(_WORD.findall((text or "").lower())) for s in automaton.near(w)})
+            terms = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "clean", "toxic"])
+
+    return run
+
+
+def _read(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(stems.value)
+        reader = Reader(*model.value)
         for batch in slices(batches, 1):
             found = [reader.features(t) if t else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["toxic", "features"])
@@ -223,8 +250,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
 class Model:
     """Stems and weights; no stems: nothing was learned and every score is 0."""
 
-    def __init__(self, stems: list[str], weights: list[float]) -> None:
-        self.stems, self.weights = stems, weights
+    def __init__(self, stems: list[str], exact_only: frozenset[str], weights: list[float]) -> None:
+        self.stems, self.exact_only, self.weights = stems, exact_only, weights
+
+    def reader(self) -> Reader:
+        return Reader(self.stems, self.exact_only)
 
     def score(self, features: tuple[float, ...] | None) -> float:
         if not self.stems:
@@ -246,21 +276,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     rows = scratch.write(texts.join(F.broadcast(labels), "doc_id").select("toxic", "text"), "sample")  # at most sample_rows small rows
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
-        return Model([], [])
+        return Model([], frozenset(), [])
     least = max(3, size[1] // 200)
     terms = rows.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     best = terms.where((F.col("toxic") >= least) & (F.col("toxic") / size[1] >= 30 * (F.col("clean") + 0.5) / size[0])).orderBy(F.desc("toxic"), "term").limit(50 * MAX_STEMS)
     stems = _lexicon(best.collect(), size[1], size[0])
     if not stems:
-        return Model([], [])
-    found = rows.mapInArrow(_read(spark.sparkContext.broadcast(stems)), "toxic int, features array<double>").collect()
+        return Model([], frozenset(), [])
+    near = rows.mapInArrow(_near(spark.sparkContext.broadcast(stems)), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    exact_only = frozenset(r["term"] for r in near if r["clean"] > max(1, size[0] // 5000) and r["toxic"] / size[1] < 30 * r["clean"] / size[0])
+    found = rows.mapInArrow(_read(spark.sparkContext.broadcast((stems, exact_only))), "toxic int, features array<double>").collect()
     x = np.array([r["features"] or [0.0] * N_FEATURES for r in found])
-    return Model(stems, fit_weights(x, np.array([r["toxic"] for r in found])).tolist())
+    return Model(stems, exact_only, fit_weights(x, np.array([r["toxic"] for r in found])).tolist())
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.value.stems)
+        reader = model.value.reader()
         for batch in slices(batches, 1):
             scores = [model.value.score(reader.features(t) if t else None) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != 1), pa.array(scores, pa.float64())], [*(c for i, c in enumerate(batch.schema.names) if i != 1), "score"])
@@ -284,7 +316,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sam
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value.stems)
+        reader = shared.value.reader()
         for batch in slices(batches, at):
             scores = [shared.value.score(reader.features(t) if t else None) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
