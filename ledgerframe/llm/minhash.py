@@ -7,11 +7,12 @@
 3. Round one links each class to the two likeliest of its buckets' centres. A centre is drawn anew for each bucket, so
    the bands try different ones. Confirmed links give components.
 4. Round two compares, in every bucket whose members are not yet in one component, the members of different
-   components, block by block on signatures (``SURE`` below). No pair within a component is looked at again, no bucket is cut short:
-   every pair that shares a bucket is either confirmed, refuted or already connected.
+   components, in the first band that they share. Small buckets give pairs that pass the signature step (``SURE`` below);
+   in large ones blocks of members meet with their full sets and give confirmed links only, so a group of copies never turns into
+   all its pairs. No bucket is cut short: every pair that shares one is either confirmed, refuted or already connected.
 5. All confirmations compare full shingle sets in whole numbers.
 
-A pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**32 = 3e-6; it fails the signature step with about 1e-6.
+A pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**32 = 3e-6; it fails the signature step with about 1e-4.
 """
 
 from __future__ import annotations
@@ -20,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, arrow_rows, slices
 from .components import connected_components
 from .fingerprints import _splitmix, mix, ngrams, words
 
 BANDS, ROWS = 32, 5
-#: Share of equal signature bytes below which a pair is given up: 0.8 less 4.7 standard deviations of 160 minima.
-SURE = 0.65
-#: Members of a bucket compared at once with so many others.
-BLOCK = 256
+#: Share of equal signature bytes below which a pair is given up: 0.8 less 3.8 standard deviations of 160 minima.
+SURE = 0.68
+#: Buckets of more members are compared with full sets at hand, in blocks of about so many shingles; smaller ones give pairs.
+SMALL, BLOCK_SHINGLES = 64, 100_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -122,23 +123,67 @@ def _equal_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(like).filter(keep)], ["a", "b", "alike"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks of one bucket (xs, ys: lists of id, component, signature): likely pairs across components, smaller id first."""
-    for batch in batches:
-        for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
-            (xi, xc, sx), (yi, yc, sy) = (
-                (np.asarray(v.field("id")), np.asarray(v.field("component")), np.frombuffer(b"".join(v.field("signature").to_pylist()), np.uint8).reshape(len(v), -1)) for v in (xs.values, ys.values)
-            )
-            found = [(np.full(0, 0), np.full(0, 0))]
-            need = SURE * sx.shape[1]
-            for i in range(len(xi)):
-                other = np.flatnonzero(yc != xc[i])
-                if len(other):
-                    hit = other[(sy[other] == sx[i]).sum(1) >= need]
-                    found.append((np.full(len(hit), i), hit))
-            i, k = (np.concatenate(z) for z in zip(*found, strict=True))
-            a, b = np.minimum(xi[i], yi[k]), np.maximum(xi[i], yi[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+class _Block:
+    """Members of one bucket in arrays."""
+
+    def __init__(self, rows: pa.StructArray) -> None:
+        self.id, self.component, self.size = (np.asarray(rows.field(x)) for x in ("id", "component", "n_shingles"))
+        self.signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.bands = np.asarray(rows.field("bands").flatten()).reshape(len(rows), -1)
+        self.sets = [np.asarray(x.values) for x in rows.field("shingles")] if "shingles" in [f.name for f in rows.type] else None
+
+
+def _likely_in(key: int, x: _Block, y: _Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of x those of y in other components that may be similar: sizes allow it, signatures agree, and no earlier band has the pair."""
+    band = int(np.flatnonzero(x.bands[0] == key)[0])
+    need = SURE * x.signature.shape[1]
+    for i in range(len(x.id)):
+        ok = (y.component != x.component[i]) & (100 * np.minimum(y.size, x.size[i]) >= percent * np.maximum(y.size, x.size[i]))
+        ok &= ~(y.bands[:, :band] == x.bands[i, :band]).any(1)
+        other = np.flatnonzero(ok)
+        if len(other):
+            other = other[(y.signature[other] == x.signature[i]).sum(1) >= need]
+        if len(other):
+            yield i, other
+
+
+def _pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, xs, ys) of small buckets: the likely pairs across components, smaller id first."""
+        for batch in batches:
+            found = [np.zeros((2, 0), np.int64)]
+            for key, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                x, y = _Block(xs.values), _Block(ys.values)
+                for i, other in _likely_in(key, x, y, percent):
+                    ids = y.id[other]
+                    found.append(np.stack([np.minimum(x.id[i], ids), np.maximum(x.id[i], ids)]))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, xs, ys) of large buckets, with full sets: confirmed links, one for each member and component that it meets."""
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for key, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                x, y = _Block(xs.values), _Block(ys.values)
+                for i, other in _likely_in(key, x, y, percent):
+                    own = x.sets[i]
+                    flat = np.concatenate([y.sets[k] for k in other])
+                    spot = np.searchsorted(own, flat)
+                    spot[spot == len(own)] = 0
+                    ends = np.cumsum([len(y.sets[k]) for k in other])
+                    both = np.add.reduceat((own[spot] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
+                    hit = other[100 * both >= percent * (len(own) + y.size[other] - both)]
+                    _, one = np.unique(y.component[hit], return_index=True)
+                    found += [(int(x.id[i]), int(y.id[k])) for k in hit[one]]
+            u, v = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,10 +202,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     linked = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     heads = linked.join(classes.select("d1", "d2", F.col("id").alias("doc_id")), ["d1", "d2", "doc_id"]).dropDuplicates(["doc_id", "d1", "d2"])
-    heads = scratch.write(heads.select(F.col("doc_id").alias("id"), "bands", "signature"), "heads")
-    # buckets with two members at least
-    entries = heads.select("id", F.explode("bands").alias("key"))
-    busy = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("centre")).where("n > 1").select("key", "centre")
+    heads = scratch.write(heads.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature"), "heads")
+    slim = scratch.write(sketches.select("doc_id", "n_shingles", "d1", "d2"), "slim")
+    scratch.drop("sketches")
+    # buckets with two members at least; entries are dealt out once, for the counts and for the members
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entries = heads.select("id", "n_shingles", F.explode("bands").alias("key")).repartition(parts, "key")
+    busy = entries.groupBy("key").agg(F.count("*").alias("total"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("centre")).where("total > 1")
     buckets = scratch.write(entries.join(busy, "key"), "buckets")
 
     signature = heads.select("id", "signature")
@@ -169,40 +217,58 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         pairs = pairs.join(signature.toDF("a", "sa"), "a").join(signature.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return pairs.mapInArrow(_equal_bytes, "a long, b long, alike double")
 
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """(id, shingles) of the classes with these ids: only their texts are read again."""
+        sets = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>")
+        return scratch.write(sets, f"sets-{name}").dropDuplicates(["id"])
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose full sets reach the similarity; both sets are met by equi-joins, the texts of pairs only are read again."""
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "id long, shingles array<long>")
-        sets = scratch.write(sets, f"sets-{name}")
+        """Pairs whose full sets reach the similarity; both sets are met by equi-joins."""
+        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), name)
         joined = pairs.select("a", "b").join(sets.toDF("a", "xs"), "a").join(sets.toDF("b", "ys"), "b")
         joined = joined.withColumn("both", F.size(F.array_intersect("xs", "ys")).cast("long"))
-        return scratch.write(joined.where(f"100 * both >= {percent} * (size(xs) + size(ys) - both)").select("a", "b"), f"links-{name}")
+        found = scratch.write(joined.where(f"100 * both >= {percent} * (size(xs) + size(ys) - both)").select("a", "b"), f"links-{name}")
+        scratch.drop(f"sets-{name}")
+        return found
 
-    stars = buckets.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), "id").distinct()
+    ends = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
+    stars = buckets.where("id <> centre").groupBy(*ends, "id").agg(F.min("total").alias("least")).select("a", "b", "id", "least")
     rank = Window.partitionBy("id").orderBy(F.desc("alike"), "a", "b")  # at most one row per band
-    best = likely(stars.select("a", "b").distinct()).select("a", "b", "alike", F.explode(F.array("a", "b")).alias("id")).join(stars.select("a", "b", "id"), ["a", "b", "id"])
-    first = scratch.write(best.withColumn("rank", F.row_number().over(rank)).where("rank <= 2").select("a", "b").distinct(), "pairs-1")
+    best = likely(stars.select("a", "b").distinct()).join(stars, ["a", "b"]).withColumn("rank", F.row_number().over(rank))
+    # the one pair of a bucket of two is always tried, so round two has larger buckets only
+    first = scratch.write(best.where("rank <= 2 or least = 2").select("a", "b").distinct(), "pairs-1")
     links = confirmed(first, "1")
     part = connected_components(links.toDF("u", "v"), scratch, "cc-1")
 
-    placed = buckets.select("key", "id").join(part.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    members = scratch.write(placed.join(mixed, "key").join(signature, "id"), "members")
-    # a bucket's largest component is met by the rest alone; blocks bound what one task holds
-    size_of = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    total = size_of.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component"))["component"].alias("main"))
-    members = members.join(total, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK))))
-    member = F.struct("id", "component", "signature")
-    blocks = scratch.write(members.groupBy("key", "block", (F.col("component") == F.col("main")).alias("in_main")).agg(F.collect_list(member).alias("rows")), "blocks")
-    rest = blocks.where("not in_main").select("key", F.col("block").alias("xb"), F.col("rows").alias("xs"))
-    others = blocks.select("key", F.col("block").alias("yb"), "in_main", F.col("rows").alias("ys"))
-    met = rest.join(others, "key").where("in_main or xb <= yb").select("xs", "ys")
-    second = met.mapInArrow(_blocks, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.write(second, "pairs-2")
-    links = links.unionByName(confirmed(second, "2"))
+    placed = buckets.where("total > 2").select("key", "id", "n_shingles", "total").join(part.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sums = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).groupBy("key")
+    mixed = sums.agg(F.sum("weight").alias("weight"), F.count("*").alias("components"), F.max(F.struct("n", "component"))["component"].alias("main"))
+    placed = scratch.write(placed.join(mixed.where("components > 1").drop("components"), "key"), "placed")
+    scratch.drop("buckets")
+    sketch = heads.select("id", "signature", "bands")
+
+    def met(members: DataFrame, count: Column, *more: str) -> DataFrame:
+        """Blocks (key, xs, ys) that must be compared, each bucket in ``count`` of them: a bucket's largest component is met by the rest alone."""
+        members = members.withColumn("block", F.pmod(F.xxhash64("id", "key"), count))
+        member = F.struct("id", "component", "n_shingles", "signature", "bands", *more)
+        blocks = members.groupBy("key", "block", (F.col("component") == F.col("main")).alias("in_main")).agg(F.collect_list(member).alias("rows"))
+        rest = blocks.where("not in_main").select("key", F.col("block").alias("xb"), F.col("rows").alias("xs"))
+        others = blocks.select("key", F.col("block").alias("yb"), "in_main", F.col("rows").alias("ys"))
+        return rest.join(others, "key").where("in_main or xb <= yb").select("key", "xs", "ys")
+
+    with arrow_rows(spark, 500):
+        small = met(placed.where(f"total <= {SMALL}").join(sketch, "id"), F.lit(1)).mapInArrow(_pairs(percent), "a long, b long")
+        second = scratch.write(small.join(first, ["a", "b"], "left_anti"), "pairs-2")
+    large = placed.where(f"total > {SMALL}")
+    sets = sets_of(large.select("id").distinct(), "large")
+    with arrow_rows(spark, 8):
+        third = scratch.write(met(large.join(sketch, "id").join(sets, "id"), F.ceil(F.col("weight") / BLOCK_SHINGLES), "shingles").mapInArrow(_links(percent), "a long, b long"), "links-3")
+    links = links.unionByName(confirmed(second, "2")).unionByName(third)
+    for name in ("heads", "placed", "sets-large"):
+        scratch.drop(name)
     component = connected_components(links.toDF("u", "v"), scratch, "cc-2")
     classes = classes.join(component.toDF("id", "component_id"), "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    out = slim.join(classes, ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
