@@ -63,6 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of so many ids at most (8 MB) may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has ``BROADCAST_ROWS`` at most; else the join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of text in all rows, by one aggregation."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, few_ids, slices
 from .fingerprints import PUNCT, _splitmix, mix, ngrams, words
 
 SIMILARITY = 0.8
@@ -204,4 +204,5 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float =
 def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item; all their columns, rows with a null id included."""
     leaks = Scratch(docs.sparkSession, "leaks").write(benchmark_matches(docs, benchmark, similarity).select("doc_id").distinct(), "ids")
+    leaks = few_ids(leaks)
     return docs.join(leaks, docs["doc_id"].cast("long") == leaks["doc_id"], "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, slices
+from .common import Scratch, arrow_rows, few_ids, slices
 from .components import connected_components
 from .fingerprints import _splitmix, mix, ngrams, words
 
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         """(id, shingles) of the classes with these ids: only their texts are read again."""
-        sets = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>")
+        ids = few_ids(scratch.write(ids.withColumnRenamed("id", "doc_id"), f"ids-{name}"))
+        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>")
         return scratch.write(sets, f"sets-{name}").dropDuplicates(["id"])
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
