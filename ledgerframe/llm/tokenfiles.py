@@ -24,36 +24,55 @@ from .common import fixed_path, partitions_for, slices, text_bytes
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 PART_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 32 << 20, 64 << 10, 2000
-CACHE_WORDS = 400_000
+CACHE_WORDS, TOGETHER = 300_000, 200
 #: The tokenizer's rules never join characters across these, so words between them are encoded apart.
 _WORD = re.compile("[^ \t\n\r\x0b\x0c]+")
-_state: dict[str, tuple] = {}
+#: Other white space, at which str.split would cut too.
+_OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_state: dict[str, list] = {}
 
 
-def _encoder(path: str):
-    """The tokenizer and the ids of recent words (bounded), once per Python worker."""
+def _encoder(path: str) -> list:
+    """The tokenizer and the ids of words met of late and before that (both bounded), once per Python worker."""
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state[path] = (Tokenizer.from_file(path), {})
+        _state[path] = [Tokenizer.from_file(path), {}, {}]
     return _state[path]
 
 
+def _split(text: str) -> list[str]:
+    return _WORD.findall(text) if _OTHER.search(text) else text.split()
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """For each text the library's ids without special tokens, then ``end_id``, as little-endian unsigned 32-bit integers."""
-    tokenizer, known = _encoder(path)
-    split = [_WORD.findall(t) if t else () for t in texts]
-    new = list({w for words in split for w in words} - known.keys())
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for word, ids in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[word] = np.array(ids.ids, "<u4").tobytes()
+    """For each text the library's ids without special tokens, then ``end_id``, as little-endian unsigned 32-bit integers.
+
+    A new word is encoded among others, with a space between; its ids are those whose characters lie in it.
+    """
+    state = _encoder(path)
+    tokenizer, late, before = state
+    split = [_split(t) if t else [] for t in texts]
+    new = []
+    for w in set().union(*split):
+        if w not in late:
+            ids = before.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                late[w] = ids
+    groups = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+    for group, encoded in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        raw = np.array(encoded.ids, "<u4").tobytes()
+        begin = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
+        cut = [*(4 * np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), begin)).tolist(), len(raw)]
+        late.update(zip(group, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
     end = np.array([end_id], "<u4").tobytes()
-    return [b"".join([*map(known.__getitem__, words), end]) for words in split]
+    out = [b"".join([*map(late.__getitem__, words), end]) for words in split]
+    if len(late) > CACHE_WORDS:
+        state[1:] = {}, late
+    return out
 
 
 def _encode(path: str, end_id: int):
