@@ -208,6 +208,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "pages")
     rows = pages.select("html", F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lined = scratch.write(rows.mapInArrow(_lines, "lines array<string>, main array<boolean>, page_id long, url string, host string, path string"), "lines")
+    if lined.where("size(lines) > 0 and not exists(main, x -> x)").isEmpty():
+        # every page with lines names its article, so no difference would take a line away: the same rows without the sort
+        kept = F.transform(F.filter(F.arrays_zip("lines", "main"), lambda x: x["main"]), lambda x: x["lines"])
+        texts = lined.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+        return texts.withColumn("n_chars", F.length("text").cast("long"))
     n = partitions_for(text_bytes(rows, "html"), PART_BYTES, spark.sparkContext.defaultParallelism)
     order = ["host", "path", "url", "page_id"]
     schema = "lines array<string>, main array<boolean>, page_id long, url string, host string, path string, part long, at long"
