@@ -57,7 +57,7 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_words", F.expr("end_word - start_word"))
+    return repeated_passages(table(spark, sf_dir, "documents"), within=True).withColumn("n_words", F.expr("end_word - start_word"))
 
 
 def queries() -> dict[str, Query]:

@@ -4,12 +4,13 @@ Kept suffixes begin at minimisers: of every ``min_words - seed + 1`` seeds in a
 smallest fingerprint. Equal passages of ``min_words`` words hold equal seeds, so they keep the same suffixes,
 about one in twenty. Suffixes are ordered by their seed's fingerprint and equal neighbours compared (a count and the
 smallest and largest document of each seed, summed before the shuffle, so that a passage in a third of all documents
-costs a task one row). A suffix whose seed occurs in one document only is done with.
+costs a task one row). A suffix whose seed occurs in one document only needs no other document: repeats within a
+document are found where its text is read.
 
 Matches are then extended to the left and right. Comparing a suffix with its neighbour alone misses passages where an
 occurrence with other words on the left sorts between two equal ones, so the extension asks for each window of
-``min_words`` words around a repeated suffix whether another document has that window; runs of such windows are the
-maximal matches, the same ones that all neighbours together would give.
+``min_words`` words around a repeated suffix whether another document, or an earlier place of the same one, has that window;
+runs of such windows are the maximal matches, the same ones that all neighbours together would give.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, arrow_rows, slices
 from .fingerprints import inside, ngrams, words
 
 MIN_WORDS, SEED = 50, 10
@@ -64,7 +65,7 @@ def _suffixes(min_words: int, seed: int):
     return run
 
 
-def _windows(min_words: int, seed: int):
+def _windows(min_words: int, seed: int, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             w = words(batch.column(1))
@@ -72,16 +73,22 @@ def _windows(min_words: int, seed: int):
             if not len(least):
                 continue
             live = np.zeros(len(least), bool)
+            here = np.zeros(len(least), bool)
+            back = np.zeros(len(least), np.int32)
+            prints = ngrams(w.hash, min_words)
             seeds = batch.column(2)
             for d in range(batch.num_rows):
                 a, b = int(w.first[d]), int(w.first[d + 1]) - min_words + 1
                 if b > a:
-                    known = np.asarray(seeds[d].values).view(np.uint64)
-                    live[a:b] = np.isin(least[a:b], known)
-            at = np.flatnonzero(live)
+                    if seeds[d].is_valid:
+                        live[a:b] = np.isin(least[a:b], np.asarray(seeds[d].values).view(np.uint64))
+                    if within:
+                        _, at, same, count = np.unique(prints[a:b], return_index=True, return_inverse=True, return_counts=True)
+                        back[a:b] = np.arange(b - a) - at[same]
+                        here[a:b] = count[same] > 1
+            at = np.flatnonzero(live | here)
             doc = np.searchsorted(w.first, at, "right") - 1
-            prints = ngrams(w.hash, min_words)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))], ["window", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64), mask=~live[at]), batch.column(0).take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(back[at])], ["window", "doc_id", "at", "back"])
 
     return run
 
@@ -90,17 +97,21 @@ def _spans(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, at, source in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                at, source = np.asarray(at.values), np.asarray(source.values)
+            for doc, *lists in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                at, source, back = (np.asarray(x.values) for x in lists)
                 order = np.argsort(at, kind="stable")
-                at, source = at[order], source[order]
+                at, source, back = at[order], source[order], back[order]
+                # a window that overlaps the first one like it begins where that one ends, so the kept copy stays whole
+                start = np.where((source == doc) & (back > 0), np.maximum(at, at - back + min_words), at)
                 for kept in (True, False):
-                    mine = (source == doc) == kept
-                    a, s = at[mine], source[mine]
+                    mine = ((source == doc) & (back == 0)) == kept
+                    a, z, s = start[mine], at[mine] + min_words, source[mine]
                     if len(a):
-                        cut = np.flatnonzero(np.diff(a) > min_words) + 1  # windows that touch or overlap make one span
+                        order = np.argsort(a, kind="stable")
+                        a, z, s = a[order], np.maximum.accumulate(z[order]), s[order]
+                        cut = np.flatnonzero(a[1:] > z[:-1]) + 1  # windows that touch or overlap make one span
                         for x, y in zip([0, *cut], [*cut, len(a)], strict=True):
-                            out.append((doc, int(a[x]), int(a[y - 1]) + min_words, kept, int(s[x:y].min())))
+                            out.append((doc, int(a[x]), int(z[y - 1]), kept, int(s[x:y].min())))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], ["doc_id", "start_word", "end_word", "kept", "source_id"])
 
@@ -115,25 +126,32 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All passages of ``min_words`` words or more that occur in two documents at least.
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+    """All passages of ``min_words`` words or more that occur in two documents at least; with ``within``, also those that occur twice in one.
 
     Words are runs of other than ASCII white space with A-Z lower-cased. Returns (doc_id, start_word, end_word, kept,
     source_id), one row per document and maximal span, words counted from 0, end excluded. kept: the document is the
-    one with the smallest id that has the passage; source_id is that smallest id (of a longer span the smallest of
-    its windows). Documents without such a passage have no row. A passage repeated within one document alone is no
-    match. Null ids are left out, null texts are empty, rows that repeat an id count once, an empty table gives no row.
+    one with the smallest id that has the passage (with ``within``: and this is its first place there); source_id is that smallest id (of a
+    longer span the smallest of its windows). Documents without such a passage have no row. With ``within``, a repeat that overlaps the
+    kept copy counts from that copy's end only, so such a span may be shorter. Null ids are left out, null texts are empty, rows that repeat an id count once, an empty table gives no row.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     suffixes = scratch.write(docs.mapInArrow(_suffixes(min_words, seed), "doc_id long, seed long"), "suffixes")
     several = suffixes.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("seed")
     found = suffixes.join(several, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # a document's own seeds: bounded by its text
-    windows = docs.join(found, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows(min_words, seed), "window long, doc_id long, at int")
-    windows = scratch.write(windows, "windows")
+    windows = docs.join(found, "doc_id", "left" if within else "inner").select("doc_id", "text", "seeds").mapInArrow(_windows(min_words, seed, within), "window long, doc_id long, at int, back int")
+    with arrow_rows(docs.sparkSession, 500):
+        windows = scratch.write(windows, "windows")
     scratch.drop("suffixes")
-    shared = windows.groupBy("window").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("most")).where("source_id <> most").select("window", "source_id")
-    hits = windows.join(shared, "window").groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("source_id").alias("source"))
+    # back: words since the first such window of the same document; a window is null where its seed is in no other document
+    known = windows.where("window is not null")
+    least, several = F.min("doc_id").alias("source_id"), (F.count("*") > 1 if within else F.max("doc_id") > F.min("doc_id")).alias("several")
+    shared = known.groupBy("window").agg(least, several).where("several").select("window", "source_id")
+    hits = known.join(shared, "window").select("doc_id", "at", "source_id", "back")
+    if within:
+        hits = hits.unionByName(windows.where("window is null").select("doc_id", "at", F.col("doc_id").alias("source_id"), "back"))
+    hits = hits.groupBy("doc_id").agg(*(F.collect_list(a).alias(b) for a, b in (("at", "at"), ("source_id", "source"), ("back", "back"))))
     return hits.mapInArrow(_spans(min_words), "doc_id long, start_word int, end_word int, kept boolean, source_id long")
 
 
@@ -159,13 +177,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[3:]], ["text", *batch.schema.names[3:]])
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
-    """The documents with every repeated passage cut out except in the document with its smallest id.
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, within: bool = False) -> DataFrame:
+    """The documents with every repeated passage cut out except in the document with its smallest id; with ``within``, there too but for its first place.
 
     All rows and columns stay; n_chars follows the text where it is a column. A document that was all repeats keeps its
     row with what is left, perhaps an empty text. Nulls stay as they are.
     """
-    spans = repeated_passages(docs, min_words, seed).where("not kept")
+    spans = repeated_passages(docs, min_words, seed, within=within).where("not kept")
     lists = spans.groupBy("doc_id").agg(F.collect_list("start_word").alias("__starts"), F.collect_list("end_word").alias("__ends"))
     others = [c for c in docs.columns if c != "text"]
     joined = docs.join(lists.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left").select("text", "__starts", "__ends", *others)

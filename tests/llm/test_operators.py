@@ -147,6 +147,20 @@ def test_repeated_passages(spark, corpus):
     assert repeats.repeated_passages(docs_of(spark, [])).count() == 0 and repeats.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_passages_repeated_within_one_document(spark, tmp_path):
+    word = lambda n, p: " ".join(f"{p}{i}" for i in range(n))
+    x, y = word(60, "x"), word(55, "y")
+    rows = [(1, f"{x} a {x} b {x} c"), (2, f"{y} d {y}"), (3, f"e {y}"), (4, " ".join(["ha"] * 120)), (5, word(200, "z")), (6, None)]
+    got = {tuple(r) for r in repeats.repeated_passages(docs_of(spark, rows), within=True).collect()}
+    assert got == {(1, 0, 60, True, 1), (1, 61, 121, False, 1), (1, 122, 182, False, 1), (2, 0, 55, True, 2), (2, 56, 111, False, 2), (3, 1, 56, False, 2), (4, 0, 50, True, 4), (4, 50, 120, False, 4)}
+    cut = {r.doc_id: r.text and r.text.split() for r in repeats.remove_repeats(docs_of(spark, rows), within=True).collect()}
+    assert cut == {1: f"{x} a b c".split(), 2: f"{y} d".split(), 3: ["e"], 4: ["ha"] * 50, 5: rows[4][1].split(), 6: None}
+    from ledgerframe.llm import queries
+
+    docs_of(spark, rows).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r)[:5] for r in queries.op10_repeated_passages(spark, str(tmp_path)).collect()} == got
+
+
 def edits(a, b):
     """The fewest edits between ``a`` and any part of ``b``."""
     row = [0] * (len(b) + 1)
