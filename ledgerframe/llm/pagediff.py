@@ -5,7 +5,8 @@
 2. Pages are put in order of host and path (a range sort: a host with a third of all pages spans many tasks). Of the pages before and after
    it in its host, the one whose path shares more with it is its pair.
 3. The lines of both are aligned by their longest common subsequence. Shared lines are template and go, except inside
-   the article or main element, where a page has one: two copies of an article share all its lines and keep them.
+   the article or main element, where a page has one: two versions of an article share its lines and keep them. Lines outside it
+   that are not shared stay. A neighbour that has all lines of the page, or no others than the page has, is a copy and no pair.
 """
 
 from __future__ import annotations
@@ -187,13 +188,11 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, texts = batch.to_pylist(), []
         for r in rows:
             lines, main = r["lines"], r["main"]
-            if any(main):
-                keep = [x for x, m in zip(lines, main, strict=True) if m]
-            else:
-                near = [o for o in (r["before"], r["after"]) if o and o["host"] and o["host"] == r["host"]]
-                pair = max(near, key=lambda o: len(commonprefix([o["path"], r["path"]])), default=None)
-                gone = shared_lines(lines, pair["lines"]) if pair else set()
-                keep = [x for i, x in enumerate(lines) if i not in gone]
+            near = [o for o in (r["before"], r["after"]) if o and o["host"] and o["host"] == r["host"]]
+            near.sort(key=lambda o: -len(commonprefix([o["path"], r["path"]])))  # stable: of equally near ones the one before
+            shared = (shared_lines(lines, o["lines"]) if len(o["lines"]) else set() for o in near)
+            gone = next((x for o, x in zip(near, shared, strict=True) if len(x) < min(len(lines), len(o["lines"]))), set())
+            keep = [x for i, (x, m) in enumerate(zip(lines, main, strict=True)) if m or i not in gone]
             texts.append("\n".join(keep))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -202,21 +201,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the main text (empty if none) and its code points.
 
     A null html is empty. Pages with a null url, or one without a host, have no pair and keep all their lines. Of two
-    equally near pages the one before (host, path, url, page_id) is the pair. Rows that repeat stand for themselves. An empty table gives an empty result.
+    equally near pages the one before (host, path, url, page_id) is the pair; if the nearer one is a copy, the other is. Rows that repeat stand for themselves. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "pages")
     rows = pages.select("html", F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lined = scratch.write(rows.mapInArrow(_lines, "lines array<string>, main array<boolean>, page_id long, url string, host string, path string"), "lines")
-    if lined.where("size(lines) > 0 and not exists(main, x -> x)").isEmpty():
-        # every page with lines names its article, so no difference would take a line away: the same rows without the sort
-        kept = F.transform(F.filter(F.arrays_zip("lines", "main"), lambda x: x["main"]), lambda x: x["lines"])
-        texts = lined.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
-        return texts.withColumn("n_chars", F.length("text").cast("long"))
     n = partitions_for(text_bytes(rows, "html"), PART_BYTES, spark.sparkContext.defaultParallelism)
     order = ["host", "path", "url", "page_id"]
     schema = "lines array<string>, main array<boolean>, page_id long, url string, host string, path string, part long, at long"
     placed = scratch.write(lined.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_number, schema), "sorted")
+    scratch.drop("lines")
     # the last page of each range also stands before the first of the next one, and the other way round
     ends = placed.groupBy("part").agg(F.max("at").alias("last"))  # a row per range
     ends = ends.select("part", "last", F.lead("part").over(Window.orderBy("part")).alias("next"), F.lag("part").over(Window.orderBy("part")).alias("prior"))

@@ -398,6 +398,15 @@ def test_main_text(spark):
     assert pagediff.main_text(df.where("false")).count() == 0
 
 
+def test_main_text_of_copies_and_of_lines_outside_the_article(spark):
+    story = "<p>Site name</p><p>a story</p><p>told once</p>"
+    page = lambda n: f"<p>Site name</p><main><p>body {n}</p><article><p>teaser {n}</p></article></main><p>Imprint</p>"
+    rows = [(1, "http://h/a", story), (2, "https://h/a", story), (3, "http://h/a?utm=1", story), (4, "http://g/x", story), (5, "http://g/x", story), (6, "http://g/y", "<p>Site name</p><p>other"), (7, "http://k/1", page(1)), (8, "http://k/2", page(2))]
+    got = {r.page_id: r.text for r in pagediff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Site name\na story\ntold once"
+    assert got == {1: whole, 2: whole, 3: whole, 4: whole, 5: "a story\ntold once", 6: "other", 7: "body 1\nteaser 1", 8: "body 2\nteaser 2"}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
