@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +96,25 @@ def ranges_overlap(first: Column, last: Column, start: bytes | None, end: bytes
     return ok
 
 
+_ESCAPE = re.compile(rb"%([0-9A-Fa-f])(.)|\+", re.S)
+
+
+def percent_decoded(text: str | None) -> str | None:
+    """Percent signs and plus signs of a URL query decoded; a percent sign without a hexadecimal digit and a further byte after it stays.
+
+    Of two bytes of which only the first is a digit, that digit is the value. What is no UTF-8 then is replaced.
+    """
+    if text is None:
+        return None
+
+    def byte(m: re.Match) -> bytes:
+        if not m[1]:
+            return b" "
+        return bytes([int(m[1] + m[2] if m[2] in b"0123456789abcdefABCDEF" else m[1], 16)])
+
+    return _ESCAPE.sub(byte, text.encode()).decode(errors="replace")
+
+
 def percent_decode(text: Column) -> Column:
-    """Percent signs and plus signs of a URL query decoded; bytes that are no escape stay as they are."""
-    return F.try_url_decode(text)
+    """``percent_decoded`` of each row."""
+    return F.udf(percent_decoded, "string")(text)

@@ -179,6 +179,12 @@ def batched_point_lookup(spark, d):
     return lookups.lookup(_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], probes)
 
 
+@_query("SELECT c.c_custkey, c.c_name, c.c_acctbal FROM customer c JOIN (SELECT DISTINCT o_custkey FROM orders) p ON p.o_custkey = c.c_custkey")
+def batched_point_lookup_all(spark, d):
+    probes = _table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return lookups.lookup(_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], probes)
+
+
 @_query("SELECT * FROM customer WHERE c_name = 'Customer#000000042'")
 def find_by_unique(spark, d):
     rows = _table(spark, d, "customer")
@@ -297,6 +303,13 @@ def probe_asof_join(spark, d):
     return history.probe_as_of(_log(spark, d), KEY, probes, "t", "probe_id")
 
 
+@_query(f"""WITH {LOG}, probes AS (SELECT o_orderkey AS probe_id, o_custkey AS user_id, o_orderkey % 1000 AS t FROM orders)
+SELECT probe_id, p.user_id, t, l.seq, l.op, l.event_type, l.value FROM probes p ASOF LEFT JOIN log l ON p.user_id = l.user_id AND p.t >= l.seq""")
+def probe_asof_join_all(spark, d):
+    probes = _table(spark, d, "orders").select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 1000).alias("t"))
+    return history.probe_as_of(_log(spark, d), KEY, probes, "t", "probe_id")
+
+
 # --- writes -----------------------------------------------------------------------------------------------------------
 
 
@@ -316,6 +329,12 @@ def put_batch(spark, d):
     return state.current(_append(_log(spark, d), rows), KEY)
 
 
+@_query(f"WITH {LOG}, puts AS (SELECT {_NEXT}, 'P' AS op, user_id, c_mktsegment AS event_type, c_acctbal AS value FROM (SELECT *, c_custkey AS user_id FROM customer)), after AS (SELECT * FROM log UNION ALL SELECT * FROM puts) {_newest('after')}")
+def put_batch_all(spark, d):
+    rows = _table(spark, d, "customer").select(F.lit("P").alias("op"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_acctbal").alias("value"))
+    return state.current(_append(_log(spark, d), rows), KEY)
+
+
 @_query(f"WITH {LOG}, gone AS (SELECT {_NEXT}, 'D' AS op, user_id, NULL AS event_type, NULL AS value FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 4 = 0)), after AS (SELECT * FROM log UNION ALL SELECT * FROM gone) {_newest('after')}")
 def remove_batch(spark, d):
     rows = _table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.lit("D").alias("op"), F.col("c_custkey").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
@@ -331,6 +350,15 @@ def upsert_batch(spark, d):
     return state.current(_append(log, rows.withColumn("op", F.lit("P"))), KEY)
 
 
+@_query(f"""WITH {LOG}, cur AS ({_newest('log')}), ups AS (SELECT {_NEXT}, 'P' AS op, user_id, event_type, coalesce(value, 0) + 1 AS value FROM (SELECT c_custkey AS user_id FROM customer) LEFT JOIN cur USING (user_id)),
+after AS (SELECT * FROM log UNION ALL SELECT seq, op, user_id, event_type, value FROM ups) {_newest('after')}""")
+def upsert_batch_all(spark, d):
+    log = _log(spark, d)
+    probes = _table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    rows = lookups.upsert_rows(state.current(log, KEY), KEY, probes, {"value": F.coalesce("value", F.lit(0.0)) + 1})
+    return state.current(_append(log, rows.withColumn("op", F.lit("P"))), KEY)
+
+
 @_query("SELECT doc_id, CASE WHEN strlen(text) < 16384 THEN text END AS text, CASE WHEN strlen(text) >= 16384 THEN doc_id END AS blob_id, CASE WHEN strlen(text) >= 16384 THEN strlen(text) END AS bytes FROM documents")
 def blob_split(spark, d):
     inline, _ = lookups.split_blobs(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
@@ -452,8 +480,7 @@ def mini_keys(spark, d):
 
 @_query("SELECT page_id, replace(url, '/', ' ') AS decoded FROM pages WHERE url NOT LIKE '%\\%%' ESCAPE '\\' AND url NOT LIKE '%+%'")
 def percent_decoding(spark, d):
-    pages = _table(spark, d, "pages").where("not contains(url, '%') and not contains(url, '+')")
-    return pages.select("page_id", hashing.percent_decode(F.regexp_replace("url", "/", "%20")).alias("decoded"))
+    return _table(spark, d, "pages").select("page_id", hashing.percent_decode(F.regexp_replace("url", "/", "%20")).alias("decoded"))
 
 
 @_query("WITH f AS (SELECT o_custkey % 50 AS file, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE o_orderkey // 100 = o_custkey % 50 GROUP BY 1) SELECT file FROM f WHERE last >= 300 AND first < 900")
@@ -463,6 +490,13 @@ def file_pruning(spark, d):
     return files.where(hashing.ranges_overlap(F.col("first"), F.col("last"), 300, 900)).select("file")
 
 
+@_query("WITH f AS (SELECT o_orderkey // 100 AS file, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) SELECT file FROM f WHERE last >= 300 AND first < 900")
+def file_pruning_all(spark, d):
+    orders = _table(spark, d, "orders").withColumn("file", F.floor(F.col("o_orderkey") / 100))
+    files = orders.groupBy("file").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    return files.where(hashing.ranges_overlap(F.col("first"), F.col("last"), 300, 900)).select("file")
+
+
 _SEGMENTS = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 5 <> 0"
 
 

@@ -107,3 +107,12 @@ def test_codec_round_trip(a, b, c, d, e, f):
     assert binpack.decode(data, KIND) == row
     with pytest.raises(ValueError):
         binpack.decode(data[:-1], KIND)
+
+
+def test_percent_decoding_keeps_bad_escapes(spark, tmp_path):
+    from ledgerframe.plans import catalogue
+
+    urls = ["a%20b+c", "100%zz", "100%", "%4", "%C3%A9/x", "é%41", "%4z!", "%%41", None]
+    want = ["a b c", "100%zz", "100%", "%4", "é x", "éA", "\x04!", "%A", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.decoded for r in catalogue.queries()["percent_decoding"](spark, str(tmp_path)).collect()} == dict(enumerate(want))
