@@ -281,6 +281,16 @@ def test_backoff_scores(spark, corpus, order, monkeypatch):
     assert scoring.backoff_scores(docs_of(spark, [])).count() == 0
 
 
+def test_a_registered_query_scores_trigrams(spark, tmp_path):
+    from ledgerframe.llm import queries
+
+    docs_of(spark, [(1, "a b c"), (2, "x b d"), (3, "a b c")]).write.parquet(f"{tmp_path}/documents.parquet")
+    logs = {k: {r.doc_id: r.log_score for r in queries.queries()[k](spark, str(tmp_path)).collect()} for k in ("op2_backoff_scores", "op2_backoff_scores_order3")}
+    # others of document 1: a 1, b 2, c 1 of 6 words; "a b" 1, "b c" 1, "a b c" 1
+    assert logs["op2_backoff_scores"][1] == pytest.approx(np.log(1 / 6 * 1 / 1 * 1 / 2), abs=1e-4)
+    assert logs["op2_backoff_scores_order3"][1] == pytest.approx(np.log(1 / 6 * 1 / 1 * 1 / 1), abs=1e-4)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
