@@ -198,6 +198,26 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_matches(docs_of(spark, rows), benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_long_items():
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    items = [draw(n) for n in (61, 120, 240, 400, 800) for _ in range(4)]
+    texts, planted = [], set()
+    for t in range(200):
+        j = t % len(items)
+        w = list(items[j])
+        for at in sorted(rng.sample(range(len(w)), int(0.2 * len(w) + 1e-9)), reverse=True):
+            kind = 0 if t < 100 else rng.randrange(3)
+            w[at : at + (kind != 1)] = draw(1) if kind < 2 else []
+        texts.append(" ".join([*draw(rng.randrange(100)), *w, *draw(rng.randrange(100))]))
+        planted.add((t, j))
+    table = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items])
+    w = words(pa.array(texts, pa.string()), PUNCT)
+    found = {(d, i): distance for d, i, distance, _ in decontaminate.matches(w.hash, w.first, table)}
+    assert found.keys() <= planted and len(found) >= 0.99 * len(planted)
+    assert all(v <= 0.2 * len(items[i]) for (_, i), v in found.items())
+
+
 def test_sentencepiece(spark, corpus):
     rows = [*corpus, (None, "Ünïcode ☃ 𝒳 \x00 ﻿"), (501, "  two  spaces \n▁x "), (501, "a")]
     model = pieces.Pieces(pieces.fixed_path(pieces.MODEL)).model
