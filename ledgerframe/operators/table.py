@@ -19,7 +19,7 @@ from . import history as versions
 from . import lookups, stats
 from .state import META, current
 
-#: What each preset keeps: whether old versions stay after ``compact``, and how many sequence numbers of them after ``close``.
+#: What each preset keeps: whether old versions stay after ``compact``.
 PRESETS = {"ULTRA_FAST": {"history": False}, "FAST": {"history": False}, "NORMAL": {"history": True}, "DURABLE": {"history": True}}
 
 
@@ -137,12 +137,18 @@ class Table:
         self.changes = ChangeLog(database.spark, f"{database.path}/tables/{name}", schema, key, database.node_id)
 
     def log(self) -> DataFrame:
+        """All writes that are kept."""
+        self.database.check_open()
+        return self.changes.read_all()
+
+    def state_log(self) -> DataFrame:
+        """Writes that tell the current state: a compacted base and those since."""
         self.database.check_open()
         return self.changes.read()
 
     def rows(self) -> DataFrame:
         """The live rows."""
-        return current(self.log(), self.key).select(*self.schema.fieldNames())
+        return current(self.state_log(), self.key).select(*self.schema.fieldNames())
 
     def _frame(self, rows: DataFrame | list) -> tuple[DataFrame, list[Column]]:
         """Rows to write and their order: that of a list, or of the key in a DataFrame."""
@@ -180,18 +186,18 @@ class Table:
         """Sets columns of the given keys, from their old values; a key that is not there starts with nulls and its own key."""
         self.database.check_open()
         probes = keys if isinstance(keys, DataFrame) else self._keys(keys)
-        rows = lookups.upsert_rows(current(self.log(), self.key), self.key, probes, assign)
+        rows = lookups.upsert_rows(current(self.state_log(), self.key), self.key, probes, assign)
         return self.changes.append(rows, "P", key_order(self.schema, self.key, self.natural))
 
     def get(self, key: object) -> Row | None:
-        found = current(self.log().where(self._is(key)), self.key).select(*self.schema.fieldNames()).limit(1).collect()
+        found = current(self.state_log().where(self._is(key)), self.key).select(*self.schema.fieldNames()).limit(1).collect()
         return found[0] if found else None
 
     def get_many(self, probes: DataFrame) -> DataFrame:
         return lookups.lookup(self.rows(), self.key, probes)
 
     def exists(self, key: object) -> bool:
-        return not current(self.log().where(self._is(key)).select("seq", "op", *self.key), self.key).isEmpty()
+        return not current(self.state_log().where(self._is(key)).select("seq", "op", *self.key), self.key).isEmpty()
 
     def scan(self, start: object = None, end: object = None) -> DataFrame:
         """Rows with start <= key < end in key order."""
@@ -201,7 +207,7 @@ class Table:
     def count(self, start: object = None, end: object = None) -> int:
         """Live rows, or those of a key range; values are not read."""
         bounds = [None if b is None else b if isinstance(b, tuple) else (b,) for b in (start, end)]
-        keys = current(self.log().select("seq", "op", *self.key), self.key)
+        keys = current(self.state_log().select("seq", "op", *self.key), self.key)
         return lookups.in_range(keys, self.key, *bounds, self.natural).count()
 
     def query(self, predicate: Column | Expr | Callable[[Row], bool] | None = None, **options: object) -> Query:
@@ -218,7 +224,7 @@ class Table:
     def find_by(self, column: str, value: object) -> Row | None:
         if column not in self.indexes:
             raise KeyError(f"{column} is not an index")
-        found = lookups.find_by(current(self.log(), self.key), column, value).select(*self.schema.fieldNames()).collect()
+        found = lookups.find_by(current(self.state_log(), self.key), column, value).select(*self.schema.fieldNames()).collect()
         return found[0] if found else None
 
     def find_all_by(self, column: str, value: object) -> DataFrame:
@@ -265,12 +271,12 @@ class Table:
         return before - after
 
     def compact(self, files: int = 1) -> None:
-        """One base of the live rows, clustered by key; older versions and tombstones go."""
+        """One base of the live rows, clustered by key, for reads of the current state. Where the preset keeps history, the log stays beside it; else older versions and tombstones go."""
         self.database.check_open()
-        self.changes.compacted(files)
+        self.changes.compacted(files, self.database.options.get("history", True))
 
     def stats(self) -> DataFrame:
-        return stats.log_stats(self.log(), self.key)
+        return stats.log_stats(self.state_log(), self.key)
 
     def level_stats(self) -> DataFrame:
         return stats.level_stats(self.changes.files())

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbering import numbered
 from ..operators.state import compact
-from .manifest import Batch, Manifest
+from .manifest import Batch, Manifest, Version
 
 
 def log_schema(schema: T.StructType) -> T.StructType:
@@ -28,13 +28,26 @@ class ChangeLog:
         self.manifest = Manifest(spark, self.root)
 
     def read(self, level: int | None = None) -> DataFrame:
-        batches = [b for b in self.manifest.current().batches if level is None or b.level == level]
+        """The rows that tell the current state: the base, if there is one, and the writes since."""
+        return self._rows([b for b in self.manifest.current().batches if level is None or b.level == level])
+
+    def read_all(self) -> DataFrame:
+        """All writes that are kept, those before a compaction too."""
+        version = self.manifest.current()
+        return self._rows([*version.past, *self._new(version)])
+
+    @staticmethod
+    def _new(version: Version) -> list[Batch]:
+        """Batches whose rows ``past`` does not have."""
+        return [b for b in version.batches if not version.past or not b.level]
+
+    def _rows(self, batches: list[Batch]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{b.path}" for b in batches))
 
-    def _write(self, rows: DataFrame, level: int) -> Batch | None:
-        path = f"batches/{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, level: int, folder: str = "batches") -> Batch | None:
+        path = f"{folder}/{uuid.uuid4().hex}"
         options = {"compression": "zstd"} | {f"parquet.bloom.filter.enabled#{k}": "true" for k in self.key if level}
         rows.write.options(**options).parquet(f"{self.root}/{path}")
         found = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).first()
@@ -69,15 +82,18 @@ class ChangeLog:
         """Puts ``rows`` in place of all batches (pruning)."""
         version = self.manifest.current()
         batch = self._write(rows, 0)
-        self.manifest.commit(version, [batch] if batch else [], {b.path for b in version.batches})
+        self.manifest.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=[])
 
-    def compacted(self, target: int) -> None:
-        """Merges all batches into one base, clustered by key; history goes, tombstones too."""
+    def compacted(self, target: int, history: bool = False) -> None:
+        """Merges all batches into one base, clustered by key, without older versions and tombstones; with ``history`` the writes go on to ``past``, else they go."""
         version = self.manifest.current()
         if version.batches:
             base = compact([self.read()], self.key, bottom=True).repartitionByRange(target, *self.key).sortWithinPartitions(*self.key)
             batch = self._write(base, 1)
-            self.manifest.commit(version, [batch] if batch else [], {b.path for b in version.batches})
+            new = self._new(version) if history else []
+            moved = self._write(self._rows(new), 0, "past") if new else None
+            past = [*version.past, *([moved] if moved else [])] if history else []
+            self.manifest.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=past)
 
     def files(self) -> DataFrame:
         rows = [(b.path, b.level, b.rows, b.min_seq, b.max_seq, b.files, b.bytes) for b in self.manifest.current().batches]

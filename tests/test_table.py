@@ -71,6 +71,31 @@ def test_history_rollback_prune(db):
     assert t.prune_before(10_000, keep_newest=False) == 3 and t.count() == 0
 
 
+def test_compaction_keeps_history_where_the_preset_does(spark, tmp_path, db):
+    t = db.table("kv", SCHEMA, "k")
+    s1 = t.put([("a", "a1"), ("b", "b1")])
+    t.put([("a", "a2")])
+    s3 = t.remove(["b"])
+    t.compact()
+    t.put([("c", "c1")])
+    t.compact()
+    t.compact()
+    t.changes.manifest.vacuum()
+    assert rows(t.rows()) == {("a", "a2"), ("c", "c1")} and t.stats().first().tombstones == 0
+    assert [r.v for r in t.history("a").collect()] == ["a1", "a2"] and t.history("b").count() == 2 and t.log().count() == 5
+    assert t.get_at("a", s1).v == "a1" and rows(t.as_of(s1)) == {("a", "a1"), ("b", "b1")} and rows(t.as_of(s3)) == {("a", "a2")}
+    t.rollback_to(s1)
+    assert rows(t.rows()) == {("a", "a1"), ("b", "b1")}
+    t.compact()
+    assert rows(t.rows()) == {("a", "a1"), ("b", "b1")} and t.prune_before(10_000) > 0
+    assert rows(t.rows()) == {("a", "a1"), ("b", "b1")} and t.log().count() == 3
+    fast = Database(spark, f"file://{tmp_path}/fast", "FAST").table("kv", SCHEMA, "k")
+    fast.put([("a", "a1")])
+    fast.put([("a", "a2")])
+    fast.compact()
+    assert fast.log().count() == 1 and fast.get("a").v == "a2"
+
+
 def test_index_and_queries(db):
     t = db.table("users", "id long, name string, age int", "id").index("name").index("age")
     t.put([(1, "Alice", 30), (2, "Bob", 25), (3, "Alice", None), (-1, "Neg", 40)])
