@@ -5,7 +5,8 @@
    caught exactly only.
 2. One automaton walks the trie of all stems with up to one or two edits at once (its states are sets of trie nodes and edits, made
    deterministic as they are met). A word is caught exactly when it begins with a stem, or fuzzily when as a whole it is
-   within the allowed edits of one: one from ``FUZZY_LETTERS`` letters on, two from twice as many minus two.
+   within the allowed edits of one: one from ``FUZZY_LETTERS`` letters on, two from twice as many minus two. A shorter stem allows
+   one edit where no clean labelled document holds a word near it.
 3. Every catch is scored in a window of words: inside quotation marks it counts as quotation, next to others or beside words of
    address as abuse. A logistic regression on such sums, fitted on labelled rows, gives the score.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-SAMPLE_ROWS, MAX_STEMS = 20_000, 400
+SAMPLE_ROWS = 20_000
 SHORTEST, LONGEST = 4, 12
 FUZZY_LETTERS = 5
 WINDOW = 12
@@ -43,13 +44,13 @@ N_FEATURES = 6
 class Automaton:
     """The trie of the stems under a Levenshtein automaton; ``catch`` tells 2 (begins with a stem), 1 (within the edits of one) or 0."""
 
-    def __init__(self, stems: list[str], exact_only: frozenset[str] = frozenset()) -> None:
+    def __init__(self, stems: list[str], exact_only: frozenset[str] = frozenset(), loose: frozenset[str] = frozenset()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.allowed = [0]  # the most edits of any stem below a node
         self.stem = [0]  # the edits a stem that ends here allows, plus one; 0: none ends here
         self.name = [""]
         for stem in stems:
-            edits = 0 if stem in exact_only else (len(stem) >= FUZZY_LETTERS) + (len(stem) >= 2 * FUZZY_LETTERS - 2)
+            edits = 0 if stem in exact_only else (len(stem) >= FUZZY_LETTERS or stem in loose) + (len(stem) >= 2 * FUZZY_LETTERS - 2)
             node = 0
             self.allowed[0] = max(self.allowed[0], edits)
             for c in stem:
@@ -131,8 +132,8 @@ class Automaton:
 class Reader:
     """Texts to features, with the verdicts on recent words kept (their number is bounded)."""
 
-    def __init__(self, stems: list[str], exact_only: frozenset[str] = frozenset()) -> None:
-        self.automaton = Automaton(stems, exact_only)
+    def __init__(self, stems: list[str], exact_only: frozenset[str] = frozenset(), loose: frozenset[str] = frozenset()) -> None:
+        self.automaton = Automaton(stems, exact_only, loose)
         self.caught: dict[str, int] = {}
         self.known: set[str] = set()
 
@@ -205,13 +206,17 @@ def _lexicon(rows: list, n_toxic: int, n_clean: int) -> list[str]:
             todo.append(whole)
         else:
             chosen.append(t)
-    return sorted(chosen, key=lambda t: (-by[t][0], t))[:MAX_STEMS]
+    return sorted(chosen, key=lambda t: (-by[t][0], t))
+
+
+def _short(stems: list[str]) -> frozenset[str]:
+    return frozenset(s for s in stems if len(s) < FUZZY_LETTERS)
 
 
 def _near(stems):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many toxic and other documents of a slice have a word near each stem."""
-        automaton = Automaton(stems.value)
+        automaton = Automaton(stems.value, loose=_short(stems.value))
         for batch in slices(batches, 1, 4 << 20):
             counts = (Counter(), Counter())
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -250,11 +255,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
 class Model:
     """Stems and weights; no stems: nothing was learned and every score is 0."""
 
-    def __init__(self, stems: list[str], exact_only: frozenset[str], weights: list[float]) -> None:
-        self.stems, self.exact_only, self.weights = stems, exact_only, weights
+    def __init__(self, stems: list[str], exact_only: frozenset[str], weights: list[float], loose: frozenset[str] = frozenset()) -> None:
+        self.stems, self.exact_only, self.weights, self.loose = stems, exact_only, weights, loose
 
     def reader(self) -> Reader:
-        return Reader(self.stems, self.exact_only)
+        return Reader(self.stems, self.exact_only, self.loose)
 
     def score(self, features: tuple[float, ...] | None) -> float:
         if not self.stems:
@@ -279,15 +284,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model([], frozenset(), [])
     least = max(3, size[1] // 200)
     terms = rows.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = terms.where((F.col("toxic") >= least) & (F.col("toxic") / size[1] >= 30 * (F.col("clean") + 0.5) / size[0])).orderBy(F.desc("toxic"), "term").limit(50 * MAX_STEMS)
+    best = terms.where((F.col("toxic") >= least) & (F.col("toxic") / size[1] >= 30 * (F.col("clean") + 0.5) / size[0]))  # bounded by the sample
     stems = _lexicon(best.collect(), size[1], size[0])
     if not stems:
         return Model([], frozenset(), [])
     near = rows.mapInArrow(_near(spark.sparkContext.broadcast(stems)), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
     exact_only = frozenset(r["term"] for r in near if r["clean"] > max(1, size[0] // 5000) and r["toxic"] / size[1] < 30 * r["clean"] / size[0])
-    found = rows.mapInArrow(_read(spark.sparkContext.broadcast((stems, exact_only))), "toxic int, features array<double>").collect()
+    loose = _short(stems) - {r["term"] for r in near if r["clean"]}
+    found = rows.mapInArrow(_read(spark.sparkContext.broadcast((stems, exact_only, loose))), "toxic int, features array<double>").collect()
     x = np.array([r["features"] or [0.0] * N_FEATURES for r in found])
-    return Model(stems, exact_only, fit_weights(x, np.array([r["toxic"] for r in found])).tolist())
+    return Model(stems, exact_only, fit_weights(x, np.array([r["toxic"] for r in found])).tolist(), loose)
 
 
 def _score(model):

@@ -373,6 +373,23 @@ def test_toxicity(spark):
     assert abuse[0] and abuse[3] and not abuse[2] and quoted[2] and not quoted[0]
 
 
+def test_wide_lexicons_and_short_stems(spark):
+    rng = random.Random(12)
+    bad = ["".join(rng.choices("klmnpqrstvwxz", k=8)) for _ in range(500)]
+    clean = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(600)]
+    learned = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows, labels = [], []
+    for n, i in enumerate(learned[:1000]):
+        words_ = [*rng.choices(clean, k=20), *((bad[(20 * n + k) % 500] for k in range(20)) if n < 150 else ()), *(["scum", "dolt"] if n < 150 else ["bolt"] if n < 200 else [])]
+        rows.append((i, " ".join(words_)))
+        labels.append((i, int(n < 150)))
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    automaton = model.reader().automaton
+    assert len(model.stems) > 400 and all(automaton.catch(w) == 2 for w in bad)
+    assert automaton.catch("scum") == 2 and automaton.catch("scvm") == 1
+    assert automaton.catch("dolt") == 2 and automaton.catch("bolt") == automaton.catch("do1t") == 0  # clean documents hold a near word
+
+
 PAGES = [
     (1, "http://a.net/x", '<link rel="canonical" href="http://b.com/y">'), (2, "http://b.com/y#z", "t"), (3, "http://c.org/q", '<meta http-equiv="refresh" content="0;url=http://b.com/y">'),
     (4, "http://e.com/fr/1", "<link rel=canonical href=/fr/2>"), (5, "http://e.com/fr/2", ""), (6, None, None), (7, "nourl", "<link rel=canonical href=z>"), (8, "https://x.org/fr/1", '<link href="//k.net/a" rel="canonical">'),
