@@ -1,16 +1,15 @@
-"""Repeated passages by a sparse suffix array over words.
-
-Kept suffixes begin at minimisers: of every ``min_words - seed + 1`` seeds in a row (a seed is ``seed`` words), those with the
-smallest fingerprint. Equal passages of ``min_words`` words hold equal seeds, so they keep the same suffixes,
-about one in twenty. Suffixes are ordered by their seed's fingerprint and equal neighbours compared (a count and the
-smallest and largest document of each seed, summed before the shuffle, so that a passage in a third of all documents
-costs a task one row). A suffix whose seed occurs in one document only needs no other document: repeats within a
-document are found where its text is read.
-
-Matches are then extended to the left and right. Comparing a suffix with its neighbour alone misses passages where an
-occurrence with other words on the left sorts between two equal ones, so the extension asks for each window of
-``min_words`` words around a repeated suffix whether another document, or an earlier place of the same one, has that window;
-runs of such windows are the maximal matches, the same ones that all neighbours together would give.
+"""Repeated passages by hash grouping of minimisers and windows, in place of a sparse suffix array over words.
+
+Kept seeds are minimisers: of every ``min_words - seed + 1`` seeds in a row (a seed is ``seed`` words), those with the
+smallest fingerprint. Equal passages of ``min_words`` words hold equal seeds, so they keep the same ones,
+about one in twenty. Seeds are grouped by fingerprint (a count and the smallest and largest document of each, summed before the
+shuffle, so that a passage in a third of all documents costs a task one row). A seed that occurs in one document only needs no
+other document: repeats within a document are found where its text is read.
+
+No suffix is sorted and no match extended: comparing a suffix with its sorted neighbour alone misses passages where an
+occurrence with other words on the left sorts between two equal ones. Instead each window of ``min_words`` words around a
+repeated seed is grouped by fingerprint, to tell whether another document, or an earlier place of the same one, has it; runs of
+such windows are the maximal matches, the same ones that all neighbours together would give.
 """
 
 from __future__ import annotations
