@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -18,16 +19,32 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where the session has none."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where the session has none and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within it the session has ``key`` set so."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive the loss of any executor."""
+    """Tables written to the shared folder: they cut lineage and survive the loss of any executor.
+
+    Once a table is written nothing reads the shuffle files behind it, so Spark removes them at the end of the write.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -38,7 +55,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         """Writes ``df`` as Parquet and reads it back."""
-        df.write.mode("overwrite").options(**{k: str(v) for k, v in options.items()}).parquet(self.path(name))
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("overwrite").options(**{k: str(v) for k, v in options.items()}).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -47,29 +65,28 @@ class Scratch:
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+def arrow_rows(spark: SparkSession, most: int) -> AbstractContextManager[None]:
     """Within it, plans send Python at most so many rows at once: for rows that are large in themselves."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A table of so many ids at most (8 MB) may be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def few_ids(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast if it has ``BROADCAST_ROWS`` at most; else the join shuffles both sides."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (one column); all their columns. One shuffle of both sides whatever their size: a hash of each part's ids meets its rows."""
+    name = fresh(docs.columns, "gone")
+    ids = ids.toDF(name).hint("shuffle_hash")
+    return docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_anti")
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -15,8 +15,8 @@ deletions and substitutions of words.
   distance shares none with its block small (tests measure recall against brute force).
 * Where a window and a block share a key, the item is compared exactly, by the bit-parallel edit distance (Myers, 1999).
 
-The items' tables reach all tasks as a broadcast of checked size: items are read in groups of ``GROUP_BYTES`` of text, and each
-group is one pass over the documents. No row is shuffled but the few matches of a document in several groups.
+The items' tables reach all tasks as a broadcast of checked size: items are read in groups of at most ``GROUP_BYTES`` of text, one group is
+held at a time, and each is one pass over the documents. A benchmark does not grow with the corpus. No row is shuffled but the few matches.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, few_ids, slices
+from .common import Scratch, fresh, slices
 from .fingerprints import PUNCT, _splitmix, mix, ngrams, words
 
 SIMILARITY = 0.8
@@ -199,32 +199,64 @@ def _search(items):
     return run
 
 
+def _groups(benchmark: DataFrame, similarity: float, group_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """The items' tables, ``group_bytes`` of text or less at a time (hash parts of about half of it), and whether there are more."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), F.octet_length("text").alias("bytes"))
+    items = items.where("item_id is not null and bytes > 0")
+    total = items.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    parts = max(1, -(-2 * total // group_bytes))
+    for p in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
+        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], similarity), p + 1 < parts
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, item_id, item_words, distance, similarity, end_word): every document and benchmark item that it holds.
 
     One row per pair, for the nearest stretch; end_word is where the first nearest one ends, in words from 0. Items of fewer than five words
     must occur unchanged. Items and documents without words, or with a null text or id, match nothing; rows that repeat an id count as
-    one. An empty table on either side gives no row.
+    one. Very long texts and items are searched whole; other columns, whatever their names, are ignored. An empty table on either side gives no row.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "matches")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), F.octet_length("text").alias("bytes"))
-    items = items.where("item_id is not null and bytes > 0")
-    # groups of bounded size: hash parts of about group_bytes each, read one at a time
-    total = items.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    parts = max(1, -(-2 * total // group_bytes))
     found = None
-    for p in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        group = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], similarity))
+    for i, (items, more) in enumerate(_groups(benchmark, similarity, group_bytes)):
+        group = spark.sparkContext.broadcast(items)
         one = docs.mapInArrow(_search(group), "doc_id long, item_id long, item_words int, distance int, similarity double, end_word int")
+        if more or i:  # of several groups one at a time is held
+            one = scratch.write(one, f"group-{i}")
+            group.destroy()
         found = one if found is None else found.unionByName(one)
     best = F.min(F.struct("distance", "item_words", "similarity", "end_word")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.item_words", "b.distance", "b.similarity", "b.end_word")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no benchmark item; all their columns, rows with a null id included."""
-    leaks = Scratch(docs.sparkSession, "leaks").write(benchmark_matches(docs, benchmark, similarity).select("doc_id").distinct(), "ids")
-    leaks = few_ids(leaks)
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["doc_id"], "left_anti")
+def _without(items, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            w = words(batch.column(at), PUNCT)
+            leaks = {d for d, *_ in matches(w.hash, w.first, items.value)} if len(w.hash) else ()
+            yield batch.filter(pa.array([d not in leaks or not known for d, known in enumerate(batch.column(batch.num_columns - 1).to_pylist())], pa.bool_())).drop_columns([batch.schema.names[-1]])
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The documents that hold no benchmark item; all their columns, whatever their names. Rows with a null id stay.
+
+    Each row is judged where its text is read: nothing is shuffled and no list of ids is kept. Rows that repeat an id are judged one by one.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "clean")
+    known = fresh(docs.columns, "known")
+    for i, (items, more) in enumerate(_groups(benchmark, similarity, group_bytes)):
+        group = spark.sparkContext.broadcast(items)
+        kept = docs.withColumn(known, F.col("doc_id").cast("long").isNotNull()).mapInArrow(_without(group, docs.columns.index("text")), docs.schema)
+        if more:
+            kept = scratch.write(kept, f"group-{i}")
+            group.destroy()
+            if i:
+                scratch.drop(f"group-{i - 1}")
+        docs = kept
+    return docs

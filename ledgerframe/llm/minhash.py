@@ -1,7 +1,7 @@
 """Near-duplicate documents: universal-hash minima with banding, signature verification, exact confirmation, components.
 
 1. Every text becomes its set of word shingles (64-bit fingerprints). Documents with one and the same set form a
-   class, found by a 128-bit digest; from here on only a class's smallest id counts, so thousands of copies cost one row.
+   class, found by a 128-bit digest whose first half names the class; from here on a class is one row, so thousands of copies cost no more.
 2. A class has ``bands * rows`` minima of multiply-shift hashes (universal, 32-bit), folded into one key per band, and one
    byte of each minimum as the signature.
 3. Round one links each class to the two likeliest of its buckets' centres. A centre is drawn anew for each bucket, so
@@ -10,7 +10,8 @@
    components, in the first band that they share. Small buckets give pairs that pass the signature step (``SURE`` below);
    in large ones blocks of members meet with their full sets and give confirmed links only, so a group of copies never turns into
    all its pairs. No bucket is cut short: every pair that shares one is either confirmed, refuted or already connected.
-5. All confirmations compare full shingle sets in whole numbers.
+5. All confirmations compare full shingle sets in whole numbers. The sets of all classes that share a bucket are made once: the texts meet
+   the ids of these classes by one shuffle, at every size the same.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**32 = 3e-6; it fails the signature step with about 1e-4.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, few_ids, slices
+from .common import Scratch, arrow_rows, slices
 from .components import connected_components
 from .fingerprints import _splitmix, mix, ngrams, words
 
@@ -67,6 +68,13 @@ def _minima(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.T
 
 
+def _digests(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over the shingles of each set, whatever their order; sets begin at ``at`` and none is empty."""
+    if not len(at):
+        return flat[:0], flat[:0]
+    return mix(np.add.reduceat(mix(flat), at)), mix(np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at))
+
+
 def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -78,9 +86,7 @@ def _sketch(size: int, bands: int, rows: int):
             keys, signs = [None] * n, [None] * n
             if full:
                 which = np.flatnonzero(lengths)
-                flat, at = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
-                d1[which] = mix(np.add.reduceat(mix(flat), at))
-                d2[which] = mix(np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at))
+                d1[which], d2[which] = _digests(np.concatenate(full), np.cumsum([0, *map(len, full[:-1])]))
                 minima = _minima(full, bands, rows)
                 folded = ngrams_rows(minima.astype(np.uint64).reshape(len(full), bands, rows), bands)
                 low = (minima & 255).astype(np.uint8)
@@ -104,11 +110,12 @@ def ngrams_rows(minima: np.ndarray, bands: int) -> np.ndarray:
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            sets = shingle_sets(batch.column(1), size)
+        for batch in slices(batches, 0):
+            sets = [x for x in shingle_sets(batch.column(0), size) if len(x)]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["id", "shingles"])
+            offsets = np.cumsum([0, *map(len, sets)])
+            d1, _ = _digests(flat, offsets[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))], ["id", "shingles"])
 
     return run
 
@@ -192,24 +199,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     Words are runs of other than ASCII white space with A-Z lower-cased. Returns one row per input row: doc_id,
     n_shingles, component_id (smallest id reachable through links, itself included) and kept (doc_id = component_id).
     Null or empty texts and texts without words have no shingles and link with nothing. A null id takes part in no group: its component_id is
-    null and it is kept. Rows that repeat an id are one document for grouping. Other columns are ignored. An empty
-    table gives an empty result.
+    null and it is kept. Rows that repeat an id are one document for grouping: whatever any of their texts is linked with. Very long texts count
+    whole. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = scratch.write(docs.mapInArrow(_sketch(size, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"), "sketches")
     linked = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
-    heads = linked.join(classes.select("d1", "d2", F.col("id").alias("doc_id")), ["d1", "d2", "doc_id"]).dropDuplicates(["doc_id", "d1", "d2"])
-    heads = scratch.write(heads.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature"), "heads")
+    # a class is called by the first half of its digest; its smallest document stands for it
+    classes = scratch.write(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")), "classes")
+    heads = linked.join(classes, ["d1", "d2", "doc_id"]).dropDuplicates(["doc_id", "d1", "d2"])
+    heads = scratch.write(heads.select(F.col("d1").alias("id"), "doc_id", "n_shingles", "bands", "signature"), "heads")
     slim = scratch.write(sketches.select("doc_id", "n_shingles", "d1", "d2"), "slim")
     scratch.drop("sketches")
-    # buckets with two members at least; entries are dealt out once, for the counts and for the members
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = heads.select("id", "n_shingles", F.explode("bands").alias("key")).repartition(parts, "key")
+    # buckets with two members at least; what is known of each is written first, so that a join may split a bucket with a third of all entries
+    entries = heads.select("id", "n_shingles", F.explode("bands").alias("key"))
     busy = entries.groupBy("key").agg(F.count("*").alias("total"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("centre")).where("total > 1")
-    buckets = scratch.write(entries.join(busy, "key"), "buckets")
+    buckets = scratch.write(entries.join(scratch.write(busy, "busy"), "key"), "buckets")
+    scratch.drop("busy")
 
     signature = heads.select("id", "signature")
 
@@ -217,20 +225,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         pairs = pairs.join(signature.toDF("a", "sa"), "a").join(signature.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return pairs.mapInArrow(_equal_bytes, "a long, b long, alike double")
 
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        """(id, shingles) of the classes with these ids: only their texts are read again."""
-        ids = few_ids(scratch.write(ids.withColumnRenamed("id", "doc_id"), f"ids-{name}"))
-        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<long>")
-        return scratch.write(sets, f"sets-{name}").dropDuplicates(["id"])
+    # the full sets of all classes in such buckets; a document's other texts may give sets that no pair asks for
+    needed = heads.select("id", "doc_id").join(buckets.select("id").distinct(), "id", "left_semi").select("doc_id").distinct()
+    sets = docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "id long, shingles array<long>")
+    sets = scratch.write(sets.dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose full sets reach the similarity; both sets are met by equi-joins."""
-        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), name)
         joined = pairs.select("a", "b").join(sets.toDF("a", "xs"), "a").join(sets.toDF("b", "ys"), "b")
         joined = joined.withColumn("both", F.size(F.array_intersect("xs", "ys")).cast("long"))
-        found = scratch.write(joined.where(f"100 * both >= {percent} * (size(xs) + size(ys) - both)").select("a", "b"), f"links-{name}")
-        scratch.drop(f"sets-{name}")
-        return found
+        return scratch.write(joined.where(f"100 * both >= {percent} * (size(xs) + size(ys) - both)").select("a", "b"), f"links-{name}")
 
     ends = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
     stars = buckets.where("id <> centre").groupBy(*ends, "id").agg(F.min("total").alias("least")).select("a", "b", "id", "least")
@@ -244,8 +248,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     placed = buckets.where("total > 2").select("key", "id", "n_shingles", "total").join(part.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sums = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).groupBy("key")
     mixed = sums.agg(F.sum("weight").alias("weight"), F.count("*").alias("components"), F.max(F.struct("n", "component"))["component"].alias("main"))
-    placed = scratch.write(placed.join(mixed.where("components > 1").drop("components"), "key"), "placed")
+    mixed = scratch.write(mixed.where("components > 1").drop("components"), "mixed")
+    placed = scratch.write(placed.join(mixed, "key"), "placed")
     scratch.drop("buckets")
+    scratch.drop("mixed")
     sketch = heads.select("id", "signature", "bands")
 
     def met(members: DataFrame, count: Column, *more: str) -> DataFrame:
@@ -261,15 +267,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         small = met(placed.where(f"total <= {SMALL}").join(sketch, "id"), F.lit(1)).mapInArrow(_pairs(percent), "a long, b long")
         second = scratch.write(small.join(first, ["a", "b"], "left_anti"), "pairs-2")
     large = placed.where(f"total > {SMALL}")
-    sets = sets_of(large.select("id").distinct(), "large")
     with arrow_rows(spark, 8):
         third = scratch.write(met(large.join(sketch, "id").join(sets, "id"), F.ceil(F.col("weight") / BLOCK_SHINGLES), "shingles").mapInArrow(_links(percent), "a long, b long"), "links-3")
     links = links.unionByName(confirmed(second, "2")).unionByName(third)
-    for name in ("heads", "placed", "sets-large"):
+    # texts of one document are one node: each of its classes is tied to the smallest
+    several = linked_classes(slim)
+    for name in ("heads", "placed", "sets"):
         scratch.drop(name)
-    component = connected_components(links.toDF("u", "v"), scratch, "cc-2")
-    classes = classes.join(component.toDF("id", "component_id"), "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
-    out = slim.join(classes, ["d1", "d2"], "left")
+    component = scratch.write(connected_components(links.toDF("u", "v").unionByName(several), scratch, "cc-2"), "components")
+    classes = classes.join(component.toDF("d1", "component"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
+    least = scratch.write(classes.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    out = slim.join(classes.select("d1", "d2", "component").join(least, "component").drop("component"), ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def linked_classes(slim: DataFrame) -> DataFrame:
+    """(u, v): classes that hold texts of one document, tied to the smallest of them."""
+    own = slim.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("d1").alias("u")).distinct()
+    least = own.groupBy("doc_id").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1")
+    return own.join(least, "doc_id").where("u <> v").select("u", "v")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import decontaminate, minhash, pagediff, pieces, repeats, scoring, tokenfiles, toxicity, urls, vectors
+from ledgerframe.llm import common, decontaminate, minhash, pagediff, pieces, repeats, scoring, tokenfiles, toxicity, urls, vectors
 from ledgerframe.llm.common import Scratch, slices
 from ledgerframe.llm.components import connected_components
 from ledgerframe.llm.fingerprints import PUNCT, inside, ngrams, words
@@ -465,3 +465,30 @@ def test_shared_lines_are_a_longest_common_subsequence():
         found, rest = pagediff.shared_lines(a, b), iter(b)
         assert len(found) == best[-1][-1] and all(a[i] in rest for i in sorted(found))
     assert html.unescape("&am") == "&am"
+
+
+def test_near_duplicates_of_ids_that_repeat_with_other_texts(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(5, a), (5, b), (9, f"{b} x"), (7, f"{a} y"), (11, c), (11, c), (12, f"{c} z"), (13, "d e"), (14, None)]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {(5, 26): (5, True), (9, 27): (5, False), (7, 27): (5, False), (11, 26): (11, True), (12, 27): (11, False), (13, 1): (13, True), (14, 0): (14, True)}
+
+
+def test_without_ids_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (None, "c", 4), (2, "d", 5)], "doc_id int, gone string, Gone_ int")
+    left = common.without_ids(docs, spark.createDataFrame([(2,)], "x long"))
+    assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {(1, "a", 2), (None, "c", 4)}
+
+
+def test_decontamination_judges_rows(spark):
+    words_ = [f"w{i}" for i in range(200)]
+    item, other = " ".join(words_[:30]), " ".join(words_[30:60])
+    rows = [(1, f"x {item} y", 0), (1, "clean text", 0), (2, f"{other} {' '.join(words_[60:]) * 400}", 1), (None, item, 2), (3, None, 3), (4, "", 4), (5, item, 5), (5, item, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, known int")
+    benchmark = spark.createDataFrame([(7, item), (8, other), (7, item), (7, "zz zy zx zw zv")], "item_id long, text string")
+    clean = decontaminate.clean_documents(docs, benchmark)
+    assert clean.columns == docs.columns and sorted(tuple(r)[::2] for r in clean.collect() if r.doc_id) == [(1, 0), (3, 3), (4, 4)]
+    assert sum(r.doc_id is None for r in clean.collect()) == 1
+    assert sorted(map(tuple, decontaminate.clean_documents(docs, benchmark, group_bytes=100).collect()), key=str) == sorted(map(tuple, clean.collect()), key=str)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(docs, benchmark).collect()}
+    assert found == {(1, 7), (2, 8), (5, 7)}
