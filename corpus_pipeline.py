@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import pieces
-from ledgerframe.llm.common import Scratch, few_ids
+from ledgerframe.llm.common import Scratch, without_ids
 from ledgerframe.llm.decontaminate import clean_documents
 from ledgerframe.llm.minhash import near_duplicates
 from ledgerframe.llm.repeats import remove_repeats
@@ -24,9 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays; of rows that repeat an id, all or none."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = few_ids(Scratch(spark, "gone").write(gone, "ids"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return without_ids(docs, Scratch(spark, "gone").write(gone, "ids"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
