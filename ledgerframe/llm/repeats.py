@@ -1,15 +1,15 @@
-"""Repeated passages by hash grouping of minimisers and windows, in place of a sparse suffix array over words.
-
-Kept seeds are minimisers: of every ``min_words - seed + 1`` seeds in a row (a seed is ``seed`` words), those with the
-smallest fingerprint. Equal passages of ``min_words`` words hold equal seeds, so they keep the same ones,
-about one in twenty. Seeds are grouped by fingerprint (a count and the smallest and largest document of each, summed before the
-shuffle, so that a passage in a third of all documents costs a task one row). A seed that occurs in one document only needs no
-other document: repeats within a document are found where its text is read.
-
-No suffix is sorted and no match extended: comparing a suffix with its sorted neighbour alone misses passages where an
-occurrence with other words on the left sorts between two equal ones. Instead each window of ``min_words`` words around a
-repeated seed is grouped by fingerprint, to tell whether another document, or an earlier place of the same one, has it; runs of
-such windows are the maximal matches, the same ones that all neighbours together would give.
+"""Repeated passages by a sparse suffix array over words.
+
+1. Kept suffixes begin at minimisers: of every ``min_words - seed + 1`` seeds in a row (a seed is ``seed`` words), those with the
+   smallest fingerprint. Equal passages of ``min_words`` words hold equal seeds, so they keep the same suffixes, about one word in twenty.
+2. The kept suffixes are sorted by the fingerprints of their first ``seed`` words and compared with their neighbours. One whose neighbours
+   all begin otherwise has no match in another document and goes.
+3. The others are extended left and right word by word: to each window of ``min_words`` words that has the suffix's seed as its minimiser.
+   These are sorted and compared with their neighbours in the same way. Windows that match and touch make one span: a maximal match.
+   Extending sorted neighbours alone would miss passages: a suffix with more words in common on the right, but none on the left, may sort between two equal ones.
+
+A sort deals rows to ranges by key, document and place, so a passage in a third of all documents is a run over many tasks. Runs inside a task
+are told there; of runs that reach a task's first or last row (two a task) smallest and largest rows are aggregated and joined back.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, arrow_rows, slices
+from .common import Scratch, arrow_rows, fresh, slices
 from .fingerprints import inside, ngrams, words
 
 MIN_WORDS, SEED = 50, 10
-
+#: Rows that one task sorts and compares.
+PART_ROWS = 1_000_000
+_DOC = ("doc_id", "tag")
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` (minimum or maximum) of each ``width`` values in a row, by one pass from the left and one from the right of each block."""
@@ -49,8 +52,8 @@ def _least(hashes: np.ndarray, first: np.ndarray, min_words: int, seed: int) ->
 
 def _suffixes(min_words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            w = words(batch.column(1))
+        for batch in slices(batches, 2):
+            w = words(batch.column(2))
             grams, least = _least(w.hash, w.first, min_words, seed)
             if not len(least):
                 continue
@@ -59,23 +62,64 @@ def _suffixes(min_words: int, seed: int):
             at = np.flatnonzero(_sliding(np.concatenate([side, least, side]), min_words - seed + 1, np.maximum)[: len(grams)] == grams)
             doc = np.searchsorted(w.first, at, "right") - 1
             pairs = np.unique(np.stack([doc.astype(np.uint64), grams[at]]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["doc_id", "seed"])
+            which = pa.array(pairs[0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), batch.column(0).take(which), batch.column(1).take(which), pa.array(np.zeros(len(which), np.int64))], ["key", *_DOC, "place"])
+
+    return run
+
+
+def _compare(within: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows (key, doc_id, tag, place) of one range: those whose key another document has (with ``within``: or another place), and all rows of its first and last key."""
+        columns = [np.concatenate(x) for x in zip(*([np.asarray(c) for c in b.columns] for b in batches), strict=True)]
+        if not columns or not len(columns[0]):
+            return
+        key, doc, tag, place = columns
+        n = len(key)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(begin, n))
+        # a row differs from the one before it in its run
+        other = np.zeros(n, bool)
+        other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (within & (place[1:] != place[:-1]))
+        other[begin] = False
+        several = np.logical_or.reduceat(other, begin)
+        edge = np.zeros(len(begin), bool)
+        edge[[0, -1]] = True
+        keep = np.flatnonzero(np.repeat(several | edge, length))
+        first = np.repeat(begin, length)[keep]
+        out = [key[keep], doc[keep], tag[keep], place[keep], doc[first], (doc[keep] == doc[first]) & (tag[keep] == tag[first]), np.repeat(edge, length)[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", *_DOC, "place", "source", "own", "edge"])
 
     return run
 
 
+def _matches(rows: DataFrame, scratch: Scratch, name: str, within: bool) -> DataFrame:
+    """Rows (key, doc_id, tag, place) whose key stands in another document too (with ``within``: or at another place), with ``source``, the smallest document of the key, and ``own``: it is the row's."""
+    order = ["key", *_DOC, "place"]
+    parts = -(-rows.count() // PART_ROWS)
+    ranged = rows.select(*order).repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order)
+    found = scratch.write(ranged.mapInArrow(_compare(within), "key long, doc_id long, tag long, place long, source long, own boolean, edge boolean"), name)
+    edges = found.where("edge").groupBy("key").agg(F.min(F.struct(*_DOC)).alias("least"), F.max(F.struct(*_DOC)).alias("most"), F.min("place").alias("p"), F.max("place").alias("q"))
+    differ = (F.col("least") != F.col("most")) | (F.lit(within) & (F.col("p") != F.col("q")))
+    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")
+    joined = found.where("edge").join(edges, "key").withColumn("source", F.col("least.doc_id")).withColumn("own", F.struct(*_DOC) == F.col("least"))
+    columns = [*order, "source", "own"]
+    return found.where("not edge").select(*columns).unionByName(joined.select(*columns))
+
+
 def _windows(min_words: int, seed: int, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            w = words(batch.column(1))
+        """Columns doc_id, tag, text, seeds: a row for each window whose smallest seed is among ``seeds``, and (key null) for others that the same text has twice."""
+        for batch in slices(batches, 2):
+            w = words(batch.column(2))
             _, least = _least(w.hash, w.first, min_words, seed)
             if not len(least):
                 continue
             live = np.zeros(len(least), bool)
             here = np.zeros(len(least), bool)
-            back = np.zeros(len(least), np.int32)
+            back = np.zeros(len(least), np.int64)
             prints = ngrams(w.hash, min_words)
-            seeds = batch.column(2)
+            seeds = batch.column(3)
             for d in range(batch.num_rows):
                 a, b = int(w.first[d]), int(w.first[d + 1]) - min_words + 1
                 if b > a:
@@ -87,42 +131,64 @@ def _windows(min_words: int, seed: int, within: bool):
                         here[a:b] = count[same] > 1
             at = np.flatnonzero(live | here)
             doc = np.searchsorted(w.first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64), mask=~live[at]), batch.column(0).take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(back[at])], ["window", "doc_id", "at", "back"])
+            place = ((at - w.first[doc]) << 32) | back[at]
+            which = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64), mask=~live[at]), batch.column(0).take(which), batch.column(1).take(which), pa.array(place)], ["key", *_DOC, "place"])
 
     return run
 
 
 def _spans(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns doc_id, tag, places, sources, owns: the maximal spans of each document."""
         for batch in batches:
             out: list[tuple] = []
-            for doc, *lists in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
-                at, source, back = (np.asarray(x.values) for x in lists)
-                order = np.argsort(at, kind="stable")
-                at, source, back = at[order], source[order], back[order]
+            for doc, tag, *lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                place, source = (np.asarray(x.values) for x in lists[:2])
+                own = np.asarray(lists[2].values.cast(pa.int8())) > 0
+                order = np.argsort(place, kind="stable")
+                at, back, source, own = place[order] >> 32, place[order] & 0xFFFFFFFF, source[order], own[order]
                 # a window that overlaps the first one like it begins where that one ends, so the kept copy stays whole
-                start = np.where((source == doc) & (back > 0), np.maximum(at, at - back + min_words), at)
+                start = np.where(own & (back > 0), np.maximum(at, at - back + min_words), at)
                 for kept in (True, False):
-                    mine = ((source == doc) & (back == 0)) == kept
+                    mine = (own & (back == 0)) == kept
                     a, z, s = start[mine], at[mine] + min_words, source[mine]
                     if len(a):
                         order = np.argsort(a, kind="stable")
                         a, z, s = a[order], np.maximum.accumulate(z[order]), s[order]
                         cut = np.flatnonzero(a[1:] > z[:-1]) + 1  # windows that touch or overlap make one span
                         for x, y in zip([0, *cut], [*cut, len(a)], strict=True):
-                            out.append((doc, int(a[x]), int(z[y - 1]), kept, int(s[x:y].min())))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], ["doc_id", "start_word", "end_word", "kept", "source_id"])
+                            out.append((doc, tag, int(a[x]), int(z[y - 1]), kept, int(s[x:y].min())))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], [*_DOC, "start_word", "end_word", "kept", "source_id"])
 
     return run
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with ids that are not null; of rows that repeat an id the smallest text counts (asked for only where there are such)."""
-    docs = docs.where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs
-    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+def _tagged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, tag, text): rows with an id; tag is a digest of the text, so that rows which repeat an id with another text are told apart."""
+    text_ = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(text_).alias("tag"), text_.alias("text")).where("doc_id is not null")
+
+
+def _passages(docs: DataFrame, min_words: int, seed: int, within: bool) -> DataFrame:
+    """The spans of rows of ``_tagged``: (doc_id, tag, start_word, end_word, kept, source_id)."""
+    scratch = Scratch(docs.sparkSession, "repeats")
+    if not docs.groupBy(*_DOC).count().where("count > 1").isEmpty():
+        docs = docs.groupBy(*_DOC).agg(F.min("text").alias("text"))  # equal rows are one document
+    suffixes = scratch.write(docs.mapInArrow(_suffixes(min_words, seed), "key long, doc_id long, tag long, place long"), "suffixes")
+    found = _matches(suffixes, scratch, "seeds", False).groupBy(*_DOC).agg(F.collect_list("key").alias("seeds"))  # a document's own seeds: bounded by its text
+    found = docs.join(found.hint("shuffle_hash"), list(_DOC), "left" if within else "inner")
+    with arrow_rows(docs.sparkSession, 500):
+        windows = scratch.write(found.select(*_DOC, "text", "seeds").mapInArrow(_windows(min_words, seed, within), "key long, doc_id long, tag long, place long"), "windows")
+    for name in ("suffixes", "seeds", "seeds-edges"):
+        scratch.drop(name)
+    hits = _matches(windows.where("key is not null"), scratch, "matches", within).drop("key")
+    if within:
+        alone = windows.where("key is null").select(*_DOC, "place", F.col("doc_id").alias("source"), F.lit(True).alias("own"))
+        hits = hits.unionByName(alone)
+    hits = hits.groupBy(*_DOC).agg(*(F.collect_list(c).alias(c) for c in ("place", "source", "own")))
+    return hits.mapInArrow(_spans(min_words), "doc_id long, tag long, start_word int, end_word int, kept boolean, source_id long")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
@@ -132,26 +198,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = S
     source_id), one row per document and maximal span, words counted from 0, end excluded. kept: the document is the
     one with the smallest id that has the passage (with ``within``: and this is its first place there); source_id is that smallest id (of a
     longer span the smallest of its windows). Documents without such a passage have no row. With ``within``, a repeat that overlaps the
-    kept copy counts from that copy's end only, so such a span may be shorter. Null ids are left out, null texts are empty, rows that repeat an id count once, an empty table gives no row.
+    kept copy counts from that copy's end only, so such a span may be shorter. Null ids are left out, null texts are empty, very long texts are
+    searched whole. Rows that repeat an id with the same text count once; with another text they are documents of their own, the one with the
+    smaller digest first. Other columns, whatever their names, are ignored. An empty table gives no row.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
-    docs = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    suffixes = scratch.write(docs.mapInArrow(_suffixes(min_words, seed), "doc_id long, seed long"), "suffixes")
-    several = suffixes.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("seed")
-    found = suffixes.join(several, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # a document's own seeds: bounded by its text
-    windows = docs.join(found, "doc_id", "left" if within else "inner").select("doc_id", "text", "seeds").mapInArrow(_windows(min_words, seed, within), "window long, doc_id long, at int, back int")
-    with arrow_rows(docs.sparkSession, 500):
-        windows = scratch.write(windows, "windows")
-    scratch.drop("suffixes")
-    # back: words since the first such window of the same document; a window is null where its seed is in no other document
-    known = windows.where("window is not null")
-    least, several = F.min("doc_id").alias("source_id"), (F.count("*") > 1 if within else F.max("doc_id") > F.min("doc_id")).alias("several")
-    shared = known.groupBy("window").agg(least, several).where("several").select("window", "source_id")
-    hits = known.join(shared, "window").select("doc_id", "at", "source_id", "back")
-    if within:
-        hits = hits.unionByName(windows.where("window is null").select("doc_id", "at", F.col("doc_id").alias("source_id"), "back"))
-    hits = hits.groupBy("doc_id").agg(*(F.collect_list(a).alias(b) for a, b in (("at", "at"), ("source_id", "source"), ("back", "back"))))
-    return hits.mapInArrow(_spans(min_words), "doc_id long, start_word int, end_word int, kept boolean, source_id long")
+    return _passages(_tagged(docs, id_col, text_col), min_words, seed, within).drop("tag")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +230,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, within: bool = False) -> DataFrame:
     """The documents with every repeated passage cut out except in the document with its smallest id; with ``within``, there too but for its first place.
 
-    All rows and columns stay; n_chars follows the text where it is a column. A document that was all repeats keeps its
-    row with what is left, perhaps an empty text. Nulls stay as they are.
+    All rows and columns stay, whatever the columns are called; n_chars follows the text where it is a column. A document that was all repeats keeps its
+    row with what is left, perhaps an empty text. Nulls stay as they are. Of rows that repeat an id each is cut where its own text has repeats.
     """
-    spans = repeated_passages(docs, min_words, seed, within=within).where("not kept")
-    lists = spans.groupBy("doc_id").agg(F.collect_list("start_word").alias("__starts"), F.collect_list("end_word").alias("__ends"))
-    others = [c for c in docs.columns if c != "text"]
-    joined = docs.join(lists.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left").select("text", "__starts", "__ends", *others)
-    schema = ", ".join(["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")])
-    cut = joined.mapInArrow(_cut, schema)
+    names = {x: fresh(docs.columns, x) for x in ("starts", "ends", "row_id", "row_tag")}
+    spans = _passages(_tagged(docs, "doc_id", "text"), min_words, seed, within).where("not kept")
+    lists = spans.groupBy(*_DOC).agg(F.collect_list("start_word"), F.collect_list("end_word")).toDF(*(names[x] for x in ("row_id", "row_tag", "starts", "ends")))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    mine = (docs["doc_id"].cast("long") == F.col(names["row_id"])) & (F.xxhash64(docs["text"]) == F.col(names["row_tag"]))
+    joined = docs.join(lists.hint("shuffle_hash"), mine, "left").select("text", names["starts"], names["ends"], *others)
+    cut = joined.mapInArrow(_cut, T.StructType([T.StructField("text", T.StringType()), *(f for f in docs.schema.fields if f.name != "text")]))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.select(*(f"`{c}`" for c in docs.columns))

@@ -492,3 +492,24 @@ def test_decontamination_judges_rows(spark):
     assert sorted(map(tuple, decontaminate.clean_documents(docs, benchmark, group_bytes=100).collect()), key=str) == sorted(map(tuple, clean.collect()), key=str)
     found = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(docs, benchmark).collect()}
     assert found == {(1, 7), (2, 8), (5, 7)}
+
+
+def test_repeats_of_ids_that_repeat_with_other_texts(spark):
+    word = lambda n, p: " ".join(f"{p}{i}" for i in range(n))
+    x, y = word(60, "x"), word(100, "y")
+    rows = [(1, f"{x} a", 0), (1, y, 1), (2, f"b {x}", 2), (3, f"{y} c", 3), (3, f"{y} c", 4), (None, x, 5), (4, "short", 6), (5, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, starts int").withColumn("row_id", F.lit("z"))
+    cut = repeats.remove_repeats(docs)
+    assert cut.columns == docs.columns
+    assert {r.starts: r.text for r in cut.collect()} == {0: f"{x} a", 1: y, 2: "b ", 3: " c".lstrip(), 4: "c", 5: x, 6: "short", 7: None}
+    spans = sorted(tuple(r) for r in repeats.repeated_passages(docs).collect())
+    assert spans == [(1, 0, 60, True, 1), (1, 0, 100, True, 1), (2, 1, 61, False, 1), (3, 0, 100, False, 1)]
+
+
+def test_runs_over_several_ranges(spark, monkeypatch):
+    """A passage of most documents, in ranges far smaller than its run."""
+    monkeypatch.setattr(repeats, "PART_ROWS", 40)
+    x = " ".join(f"x{i}" for i in range(70))
+    docs = docs_of(spark, [(i, f"p{i} {x} q{i}" if i % 3 else f"r{i} s") for i in range(90)])
+    assert {tuple(r) for r in repeats.repeated_passages(docs).collect()} == {(i, 1, 71, i == 1, 1) for i in range(90) if i % 3}
+    assert {tuple(r) for r in repeats.repeated_passages(docs, within=True).collect()} == {(i, 1, 71, i == 1, 1) for i in range(90) if i % 3}
