@@ -2,11 +2,12 @@
 
 1. A page's HTML becomes lines, one per block. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
    reader comments are left out where elements, roles or class names tell them.
-2. Pages are put in order of host and path (a range sort: a host with a third of all pages spans many tasks). Of the pages before and after
-   it in its host, the one whose path shares more with it is its pair.
+2. Every page is put in order of host and path with the fingerprints of its lines (a range sort: a host with a third of all pages spans many
+   tasks). Of the pages before and after it in its host, the one whose path shares more with it is its pair.
 3. The lines of both are aligned by their longest common subsequence. Shared lines are template and go, except inside
    the article or main element, where a page has one: two versions of an article share its lines and keep them. Lines outside it
    that are not shared stay. A neighbour that has all lines of the page, or no others than the page has, is a copy and no pair.
+4. The numbers of the lines that go meet the pages' texts by one join: texts are shuffled once, all sorting is done with fingerprints.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 from os.path import commonprefix
 
 import numpy as np
@@ -23,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, partitions_for, slices, text_bytes
+from .common import Scratch, arrow_rows, partitions_for, slices
 from .urls import host_of, path_of
 
-PART_BYTES = 16 << 20
+#: Pages (their fingerprints only) that one task sorts.
+PART_ROWS = 100_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 # Element and class names of HTML and of common page templates.
@@ -139,7 +142,7 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
     return [x for x, _ in lines], [bool(k & level) for _, k in lines]
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """The places in ``a`` of a longest common subsequence of both (Hunt and Szymanski, 1977)."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -148,7 +151,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     found = {*range(head), *range(len(a) - tail, len(a))}
-    places: dict[str, list[int]] = {}
+    places: dict[object, list[int]] = {}
     for j in range(len(b) - tail - 1, head - 1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -169,10 +172,26 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ROW = ("host", "path", "url", "page_id", "k1", "k2")
+_ROW_KINDS = "host string, path string, url string, page_id long, k1 long, k2 long"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column html and others: the lines in one text."""
+    for batch in slices(batches, 0):
+        texts = ["\n".join(page_lines(x or "")[0]) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", *batch.schema.names[1:]])
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column html and others: the lines' fingerprints, and which of them stand in the main element."""
     for batch in slices(batches, 0):
-        parsed = [page_lines(x or "") for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parsed], pa.list_(pa.string())), pa.array([x for _, x in parsed], pa.list_(pa.bool_())), *batch.columns[1:]], ["lines", "main", *batch.schema.names[1:]])
+        lines, main = [], []
+        for x in batch.column(0).to_pylist():
+            found, inside = page_lines(x or "")
+            lines.append([int.from_bytes(blake2b(t.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in found])
+            main.append(inside)
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.int64())), pa.array(main, pa.list_(pa.bool_())), *batch.columns[1:]], ["lines", "main", *batch.schema.names[1:]])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,35 +202,43 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def template_lines(page: dict, before: dict | None, after: dict | None) -> list[int]:
+    """The places of a page's shared lines outside its main element, told by its pair among the pages (host, path, lines, main) before and after it."""
+    near = [o for o in (before, after) if o and o["host"] and o["host"] == page["host"] and o["lines"]]
+    near.sort(key=lambda o: -len(commonprefix([o["path"], page["path"]])))  # stable: of equally near ones the one before
+    for o in near:
+        shared = shared_lines(page["lines"], o["lines"])
+        if len(shared) < min(len(page["lines"]), len(o["lines"])):
+            return sorted(i for i in shared if not page["main"][i])
+    return []
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, texts = batch.to_pylist(), []
-        for r in rows:
-            lines, main = r["lines"], r["main"]
-            near = [o for o in (r["before"], r["after"]) if o and o["host"] and o["host"] == r["host"]]
-            near.sort(key=lambda o: -len(commonprefix([o["path"], r["path"]])))  # stable: of equally near ones the one before
-            shared = (shared_lines(lines, o["lines"]) if len(o["lines"]) else set() for o in near)
-            gone = next((x for o, x in zip(near, shared, strict=True) if len(x) < min(len(lines), len(o["lines"]))), set())
-            keep = [x for i, (x, m) in enumerate(zip(lines, main, strict=True)) if m or i not in gone]
-            texts.append("\n".join(keep))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        gone = [template_lines(r, r["before"], r["after"]) for r in batch.to_pylist()]
+        some = pa.array([bool(x) for x in gone], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], ["k1", "k2", "gone"]).filter(some)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row: the main text (empty if none) and its code points.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns page_id, url, text, gone: the text without these lines."""
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for i in np.flatnonzero(np.asarray(batch.column(3).is_valid())).tolist():
+            gone = set(batch.column(3)[i].as_py())
+            texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    A null html is empty. Pages with a null url, or one without a host, have no pair and keep all their lines. Of two
-    equally near pages the one before (host, path, url, page_id) is the pair; if the nearer one is a copy, the other is. Rows that repeat stand for themselves. An empty table gives an empty result.
-    """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "pages")
-    rows = pages.select("html", F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    lined = scratch.write(rows.mapInArrow(_lines, "lines array<string>, main array<boolean>, page_id long, url string, host string, path string"), "lines")
-    n = partitions_for(text_bytes(rows, "html"), PART_BYTES, spark.sparkContext.defaultParallelism)
-    order = ["host", "path", "url", "page_id"]
-    schema = "lines array<string>, main array<boolean>, page_id long, url string, host string, path string, part long, at long"
-    placed = scratch.write(lined.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_number, schema), "sorted")
-    scratch.drop("lines")
+
+def template(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, gone) of the rows (html and ``_ROW``) that share lines with their pair: the places of the lines that go. Equal rows count once."""
+    spark = rows.sparkSession
+    prints = rows.mapInArrow(_prints, f"lines array<long>, main array<boolean>, {_ROW_KINDS}").dropDuplicates(["k1", "k2"])
+    prints = scratch.write(prints, "prints")
+    n = partitions_for(prints.count(), PART_ROWS, spark.sparkContext.defaultParallelism)
+    schema = f"lines array<long>, main array<boolean>, {_ROW_KINDS}, part long, at long"
+    placed = scratch.write(prints.repartitionByRange(n, *_ROW).sortWithinPartitions(*_ROW).mapInArrow(_number, schema), "sorted")
+    scratch.drop("prints")
     # the last page of each range also stands before the first of the next one, and the other way round
     ends = placed.groupBy("part").agg(F.max("at").alias("last"))  # a row per range
     ends = ends.select("part", "last", F.lead("part").over(Window.orderBy("part")).alias("next"), F.lag("part").over(Window.orderBy("part")).alias("prior"))
@@ -222,5 +249,22 @@ def main_text(pages: DataFrame) -> DataFrame:
     beside = Window.partitionBy("part").orderBy("at")
     other = F.struct("host", "path", "lines")
     both = both.withColumn("before", F.lag(other).over(beside)).withColumn("after", F.lead(other).over(beside)).where(f"at >= 0 and at < {1 << 60}")
-    with arrow_rows(spark, 500):
-        return scratch.write(both.select("page_id", "url", "host", "path", "lines", "main", "before", "after").mapInArrow(_difference, "page_id long, url string, text string, n_chars long"), "text")
+    with arrow_rows(spark, 200):
+        gone = scratch.write(both.select("k1", "k2", "host", "path", "lines", "main", "before", "after").mapInArrow(_gone, "k1 long, k2 long, gone array<int>"), "gone")
+    scratch.drop("sorted")
+    return gone
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row: the main text (empty if none) and its code points.
+
+    A null html is empty; very long pages are read whole. Pages with a null url, or one without a host, have no pair and keep all their lines. Of two
+    equally near pages the one before (host, path, url, page_id) is the pair; if the nearer one is a copy, the other is. Rows that are equal in
+    page_id, url and html have one result. Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    """
+    rows = pages.select("html", F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64(F.lit(1), "html", "url", "page_id")})
+    gone = template(rows.select("html", *_ROW), Scratch(pages.sparkSession, "pages"))
+    texts = rows.select("html", "page_id", "url", "k1", "k2").mapInArrow(_texts, "text string, page_id long, url string, k1 long, k2 long")
+    joined = texts.join(gone.hint("shuffle_hash"), ["k1", "k2"], "left").select("page_id", "url", "text", "gone")
+    return joined.mapInArrow(_cut, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
