@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _FORMATS = {T.ByteType: ">b", T.ShortType: ">h", T.IntegerType: ">i", T.LongType: ">q", T.FloatType: ">f", T.DoubleType: ">d"}
 
@@ -33,7 +35,7 @@ def encode(value: object, kind: T.DataType) -> bytes:
     if isinstance(kind, T.ArrayType):
         return struct.pack(">I", len(value)) + b"".join(_optional(kind.containsNull, v, lambda v=v: encode(v, kind.elementType)) for v in value)
     if isinstance(kind, T.MapType):
-        pairs = sorted(value.items(), key=lambda x: encode(x[0], kind.keyType))
+        pairs = sorted(dict(value).items(), key=lambda x: encode(x[0], kind.keyType))
         return struct.pack(">I", len(pairs)) + b"".join(encode(k, kind.keyType) + _optional(kind.valueContainsNull, v, lambda v=v: encode(v, kind.valueType)) for k, v in pairs)
     if isinstance(kind, T.StructType):
         get = (lambda f: value[f]) if isinstance(value, dict | Row) else (lambda f: getattr(value, f))
@@ -87,14 +89,35 @@ def decode(data: bytes, kind: T.DataType) -> object:
     return value
 
 
+def _for_arrow(value: object, kind: T.DataType) -> object:
+    """``decode``'s value as Arrow takes it: maps as pairs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.ArrayType):
+        return [_for_arrow(v, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType):
+        return [(k, _for_arrow(v, kind.valueType)) for k, v in value.items()]
+    if isinstance(kind, T.StructType):
+        return {f.name: _for_arrow(value[f.name], f.dataType) for f in kind.fields}
+    return value
+
+
 def encoded(row: Column, kind: T.StructType) -> Column:
-    """A struct column as its bytes (for interchange; Python, one row at a time)."""
-    return F.udf(lambda r: None if r is None else bytearray(encode(r, kind)), T.BinaryType())(row)
+    """A struct column as its bytes (for interchange; by Arrow batches)."""
+
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else encode(r, kind) for r in rows.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, T.BinaryType())(row)
 
 
 def decoded(data: Column, kind: T.StructType) -> Column:
     """The reverse of ``encoded``."""
-    return F.udf(lambda b: None if b is None else decode(bytes(b), kind), kind)(data)
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else _for_arrow(decode(b, kind), kind) for b in values.to_pylist()], to_arrow_type(kind))
+
+    return F.arrow_udf(run, kind)(data)
 
 
 def encoded_size(value: object, kind: T.DataType) -> int:

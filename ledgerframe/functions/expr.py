@@ -8,6 +8,7 @@ lenient mode and fails the query in strict mode. A row is kept if the whole is t
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -71,6 +72,46 @@ def wrap(value: object) -> Expr:
     return value if isinstance(value, Expr) else Lit(value)
 
 
+#: How each kind of node is told in a serialised tree.
+_TAGS = {"BIN": Bin, "UN": Un, "LIT": Lit, "COL": Col, "CAPTURE": Capture}
+_OPERATIONS = {"BIN": frozenset("GT GE LT LE EQ NEQ AND OR IN NOT_IN MAP_GET".split()), "UN": frozenset("NOT IS_NULL IS_NOT_NULL".split())}
+
+
+def dump(node: Expr, captures: tuple = ()) -> str:
+    """A predicate as JSON text: its captures, then its tree."""
+
+    def tree(x: Expr) -> list:
+        if isinstance(x, Bin):
+            return ["BIN", x.op, tree(x.left), tree(x.right)]
+        if isinstance(x, Un):
+            return ["UN", x.op, tree(x.child)]
+        return next([tag, getattr(x, field)] for tag, field in (("LIT", "value"), ("COL", "name"), ("CAPTURE", "index")) if isinstance(x, _TAGS[tag]))
+
+    return json.dumps({"captures": list(captures), "tree": tree(node)})
+
+
+def parse(text: str) -> tuple[Expr, tuple]:
+    """The predicate and the captures of ``dump``'s text. Anything else raises ValueError."""
+
+    def node(x: object) -> Expr:
+        if not isinstance(x, list) or not x or x[0] not in _TAGS:
+            raise ValueError(f"no node: {x!r}")
+        tag, *parts = x
+        if tag in _OPERATIONS:
+            if len(parts) != (3 if tag == "BIN" else 2) or parts[0] not in _OPERATIONS[tag]:
+                raise ValueError(f"no {tag} node: {parts!r}")
+            return _TAGS[tag](parts[0], *map(node, parts[1:]))
+        kinds = {"LIT": str | float | int | bool | None, "COL": str, "CAPTURE": int}[tag]
+        if len(parts) != 1 or not isinstance(parts[0], kinds):
+            raise ValueError(f"no {tag} node: {parts!r}")
+        return _TAGS[tag](parts[0])
+
+    found = json.loads(text)
+    if not isinstance(found, dict) or not isinstance(found.get("captures"), list):
+        raise ValueError("captures and a tree are needed")
+    return node(found.get("tree")), tuple(found["captures"])
+
+
 def columns(node: Expr) -> set[str]:
     """The columns that an expression reads."""
     if isinstance(node, Col):
@@ -237,8 +278,3 @@ def compile_predicate(node: Expr, schema: T.StructType, captures: tuple = (), st
     if strict:
         return F.when(found.error, F.raise_error(F.lit("type error in a predicate")).cast("boolean")).otherwise(keep)
     return keep & ~found.error
-
-
-def matches(node: Expr, schema: T.StructType, captures: tuple = (), **options: bool) -> Column:
-    """Another name for ``compile_predicate`` where a query is built by hand."""
-    return compile_predicate(node, schema, captures, **options)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,5 +118,44 @@ def percent_decoded(text: str | None) -> str | None:
 
 
 def percent_decode(text: Column) -> Column:
-    """``percent_decoded`` of each row."""
-    return F.udf(percent_decoded, "string")(text)
+    """``percent_decoded`` of each row, by Arrow batches."""
+    return _each(percent_decoded, "string")(text)
+
+
+def _each(f: Callable, kind: str) -> Callable[[Column], Column]:
+    """A column function that applies ``f`` to the values of Arrow batches; null stays null."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(v) for v in values.to_pylist()], {"string": pa.string(), "long": pa.int64()}[kind])
+
+    return F.arrow_udf(run, kind)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fnv1a_64_of(data: Column) -> Column:
+    """``fnv1a_64`` of each binary value, as a signed long."""
+    return _each(lambda b: _signed(fnv1a_64(b)), "long")(data)
+
+
+def crc32c_of(data: Column) -> Column:
+    """``crc32c`` of each binary value."""
+    return _each(lambda b: crc32c(b), "long")(data)
+
+
+def siphash_2_4_of(data: Column, k0: int, k1: int) -> Column:
+    """``siphash_2_4`` of each binary value, as a signed long."""
+    return _each(lambda b: _signed(siphash_2_4(b, k0, k1)), "long")(data)
+
+
+def be64_of(value: Column) -> Column:
+    """The eight big-endian bytes of a long (two's complement)."""
+    return F.to_binary(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit("hex"))
+
+
+def be64_value(data: Column) -> Column:
+    """The long of eight big-endian bytes."""
+    unsigned = F.conv(F.hex(F.substring(data, 1, 8)), 16, 10).cast("decimal(20,0)")
+    return F.when(unsigned >= F.lit(str(1 << 63)).cast("decimal(20,0)"), unsigned - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(unsigned).cast("long")

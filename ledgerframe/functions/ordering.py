@@ -65,3 +65,28 @@ def before(schema: T.StructType, key: list[str], values: tuple, natural: bool =
     for a, b in reversed(list(zip(left, right, strict=True))):
         found = (a < b) | (a.eqNullSafe(b) & found)
     return found
+
+
+def order_value(value: object, kind: T.DataType, natural: bool = False) -> tuple | None:
+    """A value's place in key order as something that Python compares like ``order_columns`` does; None where it cannot be told here."""
+    if value is None:
+        return None
+    if isinstance(kind, T.BooleanType):
+        return (value,)
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        return (value,) if natural else (value < 0, value)
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        number = (value != value, 0.0 if value != value else value)
+        return number if natural else (value < 0, number[0], abs(number[1]))
+    if isinstance(kind, T.StringType):
+        data = value.encode()
+        return (data,) if natural else (len(data), data)
+    return None
+
+
+def key_place(values: tuple | list | None, schema: T.StructType, key: list[str], natural: bool = False) -> tuple | None:
+    """A whole key's place, part by part; None where one part cannot be told."""
+    if values is None:
+        return None
+    places = [order_value(v, schema[k].dataType, natural) for k, v in zip(key, values, strict=True)]
+    return None if None in places else tuple(places)

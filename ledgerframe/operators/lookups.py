@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..functions.ordering import at_least, before, key_order
-from .state import META
+from .state import META, rows_at
 
 BLOB_BYTES = 16384
 
@@ -41,6 +41,16 @@ def lookup(rows: DataFrame, key: list[str], probes: DataFrame) -> DataFrame:
     return rows.join(probes.select(*key).distinct(), key)
 
 
+def any_row(rows: DataFrame, keep: Column, name: str) -> DataFrame:
+    """One row: whether any row fits. The condition reaches the scan, and a task stops at its first match."""
+    return rows.where(keep).select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias(name))
+
+
+def keys(rows: DataFrame, key: list[str], start: tuple | None = None, end: tuple | None = None, natural: bool = False) -> DataFrame:
+    """The keys of a range in key order; no value is read."""
+    return scan(rows.select(*key), key, start, end, natural)
+
+
 def find_by(rows: DataFrame, column: str, value: object) -> DataFrame:
     """The row with a value in a unique index column (null finds null); of several the one written last."""
     found = rows.where(F.col(column).eqNullSafe(F.lit(value)))
@@ -54,7 +64,7 @@ def find_all_by(rows: DataFrame, column: str, value: object) -> DataFrame:
 
 def unique_index(rows: DataFrame, column: str, key: list[str]) -> DataFrame:
     """(column, key...): each value and the row that was written last with it."""
-    return rows.groupBy(column).agg(F.max_by(F.struct(*key), "seq").alias("k")).select(column, "k.*")
+    return rows_at(rows, rows.groupBy(column).agg(F.max("seq").alias("seq")).select("seq")).select(column, *key)
 
 
 def split_blobs(rows: DataFrame, column: str, blob_id: str, threshold: int = BLOB_BYTES) -> tuple[DataFrame, DataFrame]:

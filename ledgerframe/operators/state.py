@@ -16,14 +16,18 @@ def value_columns(log: DataFrame, key: list[str]) -> list[str]:
     return [c for c in log.columns if c not in (*META, *key)]
 
 
+def rows_at(log: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The writes with these sequence numbers (one column ``seq``). Numbers are hashed on their side; the log is neither sorted nor gathered by key."""
+    return log.join(seqs.hint("shuffle_hash"), "seq", "left_semi").select(*log.columns)
+
+
 def latest(log: DataFrame, key: list[str]) -> DataFrame:
     """The newest row of each key, tombstones included.
 
-    One aggregation: each task keeps its newest row per key before the shuffle, so a hot key costs a task one row.
+    The newest number of each key is a hash aggregation over numbers and keys alone, summed before the shuffle; the rows with these
+    numbers are then picked by an equi-join on seq, which is unique. So a hot key costs a task one number, and values are read but once.
     """
-    rest = [c for c in log.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), "seq").alias("__row")
-    return log.groupBy(*key).agg(newest).select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*log.columns)
+    return rows_at(log, log.groupBy(*key).agg(F.max("seq").alias("seq")).select("seq"))
 
 
 def live(rows: DataFrame) -> DataFrame:

@@ -6,30 +6,42 @@ import json
 import secrets
 from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Expr, compile_predicate
 from ..functions.hashing import fnv1a_64
-from ..functions.ordering import key_order
-from ..sources.changelog import ChangeLog
+from ..functions.ordering import key_order, key_place
+from ..sources.changelog import FILE_BYTES, LEVEL_BYTES, ChangeLog
 from ..sources.manifest import Conflict, Files
 from . import history as versions
 from . import lookups, stats
 from .state import META, current
 
-#: What each preset keeps: whether old versions stay after ``compact``.
-PRESETS = {"ULTRA_FAST": {"history": False}, "FAST": {"history": False}, "NORMAL": {"history": True}, "DURABLE": {"history": True}}
+#: Options and their defaults: whether old versions stay after ``compact`` and how many sequence numbers of them after ``close``, the key
+#: order, how many level-0 batches start a compaction (None: only ``compact`` does), the size of compacted files, what level 1 may
+#: hold, and whether the state that a read has merged is kept in memory until the next commit.
+OPTIONS = {"history": True, "keep_seqs": 1_000_000, "ordering": "reference", "max_l0": None, "file_bytes": FILE_BYTES, "level_bytes": LEVEL_BYTES, "promote_reads": False}
+#: What the presets set otherwise; options that are given count before them.
+PRESETS = {"ULTRA_FAST": {"history": False, "promote_reads": True}, "FAST": {"history": False, "promote_reads": True}, "NORMAL": {}, "DURABLE": {"keep_seqs": None}}
 
 
 class Database:
-    """Tables below one folder. ``catalog/<table>.json`` holds each table's schema, key, indexes and identity."""
+    """Tables below one folder. ``catalog/<table>.json`` holds each table's schema, key and identity, ``catalog/<table>.index`` its indexes.
 
-    def __init__(self, spark: SparkSession, path: str, preset: str = "NORMAL", **options: object) -> None:
-        if preset not in PRESETS:
+    Preset and options are stored at the first opening; a later one without any takes them from there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, preset: str | None = None, **options: object) -> None:
+        if preset is not None and preset not in PRESETS:
             raise ValueError(f"presets are {', '.join(PRESETS)}")
-        self.spark, self.path, self.options = spark, path.rstrip("/"), PRESETS[preset] | options
+        if unknown := options.keys() - OPTIONS.keys():
+            raise ValueError(f"unknown options {', '.join(sorted(unknown))}; there are {', '.join(OPTIONS)}")
+        if options.get("ordering", "reference") not in ("reference", "natural"):
+            raise ValueError("ordering is reference or natural")
+        self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, self.path)
         self.closed = False
         self.tables: dict[str, Table] = {}
@@ -38,21 +50,35 @@ class Database:
         except Conflict:
             pass  # known from before
         self.node_id = json.loads(self.files.read("node.json"))["node_id"]
+        try:
+            self.files.create("options.json", json.dumps({"preset": preset or "NORMAL", "options": options}))
+        except Conflict:
+            pass
+        stored = json.loads(self.files.read("options.json"))
+        if preset is None and not options:
+            preset, options = stored["preset"], stored["options"]
+        self.options = OPTIONS | PRESETS[preset or "NORMAL"] | options
 
     def table(self, name: str, schema: T.StructType | str | None = None, key: list[str] | str | None = None) -> Table:
-        """A table by name; schema and key are needed the first time and must agree later."""
+        """A table by name; schema and key are needed the first time and must agree later (whether columns may be null does not count)."""
         self.check_open()
+        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        key = [key] if isinstance(key, str) else key
         if name not in self.tables:
             entry = f"catalog/{name}.json"
             known = json.loads(self.files.read(entry)) if f"{name}.json" in self.files.names("catalog") else None
             if known is None:
                 if schema is None or key is None:
                     raise ValueError(f"table {name} is new: give its schema and key")
-                schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-                known = {"name": name, "id": fnv1a_64(name), "key": [key] if isinstance(key, str) else key, "schema": json.loads(schema.json())}
+                if missing := set(key) - set(schema.fieldNames()):
+                    raise ValueError(f"no key column {', '.join(sorted(missing))}")
+                known = {"name": name, "id": fnv1a_64(name), "key": key, "schema": json.loads(schema.json())}
                 self.files.create(entry, json.dumps(known))
             self.tables[name] = Table(self, name, T.StructType.fromJson(known["schema"]), known["key"])
-        return self.tables[name]
+        found = self.tables[name]
+        if key is not None and key != found.key or schema is not None and schema.simpleString() != found.schema.simpleString():
+            raise ValueError(f"table {name} has the key {found.key} and the columns {found.schema.simpleString()}")
+        return found
 
     def check_open(self) -> None:
         if self.closed:
@@ -65,16 +91,22 @@ class Database:
     force_flush = force_sync
 
     def close(self) -> None:
-        """Later calls fail; closing again does nothing."""
+        """Drops versions beyond ``keep_seqs`` sequence numbers of the open tables; later calls fail. Closing again does nothing."""
+        if self.closed:
+            return
+        for t in self.tables.values():
+            t.retain()
+            t.forget()
         self.closed = True
 
     def stats(self) -> DataFrame:
-        """One row per open table."""
+        """One row per table; none without tables."""
         self.check_open()
-        rows = None
-        for t in self.tables.values():
-            one = t.stats().select(F.lit(t.name).alias("table"), "*")
-            rows = one if rows is None else rows.unionByName(one)
+        rows = self.spark.createDataFrame([], "table string, writes long, puts long, deletes long, last_seq long, keys long, live_keys long, tombstones long")
+        for name in self.files.names("catalog"):
+            if name.endswith(".json"):
+                t = self.table(name.removesuffix(".json"))
+                rows = rows.unionByName(t.stats().select(F.lit(t.name).alias("table"), "*"))
         return rows
 
 
@@ -132,32 +164,73 @@ class Table:
 
     def __init__(self, database: Database, name: str, schema: T.StructType, key: list[str]) -> None:
         self.database, self.name, self.schema, self.key = database, name, schema, key
-        self.natural = database.options.get("ordering", "reference") == "natural"
-        self.indexes: set[str] = set()
-        self.changes = ChangeLog(database.spark, f"{database.path}/tables/{name}", schema, key, database.node_id)
+        self.natural = database.options["ordering"] == "natural"
+        self.indexes = set(database.files.names(f"catalog/{name}.index"))
+        self.changes = ChangeLog(database.spark, f"{database.path}/tables/{name}", schema, key, database.node_id, self.natural)
+        self.codecs: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {}
+        self.promoted: DataFrame | None = None
+        self.changes.on_commit.append(lambda _: self.forget())
+
+    def codec(self, column: str, encode: Callable[[Column], Column], decode: Callable[[Column], Column]) -> Table:
+        """A value column that is stored as ``encode`` makes it and read as ``decode`` does; the schema has the stored type."""
+        if column in self.key or column not in self.schema.fieldNames():
+            raise KeyError(f"{column} is no value column")
+        self.codecs[column] = encode, decode
+        return self
+
+    def _decoded(self, log: DataFrame) -> DataFrame:
+        return log.withColumns({c: decode(F.col(c)) for c, (_, decode) in self.codecs.items()}) if self.codecs else log
 
     def log(self) -> DataFrame:
         """All writes that are kept."""
         self.database.check_open()
-        return self.changes.read_all()
+        return self._decoded(self.changes.read_all())
 
-    def state_log(self) -> DataFrame:
-        """Writes that tell the current state: a compacted base and those since."""
+    def state_log(self, **bounds: tuple | None) -> DataFrame:
+        """Writes that tell the current state: compacted batches and those since; only batches that may have keys in the bounds (``ChangeLog.overlapping``)."""
         self.database.check_open()
-        return self.changes.read()
+        return self._decoded(self.changes.read(**bounds))
 
     def rows(self) -> DataFrame:
         """The live rows."""
-        return current(self.state_log(), self.key).select(*self.schema.fieldNames())
+        self.database.check_open()
+        if self.promoted is not None:
+            return self.promoted
+        found = current(self.state_log(), self.key).select(*self.schema.fieldNames())
+        if self.database.options["promote_reads"]:
+            self.promoted = found = found.persist(StorageLevel.MEMORY_AND_DISK)
+        return found
+
+    def forget(self) -> None:
+        """Lets the state go that ``promote_reads`` keeps; each commit does."""
+        if self.promoted is not None:
+            self.promoted.unpersist()
+            self.promoted = None
+
+    def _frame(self, values: list, names: list[str]) -> tuple[DataFrame, tuple[int, Row | None, Row | None]]:
+        """Rows of ``names`` numbered from 0 in the order of a list, their number, and the first and the last key (None where it cannot be told here)."""
+        fields = [T.StructField(n, self.schema[n].dataType, True) for n in names]
+        rows = [tuple(r.get(n) for n in names) if isinstance(r, dict) else tuple(r[n] for n in names) if isinstance(r, Row) else tuple(r) if isinstance(r, tuple | list) else (r,) for r in values]
+        places = [key_place([r[names.index(k)] for k in self.key], self.schema, self.key, self.natural) for r in rows]
+        first = last = None
+        if rows and None not in places:
+            ends = (rows[places.index(min(places))], rows[places.index(max(places))])
+            first, last = (Row(**{k: r[names.index(k)] for k in self.key}) for r in ends)
+        frame = self.database.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], T.StructType([T.StructField("__i", T.LongType()), *fields]))
+        return frame, (len(rows), first, last)
+
+    def _append(self, rows: DataFrame | list, names: list[str], op: str) -> int:
+        self.database.check_open()
+        frame, ends = (rows, None) if isinstance(rows, DataFrame) else self._frame(rows, names)
+        if self.codecs and op != "D":
+            frame = frame.withColumns({c: encode(F.col(c)) for c, (encode, _) in self.codecs.items() if c in frame.columns})
+        return self._tidied(self.changes.append(frame, op, ends=ends))
 
-    def _frame(self, rows: DataFrame | list) -> tuple[DataFrame, list[Column]]:
-        """Rows to write and their order: that of a list, or of the key in a DataFrame."""
-        if isinstance(rows, DataFrame):
-            return rows, key_order(rows.schema, self.key, self.natural)
-        names = self.schema.fieldNames()
-        values = [(i, *([r.get(n) for n in names] if isinstance(r, dict) else [r[n] for n in names] if isinstance(r, Row) else r)) for i, r in enumerate(rows)]
-        nullable = [T.StructField(f.name, f.dataType, True) for f in self.schema.fields]
-        return self.database.spark.createDataFrame(values, T.StructType([T.StructField("__i", T.LongType()), *nullable])), [F.col("__i")]
+    def _tidied(self, seq: int) -> int:
+        o = self.database.options
+        if o["max_l0"]:
+            self.changes.tidy(o["max_l0"], o["history"], o["level_bytes"], o["file_bytes"])
+        return seq
 
     def _keys(self, keys: list) -> DataFrame:
         kinds = T.StructType([self.schema[k] for k in self.key])
@@ -171,54 +244,67 @@ class Table:
         return found
 
     def put(self, rows: DataFrame | list) -> int:
-        """Inserts or replaces; of several rows with one key the last in order stays. Returns the last sequence number."""
-        self.database.check_open()
-        frame, order = self._frame(rows)
-        return self.changes.append(frame, "P", order)
+        """Inserts or replaces; of several rows with one key the last in the list's, or the DataFrame's, order stays. Returns the last sequence number."""
+        return self._append(rows, self.schema.fieldNames(), "P")
 
     def remove(self, keys: DataFrame | list) -> int:
         """Deletes keys; one that is not there gets a tombstone too."""
-        self.database.check_open()
-        frame = keys if isinstance(keys, DataFrame) else self._keys(keys)
-        return self.changes.append(frame.select(*self.key), "D", key_order(frame.schema, self.key, self.natural))
+        return self._append(keys.select(*self.key) if isinstance(keys, DataFrame) else keys, self.key, "D")
 
     def upsert(self, keys: DataFrame | list, assign: dict[str, Column]) -> int:
         """Sets columns of the given keys, from their old values; a key that is not there starts with nulls and its own key."""
         self.database.check_open()
         probes = keys if isinstance(keys, DataFrame) else self._keys(keys)
-        rows = lookups.upsert_rows(current(self.state_log(), self.key), self.key, probes, assign)
-        return self.changes.append(rows, "P", key_order(self.schema, self.key, self.natural))
+        return self._append(lookups.upsert_rows(current(self.state_log(), self.key), self.key, probes, assign), [], "P")
+
+    def _near(self, key: object) -> dict[str, tuple]:
+        """The bounds of one key."""
+        key = key if isinstance(key, tuple) else (key,)
+        return {"start": key, "last": key}
 
     def get(self, key: object) -> Row | None:
-        found = current(self.state_log().where(self._is(key)), self.key).select(*self.schema.fieldNames()).limit(1).collect()
+        """The live row of a key; only batches that may have it are opened."""
+        found = current(self.state_log(**self._near(key)).where(self._is(key)), self.key).select(*self.schema.fieldNames()).limit(1).collect()
         return found[0] if found else None
 
     def get_many(self, probes: DataFrame) -> DataFrame:
         return lookups.lookup(self.rows(), self.key, probes)
 
     def exists(self, key: object) -> bool:
-        return not current(self.state_log().where(self._is(key)).select("seq", "op", *self.key), self.key).isEmpty()
+        return not current(self.state_log(**self._near(key)).where(self._is(key)).select("seq", "op", *self.key), self.key).isEmpty()
+
+    def _in_range(self, start: object, end: object, columns: list[str]) -> DataFrame:
+        """The live rows with start <= key < end, from the batches that may have any."""
+        start, end = (None if b is None else b if isinstance(b, tuple) else (b,) for b in (start, end))
+        log = self.state_log(start=start, end=end).select("seq", "op", *columns)
+        return current(lookups.in_range(log, self.key, start, end, self.natural), self.key).select(*columns)
 
     def scan(self, start: object = None, end: object = None) -> DataFrame:
         """Rows with start <= key < end in key order."""
-        bounds = [None if b is None else b if isinstance(b, tuple) else (b,) for b in (start, end)]
-        return lookups.scan(self.rows(), self.key, *bounds, self.natural)
+        return lookups.scan(self._in_range(start, end, self.schema.fieldNames()), self.key, natural=self.natural)
+
+    def keys(self, start: object = None, end: object = None) -> DataFrame:
+        """The live keys with start <= key < end in key order; values are not read."""
+        return lookups.scan(self._in_range(start, end, self.key), self.key, natural=self.natural)
 
     def count(self, start: object = None, end: object = None) -> int:
         """Live rows, or those of a key range; values are not read."""
-        bounds = [None if b is None else b if isinstance(b, tuple) else (b,) for b in (start, end)]
-        keys = current(self.state_log().select("seq", "op", *self.key), self.key)
-        return lookups.in_range(keys, self.key, *bounds, self.natural).count()
+        return self._in_range(start, end, self.key).count()
 
     def query(self, predicate: Column | Expr | Callable[[Row], bool] | None = None, **options: object) -> Query:
         q = Query(self)
         return q if predicate is None else q.where(predicate, **options)
 
     def index(self, column: str) -> Table:
-        """Registers a column for ``find_by``. The index is derived from the rows; nothing is stored."""
+        """Registers a column for ``find_by``, in the catalog too. The index is derived from the rows, so rows written before are found."""
         if column not in self.schema.fieldNames():
             raise KeyError(column)
-        self.indexes.add(column)
+        if column not in self.indexes:
+            try:
+                self.database.files.create(f"catalog/{self.name}.index/{column}", "")
+            except Conflict:
+                pass  # another process did
+            self.indexes.add(column)
         return self
 
     def find_by(self, column: str, value: object) -> Row | None:
@@ -241,28 +327,28 @@ class Table:
         return versions.history(self.log(), self._is(key))
 
     def _history_kept(self) -> None:
-        if not self.database.options.get("history", True):
+        if not self.database.options["history"]:
             raise RuntimeError("this database keeps no history")
 
     def rollback_to(self, seq: int) -> int:
         """Writes that restore every key's state after ``seq``."""
+        self.database.check_open()
         self._history_kept()
-        log = self.log()
-        rows = versions.rollback_targets(log, self.key, seq)
-        return self.changes.append(rows, "", key_order(self.schema, self.key, self.natural), "rollback")
+        return self._tidied(self.changes.append(versions.rollback_targets(self.changes.read_all(), self.key, seq), "", "rollback"))
 
     def rollback_key(self, key: object, seq: int) -> int:
         """One write that restores a key's state after ``seq``, changed or not."""
+        self.database.check_open()
         self._history_kept()
-        then = versions.get_at(self.log(), self.key, self._is(key), seq)
-        found = then.collect()
-        if not found:
-            return self.changes.append(self._keys([key]), "D", key_order(self.schema, self.key, self.natural), "rollback")
-        return self.changes.append(then.drop(*META), "P", key_order(self.schema, self.key, self.natural), "rollback")
+        then = versions.get_at(self.changes.read_all(), self.key, self._is(key), seq)
+        if then.isEmpty():
+            return self.changes.append(self._keys([key]), "D", "rollback")
+        return self.changes.append(then.drop(*META), "P", "rollback")
 
     def prune_before(self, seq: int, keep_newest: bool = True) -> int:
         """Drops versions older than ``seq``; returns how many. See ``history.prune_before``."""
-        log = self.log()
+        self.database.check_open()
+        log = self.changes.read_all()
         before = log.count()
         kept = versions.prune_before(log, self.key, seq, keep_newest)
         after = kept.count()
@@ -270,13 +356,28 @@ class Table:
             self.changes.replace(kept)
         return before - after
 
-    def compact(self, files: int = 1) -> None:
-        """One base of the live rows, clustered by key, for reads of the current state. Where the preset keeps history, the log stays beside it; else older versions and tombstones go."""
-        self.database.check_open()
-        self.changes.compacted(files, self.database.options.get("history", True))
+    def retain(self) -> int:
+        """Drops versions more than ``keep_seqs`` sequence numbers old, if there are any; each key's newest stays. Returns how many."""
+        keep, version = self.database.options["keep_seqs"], self.changes.manifest.current()
+        if not self.database.options["history"] or keep is None or not any(b.min_seq < version.next_seq - keep for b in self.changes.history_of(version)):
+            return 0
+        return self.prune_before(version.next_seq - keep)
 
-    def stats(self) -> DataFrame:
-        return stats.log_stats(self.state_log(), self.key)
+    def compact(self, files: int | None = None) -> None:
+        """One base of the live rows, clustered by key, for reads of the current state, in so many files or files of ``file_bytes``.
+
+        Where the database keeps history, the log stays beside it; else older versions and tombstones go.
+        """
+        self.database.check_open()
+        self.changes.compacted(files, self.database.options["history"], self.database.options["file_bytes"])
 
     def level_stats(self) -> DataFrame:
         return stats.level_stats(self.changes.files())
+
+    def batches(self, start: object = None, end: object = None) -> DataFrame:
+        """The batches that a read of start <= key < end opens."""
+        start, end = (None if b is None else b if isinstance(b, tuple) else (b,) for b in (start, end))
+        return self.changes.files(start=start, end=end)
+
+    def stats(self) -> DataFrame:
+        return stats.log_stats(self.state_log(), self.key)

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import binpack, hashing
-from ..functions.expr import Capture, Col, Expr, Lit, compile_predicate
+from ..functions.expr import Capture, Col, Expr, Lit, columns, compile_predicate, dump, parse
 from ..functions.ordering import key_order
 from ..operators import history, lookups, state, stats
-from ..operators.table import Database
+from ..operators.table import PRESETS, Database, Table
+from ..sources.manifest import Conflict
 from ..sources.workspace import workspace
 from ..streaming.replicate import deduplicated, missing, replicate
 
@@ -76,7 +77,7 @@ def point_get(spark, d):
 @_query("SELECT count(*) > 0 AS found, (SELECT count(*) > 0 FROM customer WHERE c_custkey = -1) AS absent FROM customer WHERE c_custkey = 42")
 def exists_key(spark, d):
     c = _table(spark, d, "customer").select("c_custkey")
-    return c.agg(F.coalesce(F.bool_or(F.col("c_custkey") == 42), F.lit(False)).alias("found"), F.coalesce(F.bool_or(F.col("c_custkey") == -1), F.lit(False)).alias("absent"))
+    return lookups.any_row(c, F.col("c_custkey") == 42, "found").crossJoin(lookups.any_row(c, F.col("c_custkey") == -1, "absent"))  # one row each
 
 
 @_query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders")
@@ -155,7 +156,7 @@ def filter_first(spark, d):
 
 @_query("SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 1e12")
 def filter_any(spark, d):
-    return _table(spark, d, "orders").agg(F.coalesce(F.bool_or(F.col("o_totalprice") > 1e12), F.lit(False)).alias("found"))
+    return lookups.any_row(_table(spark, d, "orders"), F.col("o_totalprice") > 1e12, "found")
 
 
 @_query("SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -173,12 +174,6 @@ def range_count(spark, d):
     return lookups.in_range(_table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], (100,), (900,)).agg(F.count("*").alias("n"))
 
 
-@_query("SELECT c.c_custkey, c.c_name, c.c_acctbal FROM customer c JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 15 = 0) p ON p.o_custkey = c.c_custkey")
-def batched_point_lookup(spark, d):
-    probes = _table(spark, d, "orders").where(F.col("o_orderkey") % 15 == 0).select(F.col("o_custkey").alias("c_custkey"))
-    return lookups.lookup(_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], probes)
-
-
 @_query("SELECT c.c_custkey, c.c_name, c.c_acctbal FROM customer c JOIN (SELECT DISTINCT o_custkey FROM orders) p ON p.o_custkey = c.c_custkey")
 def batched_point_lookup_all(spark, d):
     probes = _table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -295,14 +290,6 @@ def compact_upper_level(spark, d):
     return state.compact(runs, KEY, bottom=False)
 
 
-@_query(f"""WITH {LOG}, probes AS (SELECT o_orderkey AS probe_id, o_custkey AS user_id, o_orderkey % 1000 AS t FROM orders WHERE o_orderkey % 7 = 0)
-SELECT probe_id, p.user_id, t, l.seq, l.op, l.event_type, l.value FROM probes p ASOF LEFT JOIN log l ON p.user_id = l.user_id AND p.t >= l.seq""")
-def probe_asof_join(spark, d):
-    probes = _table(spark, d, "orders").where(F.col("o_orderkey") % 7 == 0)
-    probes = probes.select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 1000).alias("t"))
-    return history.probe_as_of(_log(spark, d), KEY, probes, "t", "probe_id")
-
-
 @_query(f"""WITH {LOG}, probes AS (SELECT o_orderkey AS probe_id, o_custkey AS user_id, o_orderkey % 1000 AS t FROM orders)
 SELECT probe_id, p.user_id, t, l.seq, l.op, l.event_type, l.value FROM probes p ASOF LEFT JOIN log l ON p.user_id = l.user_id AND p.t >= l.seq""")
 def probe_asof_join_all(spark, d):
@@ -323,12 +310,6 @@ def _append(log: DataFrame, rows: DataFrame) -> DataFrame:
 _NEXT = "(SELECT max(seq) FROM log) + row_number() OVER (ORDER BY user_id) AS seq"
 
 
-@_query(f"WITH {LOG}, puts AS (SELECT {_NEXT}, 'P' AS op, c_custkey AS user_id, c_mktsegment AS event_type, c_acctbal AS value FROM (SELECT *, c_custkey AS user_id FROM customer WHERE c_custkey <= 20)), after AS (SELECT * FROM log UNION ALL SELECT * FROM puts) {_newest('after')}")
-def put_batch(spark, d):
-    rows = _table(spark, d, "customer").where("c_custkey <= 20").select(F.lit("P").alias("op"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_acctbal").alias("value"))
-    return state.current(_append(_log(spark, d), rows), KEY)
-
-
 @_query(f"WITH {LOG}, puts AS (SELECT {_NEXT}, 'P' AS op, user_id, c_mktsegment AS event_type, c_acctbal AS value FROM (SELECT *, c_custkey AS user_id FROM customer)), after AS (SELECT * FROM log UNION ALL SELECT * FROM puts) {_newest('after')}")
 def put_batch_all(spark, d):
     rows = _table(spark, d, "customer").select(F.lit("P").alias("op"), F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_acctbal").alias("value"))
@@ -341,15 +322,6 @@ def remove_batch(spark, d):
     return state.current(_append(_log(spark, d), rows), KEY)
 
 
-@_query(f"""WITH {LOG}, cur AS ({_newest('log')}), ups AS (SELECT {_NEXT}, 'P' AS op, user_id, event_type, coalesce(value, 0) + 1 AS value FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey <= 30) LEFT JOIN cur USING (user_id)),
-after AS (SELECT * FROM log UNION ALL SELECT seq, op, user_id, event_type, value FROM ups) {_newest('after')}""")
-def upsert_batch(spark, d):
-    log = _log(spark, d)
-    probes = _table(spark, d, "customer").where("c_custkey <= 30").select(F.col("c_custkey").alias("user_id"))
-    rows = lookups.upsert_rows(state.current(log, KEY), KEY, probes, {"value": F.coalesce("value", F.lit(0.0)) + 1})
-    return state.current(_append(log, rows.withColumn("op", F.lit("P"))), KEY)
-
-
 @_query(f"""WITH {LOG}, cur AS ({_newest('log')}), ups AS (SELECT {_NEXT}, 'P' AS op, user_id, event_type, coalesce(value, 0) + 1 AS value FROM (SELECT c_custkey AS user_id FROM customer) LEFT JOIN cur USING (user_id)),
 after AS (SELECT * FROM log UNION ALL SELECT seq, op, user_id, event_type, value FROM ups) {_newest('after')}""")
 def upsert_batch_all(spark, d):
@@ -473,23 +445,11 @@ def binpack_roundtrip(spark, d):
     return packed.select(binpack.decoded(F.col("packed"), kind).alias("r")).select("r.*")
 
 
-@_query("SELECT p_partkey, encode(p_name[1:8]) AS mini FROM part WHERE p_name = regexp_replace(p_name, '[^\\x00-\\x7F]', '', 'g')")
-def mini_keys(spark, d):
-    return _table(spark, d, "part").where(~F.col("p_name").rlike("[^\\x00-\\x7F]")).select("p_partkey", hashing.mini_key(F.encode("p_name", "UTF-8")).alias("mini"))
-
-
 @_query("SELECT page_id, replace(url, '/', ' ') AS decoded FROM pages WHERE url NOT LIKE '%\\%%' ESCAPE '\\' AND url NOT LIKE '%+%'")
 def percent_decoding(spark, d):
     return _table(spark, d, "pages").select("page_id", hashing.percent_decode(F.regexp_replace("url", "/", "%20")).alias("decoded"))
 
 
-@_query("WITH f AS (SELECT o_custkey % 50 AS file, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders WHERE o_orderkey // 100 = o_custkey % 50 GROUP BY 1) SELECT file FROM f WHERE last >= 300 AND first < 900")
-def file_pruning(spark, d):
-    orders = _table(spark, d, "orders").withColumn("file", F.col("o_custkey") % 50).where(F.floor(F.col("o_orderkey") / 100) == F.col("file"))
-    files = orders.groupBy("file").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
-    return files.where(hashing.ranges_overlap(F.col("first"), F.col("last"), 300, 900)).select("file")
-
-
 @_query("WITH f AS (SELECT o_orderkey // 100 AS file, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) SELECT file FROM f WHERE last >= 300 AND first < 900")
 def file_pruning_all(spark, d):
     orders = _table(spark, d, "orders").withColumn("file", F.floor(F.col("o_orderkey") / 100))
@@ -535,3 +495,405 @@ def replica_stream(spark, d):
     primary.remove(rows.where("c_custkey % 5 = 0"))
     replicate(spark, primary.changes, replica.changes, f"{root}/checkpoint", 4).awaitTermination()
     return replica.rows()
+
+
+# --- tables on storage ------------------------------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, d: str, name: str, key: str, preset: str | None = None, **options: object) -> Table:
+    """A driver's table as the first batch of a table on storage."""
+    rows = _table(spark, d, name)
+    t = Database(spark, workspace(spark, "database"), preset, **options).table(name, rows.schema, key)
+    t.put(rows)
+    return t
+
+
+def _answer(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """What an interface of the driver program gives, as rows: for tables of a few rows, or counts."""
+    return spark.createDataFrame(rows, schema)
+
+
+_NATION = "n_nationkey, n_name, n_regionkey"
+
+
+@_query(f"SELECT {_NATION}, row_number() OVER (ORDER BY n_nationkey) AS pos FROM nation")
+def typed_iterator(spark, d):
+    """A row at a time, in key order."""
+    t = _stored(spark, d, "nation", "n_nationkey")
+    return _answer(spark, [(*r, i) for i, r in enumerate(t.query(), 1)], T.StructType([*t.schema.fields, T.StructField("pos", T.LongType())]))
+
+
+@_query(f"SELECT {_NATION} FROM nation WHERE n_regionkey = 1 OR n_name >= 'U'")
+def cursor_with_predicate(spark, d):
+    t = _stored(spark, d, "nation", "n_nationkey")
+    return _answer(spark, list(t.query((Col("n_regionkey") == 1) | (Col("n_name") >= "U"))), t.schema)
+
+
+@_query(f"SELECT {_NATION} FROM nation")
+def bulk_scan(spark, d):
+    t = _stored(spark, d, "nation", "n_nationkey")
+    return _answer(spark, t.query().to_list(), t.schema)
+
+
+@_query(f"SELECT {_NATION} FROM nation WHERE n_name LIKE 'A%'")
+def row_predicate(spark, d):
+    """A Python function of a row: slow, nothing is pushed down."""
+    return _stored(spark, d, "nation", "n_nationkey").query(lambda r: r.n_name.startswith("A")).df()
+
+
+@_query(f"SELECT {_NATION}, n_nationkey IN (3, 7) AS there FROM nation WHERE n_nationkey IN (3, 7)")
+def typed_get(spark, d):
+    t = _stored(spark, d, "nation", "n_nationkey")
+    return _answer(spark, [(*t.get(k), t.exists(k)) for k in (3, 7, 99) if t.get(k) or t.exists(k)], T.StructType([*t.schema.fields, T.StructField("there", T.BooleanType())]))
+
+
+@_query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer WHERE c_custkey >= 10 AND c_custkey < 1000 AND c_custkey % 3 <> 0")
+def keys_only_cursor(spark, d):
+    t = _stored(spark, d, "customer", "c_custkey")
+    t.remove(_table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey"))
+    return lookups.with_position(t.keys(10, 1000), ["c_custkey"])
+
+
+def _levels(spark: SparkSession, d: str, **options: object) -> Table:
+    """Customers over several batches and levels: all, every second changed, every fifth removed."""
+    t = _stored(spark, d, "customer", "c_custkey", **options)
+    rows = _table(spark, d, "customer")
+    t.put(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")))
+    t.remove(rows.where("c_custkey % 5 = 0").select("c_custkey"))
+    return t
+
+
+_CHANGED = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 <> 0"
+
+
+@_query(_CHANGED)
+def level_compaction(spark, d):
+    """Two batches start a compaction of level 0, and level 1 may hold one byte: rows move down level by level."""
+    t = _levels(spark, d, max_l0=2, level_bytes=1)
+    t.put(t.rows().where("c_custkey % 3 = 0"))
+    return t.rows()
+
+
+@_query("SELECT 1 AS level, count(*) AS rows, 1 AS min_seq, count(*) AS max_seq FROM customer UNION ALL SELECT 0, count(*), (SELECT count(*) FROM customer) + 1, (SELECT count(*) FROM customer) + count(*) FROM customer WHERE c_custkey % 2 = 0")
+def stored_level_stats(spark, d):
+    """The tiers as the manifest has them: a base, and a batch since."""
+    t = _stored(spark, d, "customer", "c_custkey")
+    t.compact()
+    t.put(_table(spark, d, "customer").where("c_custkey % 2 = 0"))
+    return t.level_stats().select("level", "rows", "min_seq", "max_seq")
+
+
+@_query("SELECT 4 AS files, count(*) AS rows FROM customer")
+def output_splitting(spark, d):
+    t = _stored(spark, d, "customer", "c_custkey")
+    t.compact(files=4)
+    return t.changes.files().select("files", "rows")
+
+
+_PARTS = ("c_custkey < 50", "c_custkey >= 50 and c_custkey < 100", "c_custkey >= 100")
+
+
+def _ranges(spark: SparkSession, d: str) -> Table:
+    """Customers in three batches of neighbouring keys."""
+    rows = _table(spark, d, "customer")
+    t = Database(spark, workspace(spark, "database")).table("customer", rows.schema, "c_custkey")
+    for part in _PARTS:
+        t.put(rows.where(part))
+    return t
+
+
+@_query("SELECT *, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer WHERE c_custkey >= 60 AND c_custkey < 120")
+def scan_of_few_batches(spark, d):
+    return lookups.with_position(_ranges(spark, d).scan(60, 120), ["c_custkey"])
+
+
+@_query("SELECT range_start, rows FROM (SELECT 1 AS part, 50 AS range_start, count(*) AS rows FROM customer WHERE c_custkey >= 50 AND c_custkey < 100 UNION ALL SELECT 2, 100, count(*) FROM customer WHERE c_custkey >= 100)")
+def batches_opened(spark, d):
+    """The batches that a scan of keys 60 to 119 opens: two of three."""
+    t = _ranges(spark, d)
+    opened = t.changes.overlapping(t.changes.manifest.current().batches, start=(60,), end=(120,))
+    return _answer(spark, [(b.first[0], b.rows) for b in opened], "range_start int, rows long")
+
+
+_KEPT = "SELECT c_custkey, c_mktsegment FROM customer"
+
+
+@_query(f"SELECT 'before' AS what, * FROM ({_KEPT}) UNION ALL SELECT 'now', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'rolled back', * FROM ({_KEPT}) UNION ALL SELECT 'history of 10', 10, v FROM (SELECT unnest([c_mktsegment, 'changed', NULL]) AS v FROM customer WHERE c_custkey = 10)")
+def compact_keeps_history(spark, d):
+    """Put, change, remove, compact: the state of before, the state of now, a key's history; and a rollback after it."""
+    t = _levels(spark, d)
+    then = _table(spark, d, "customer").count()
+    t.compact()
+    read = lambda what, rows: rows.select(F.lit(what).alias("what"), "c_custkey", "c_mktsegment")
+    before, now, versions = read("before", t.as_of(then)), read("now", t.rows()), read("history of 10", t.history(10))
+    t.rollback_to(then)
+    return before.unionByName(now).unionByName(versions).unionByName(read("rolled back", t.rows()))
+
+
+@_query("SELECT row_number() OVER () AS version, v AS c_mktsegment FROM (SELECT unnest([c_mktsegment, 'changed', NULL]) AS v FROM customer WHERE c_custkey = 10)")
+def reopened_history(spark, d):
+    """A key's versions from the log after a restart."""
+    t = _levels(spark, d)
+    t.database.close()
+    again = Database(spark, t.database.path).table("customer")
+    versions = again.history(10).select("seq", "c_mktsegment").collect()  # of one key
+    return _answer(spark, [(i, r["c_mktsegment"]) for i, r in enumerate(versions, 1)], "version long, c_mktsegment string")
+
+
+@_query(_CHANGED)
+def flush_close_reopen(spark, d):
+    t = _levels(spark, d)
+    t.database.force_sync()
+    t.database.force_flush()
+    t.database.close()
+    return Database(spark, t.database.path).table("customer").rows()
+
+
+@_query("SELECT unnest(['get', 'put', 'remove', 'exists', 'count', 'scan', 'history', 'table']) AS call, TRUE AS refused")
+def calls_after_close(spark, d):
+    t = _stored(spark, d, "region", "r_regionkey")
+    t.database.close()
+    calls = {"get": lambda: t.get(1), "put": lambda: t.put([(9, "x")]), "remove": lambda: t.remove([1]), "exists": lambda: t.exists(1), "count": t.count, "scan": t.scan, "history": lambda: t.history(1), "table": lambda: t.database.table("region")}
+
+    def refused(call: Callable) -> bool:
+        try:
+            call()
+        except RuntimeError:
+            return True
+        return False
+
+    return _answer(spark, [(name, refused(call)) for name, call in calls.items()], "call string, refused boolean")
+
+
+@_query("SELECT * FROM customer WHERE c_name = 'Customer#000000007'")
+def stored_index(spark, d):
+    """An index that is registered after the rows are there, and known after a restart."""
+    t = _stored(spark, d, "customer", "c_custkey").index("c_name")
+    again = Database(spark, t.database.path).table("customer")
+    return _answer(spark, [again.find_by("c_name", "Customer#000000007")], again.schema)
+
+
+@_query("SELECT 'lost commit' AS what, 0 AS orphans UNION ALL SELECT 'crash', 1 UNION ALL SELECT 'vacuum', 0")
+def live_file_orphans(spark, d):
+    """Batches that no version names: none after a commit that another writer won, one after a crash before the commit, none after a vacuum."""
+    t = _stored(spark, d, "nation", "n_nationkey")
+    log, manifest = t.changes, t.changes.manifest
+    stale = manifest.current()
+    t.put([(99, "X", 1)])
+    try:
+        log.commit(stale, [log._write(log.read(), 0)])
+    except Conflict:
+        lost = len(manifest.orphans())
+    log._write(log.read(), 0)
+    crash = len(manifest.orphans())
+    manifest.vacuum()
+    return _answer(spark, [("lost commit", lost), ("crash", crash), ("vacuum", len(manifest.orphans()))], "what string, orphans int")
+
+
+@_query("SELECT unnest(['same node', 'log has node', 'tables differ']) AS what, TRUE AS holds")
+def node_identity(spark, d):
+    t = _stored(spark, d, "region", "r_regionkey")
+    again = Database(spark, t.database.path)
+    nodes = {r["node_id"] for r in t.log().select("node_id").distinct().collect()}  # one
+    return _answer(spark, [("same node", again.node_id == t.database.node_id), ("log has node", nodes == {again.node_id}), ("tables differ", hashing.fnv1a_64("region") != hashing.fnv1a_64("nation"))], "what string, holds boolean")
+
+
+@_query("SELECT * FROM (VALUES ('ULTRA_FAST', FALSE, 1000000, 4), ('FAST', FALSE, 1000000, 4), ('NORMAL', TRUE, 1000000, 10), ('DURABLE', TRUE, NULL, 10)) t(preset, history, keep_seqs, writes)")
+def presets_and_history(spark, d):
+    """What each preset keeps of ten writes (five regions, four of them again, one deletion) after a compaction."""
+    rows = []
+    for preset in PRESETS:
+        t = _stored(spark, d, "region", "r_regionkey", preset)
+        t.put(_table(spark, d, "region").where("r_regionkey > 0"))
+        t.remove([0])
+        t.compact()
+        rows.append((preset, t.database.options["history"], t.database.options["keep_seqs"], t.log().count()))
+    return _answer(spark, rows, "preset string, history boolean, keep_seqs int, writes long")
+
+
+@_query("SELECT 'open' AS what, 10 AS writes UNION ALL SELECT 'closed', 8")
+def history_pruned_on_close(spark, d):
+    """Writes before and after closing with three sequence numbers kept: those three, and each of five keys' newest of before."""
+    t = _stored(spark, d, "region", "r_regionkey", keep_seqs=3)
+    t.put(_table(spark, d, "region").where("r_regionkey > 0"))
+    t.remove([0])
+    before = t.log().count()
+    t.database.close()
+    return _answer(spark, [("open", before), ("closed", Database(spark, t.database.path).table("region").log().count())], "what string, writes long")
+
+
+@_query("SELECT * FROM (VALUES ('FAST', FALSE, 'natural'), ('NORMAL', TRUE, 'reference'), ('given', FALSE, 'reference')) t(opened, history, ordering)")
+def stored_options(spark, d):
+    """Preset and options of the first opening hold at the next one that names none; others that are named count before the preset."""
+    found = []
+    for name, preset, options in (("FAST", "FAST", {"ordering": "natural"}), ("NORMAL", None, {}), ("given", "DURABLE", {"history": False})):
+        path = workspace(spark, "database")
+        Database(spark, path, preset, **options).close()
+        again = Database(spark, path).options
+        found.append((name, again["history"], again["ordering"]))
+    return _answer(spark, found, "opened string, history boolean, ordering string")
+
+
+@_query("SELECT unnest(['preset', 'option', 'ordering', 'key', 'columns', 'new table', 'no such column']) AS what, TRUE AS refused")
+def options_that_are_refused(spark, d):
+    t = _stored(spark, d, "region", "r_regionkey")
+    db, new = t.database, lambda *a, **b: Database(spark, workspace(spark, "database"), *a, **b)
+    calls = {
+        "preset": lambda: new("QUICK"), "option": lambda: new(bloom=10), "ordering": lambda: new(ordering="none"), "key": lambda: db.table("region", None, "r_name"),
+        "columns": lambda: db.table("region", "a int"), "new table": lambda: db.table("new"), "no such column": lambda: db.table("other", "a int", "b"),
+    }
+
+    def refused(call: Callable) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    return _answer(spark, [(name, refused(call)) for name, call in calls.items()], "what string, refused boolean")
+
+
+@_query("SELECT i AS version, CASE i WHEN 1 THEN (SELECT count(*) FROM nation) WHEN 2 THEN (SELECT count(*) FROM nation) + 1 ELSE (SELECT count(*) FROM nation) + 2 END AS last_seq, CASE i WHEN 4 THEN 1 ELSE i END AS batches FROM range(1, 5) t(i)")
+def commit_callbacks(spark, d):
+    """Functions that are told of each commit: its version, the last sequence number, the live batches."""
+    rows, told = _table(spark, d, "nation"), []
+    t = Database(spark, workspace(spark, "database"), "FAST").table("nation", rows.schema, "n_nationkey")
+    t.changes.on_commit.append(lambda v: told.append((v.number, v.next_seq - 1, len(v.batches))))
+    t.put(rows)
+    t.put([(99, "X", 1)])
+    t.remove([99])
+    t.compact()
+    return _answer(spark, told, "version long, last_seq long, batches long")
+
+
+@_query("SELECT 4 AS versions, 2 AS kept, 2 AS expired, 1 AS live_batches, (SELECT count(*) FROM nation) + 2 AS last_seq")
+def manifest_queries(spark, d):
+    t = _stored(spark, d, "nation", "n_nationkey", "FAST")
+    t.put([(99, "X", 1)])
+    t.remove([99])
+    t.compact()
+    manifest = t.changes.manifest
+    versions, expired = len(manifest.files.names("versions")), manifest.expire(keep=2)
+    now = manifest.current()
+    return _answer(spark, [(versions, len(manifest.files.names("versions")), expired, len(now.batches), now.next_seq - 1)], "versions int, kept int, expired int, live_batches int, last_seq long")
+
+
+@_query("SELECT n_nationkey, n_name, reverse(n_name) AS stored FROM nation")
+def custom_codec(spark, d):
+    """A column that is stored in another form than it is read."""
+    t = Database(spark, workspace(spark, "database")).table("nation", "n_nationkey int, n_name string", "n_nationkey").codec("n_name", F.reverse, F.reverse)
+    t.put(_table(spark, d, "nation").select("n_nationkey", "n_name"))
+    return t.rows().join(t.changes.read().select("n_nationkey", F.col("n_name").alias("stored")), "n_nationkey")
+
+
+@_query(f"SELECT {_NATION} FROM nation WHERE n_nationkey <> 3")
+def promoted_reads(spark, d):
+    """The merged state is kept in memory until the next commit."""
+    t = _stored(spark, d, "nation", "n_nationkey", promote_reads=True)
+    if t.rows().count() != t.rows().count() or not t.promoted.is_cached:
+        raise RuntimeError("the state was not kept")
+    t.remove([3])
+    return t.rows()
+
+
+@_query("SELECT count(*) AS writes, 0 AS without_time, TRUE AS in_order FROM nation")
+def wall_clock(spark, d):
+    t = _stored(spark, d, "nation", "n_nationkey")
+    t.put([(99, "X", 1)])
+    t.changes.replace(t.changes.read_all().where("n_nationkey <> 99 or op = 'D'"))
+    log = t.log()
+    return log.agg(F.count("*").alias("writes"), F.count_if(F.col("ts").isNull()).alias("without_time"), (F.max("ts") <= F.current_timestamp()).alias("in_order"))
+
+
+# --- replication of committed versions --------------------------------------------------------------------------------
+
+
+def _replica(spark: SparkSession, d: str, **options: object) -> tuple[Table, Table, Callable[[], None]]:
+    """A primary, its replica, and a function that brings the replica up to date."""
+    rows, root = _table(spark, d, "customer"), workspace(spark, "replication")
+    primary, replica = (Database(spark, f"{root}/{x}", **options).table("customer", rows.schema, "c_custkey") for x in ("primary", "replica"))
+    primary.put(rows)
+    return primary, replica, lambda: replicate(spark, primary.changes, replica.changes, f"{root}/checkpoint", 4).awaitTermination()
+
+
+@_query(_CHANGED)
+def replica_of_commits(spark, d):
+    """A write that another writer's commit overtook, and a compaction between batches: the replica has what was committed, once."""
+    primary, replica, go = _replica(spark, d)
+    rows = _table(spark, d, "customer")
+    go()
+    stale = primary.changes.manifest.current()
+    primary.put(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")))
+    try:
+        primary.changes.commit(stale, [primary.changes._write(primary.changes.read().withColumn("c_mktsegment", F.lit("lost")), 0)])
+    except Conflict:
+        primary.compact()
+    primary.remove(rows.where("c_custkey % 5 = 0").select("c_custkey"))
+    go()
+    return replica.rows()
+
+
+@_query(_CHANGED)
+def replica_made_anew(spark, d):
+    """The primary keeps no history and compacts while the replica is away: deletions that are in no log any more reach it all the same."""
+    primary, replica, go = _replica(spark, d, preset="FAST")
+    rows = _table(spark, d, "customer")
+    go()
+    primary.put(rows.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")))
+    primary.remove(rows.where("c_custkey % 5 = 0").select("c_custkey"))
+    primary.compact()
+    primary.changes.manifest.vacuum()
+    go()
+    return replica.rows()
+
+
+# --- hashes and serialised predicates ---------------------------------------------------------------------------------
+
+#: SQL: the bytes of an ASCII text as numbers.
+_ORDS = "list_transform(range(1, length(n_name) + 1), lambda i: CAST(ord(substr(n_name, CAST(i AS INTEGER), 1)) AS HUGEINT))"
+
+
+@_query(f"SELECT n_nationkey, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM (SELECT n_nationkey, list_reduce(list_prepend(14695981039346656037::HUGEINT, {_ORDS}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM nation)")
+def fnv1a_hashes(spark, d):
+    return _table(spark, d, "nation").select("n_nationkey", hashing.fnv1a_64_of(F.encode("n_name", "UTF-8")).alias("hash"))
+
+
+@_query(f"SELECT n_nationkey, CAST(xor(list_reduce(list_prepend(4294967295::HUGEINT, {_ORDS}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 2197175160 * (x % 2)))), 4294967295) AS BIGINT) AS crc FROM nation")
+def crc32c_sums(spark, d):
+    return _table(spark, d, "nation").select("n_nationkey", hashing.crc32c_of(F.encode("n_name", "UTF-8")).alias("crc"))
+
+
+@_query("SELECT * FROM (VALUES (0, '726FDB47DD0E0E31'), (1, '74F839C593DC67FD'), (2, '0D6C8009D9A94F5A'), (3, '85676696D7FB7E2D'), (15, 'A129CA6149BE45E5')) t(n, hash)")
+def siphash_vectors(spark, d):
+    """The published vectors: key bytes 0 to 15, messages of the bytes 0, 1, 2, ..."""
+    messages = _answer(spark, [(n, bytearray(range(n))) for n in (0, 1, 2, 3, 15)], "n int, message binary")
+    return messages.select("n", F.lpad(F.hex(hashing.siphash_2_4_of(F.col("message"), 0x0706050403020100, 0x0F0E0D0C0B0A0908)), 16, "0").alias("hash"))
+
+
+@_query("SELECT c_custkey, c_custkey - 70 AS k, unhex(lpad(to_hex(CAST(c_custkey - 70 AS BIGINT)), 16, '0')) AS bytes FROM customer")
+def be64_keys(spark, d):
+    k = (F.col("c_custkey") - 70).cast("long")
+    packed = _table(spark, d, "customer").select("c_custkey", hashing.be64_of(k).alias("bytes"))
+    return packed.select("c_custkey", hashing.be64_value(F.col("bytes")).alias("k"), "bytes")
+
+
+@_query("SELECT p_partkey, unhex(substr(hex(encode(p_name)), 1, 16)) AS mini FROM part")
+def mini_keys_all(spark, d):
+    return _table(spark, d, "part").select("p_partkey", hashing.mini_key(F.encode("p_name", "UTF-8")).alias("mini"))
+
+
+_TREE = (Col("address.city") == Capture(0)) & (~(Col("opt") > 3) | Lit("BUILDING").is_in(Col("tags")) | (Col("scores").get("MACHINERY") >= Capture(1)))
+_CAPTURES = ("MACHINERY", 50)
+
+
+@_query(f"WITH {_ENTITY} SELECT id FROM e WHERE address.city = 'MACHINERY' AND (opt <= 3 OR (opt > 3 AND (coalesce(list_contains(tags, 'BUILDING'), FALSE) OR (scores IS NOT NULL AND id >= 50))))")
+def parsed_predicate(spark, d):
+    """A predicate that is read from its text."""
+    tree, captures = parse(dump(_TREE, _CAPTURES))
+    rows = _entity(spark, d)
+    return rows.where(compile_predicate(tree, rows.schema, captures)).select("id")
+
+
+@_query("SELECT unnest(['address.city', 'opt', 'tags', 'scores']) AS name")
+def predicate_columns(spark, d):
+    return _answer(spark, [(x,) for x in sorted(columns(parse(dump(_TREE, _CAPTURES))[0]))], "name string")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbering import numbered
+from ..functions.numbering import in_place
+from ..functions.ordering import key_order, key_place
 from ..operators.state import compact
-from .manifest import Batch, Manifest, Version
+from .manifest import Batch, Conflict, Manifest, Version
+
+#: Compacted files are cut at about so many bytes; level 1 may hold LEVEL_BYTES, each level below it ten times as much.
+FILE_BYTES = LEVEL_BYTES = 64 << 20
+LEVEL_FACTOR = 10
 
 
 def log_schema(schema: T.StructType) -> T.StructType:
@@ -20,81 +27,192 @@ def log_schema(schema: T.StructType) -> T.StructType:
 
 
 class ChangeLog:
-    """Writes append numbered rows; reads see the newest committed version."""
+    """Writes append numbered rows; reads see the newest committed version. ``on_commit`` functions get each version after its commit."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], node_id: int = 0) -> None:
-        self.spark, self.root, self.key, self.node_id = spark, root.rstrip("/"), key, node_id
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], node_id: int = 0, natural: bool = False) -> None:
+        self.spark, self.root, self.key, self.node_id, self.natural = spark, root.rstrip("/"), key, node_id, natural
         self.schema = log_schema(schema)
         self.manifest = Manifest(spark, self.root)
+        self.on_commit: list[Callable[[Version], None]] = []
+
+    def _place(self, values: tuple | list | None) -> tuple | None:
+        return key_place(values, self.schema, self.key, self.natural)
+
+    def overlapping(self, batches: list[Batch] | tuple[Batch, ...], start: tuple | None = None, end: tuple | None = None, last: tuple | None = None) -> list[Batch]:
+        """The batches that may have keys with start <= key < end (or <= last); those whose ends are not known are among them."""
+        a, b, c = self._place(start), self._place(end), self._place(last)
+        found = []
+        for x in batches:
+            lo, hi = self._place(x.first), self._place(x.last)
+            if lo is None or hi is None or not (a is not None and hi < a or b is not None and lo >= b or c is not None and lo > c):
+                found.append(x)
+        return found
 
-    def read(self, level: int | None = None) -> DataFrame:
-        """The rows that tell the current state: the base, if there is one, and the writes since."""
-        return self._rows([b for b in self.manifest.current().batches if level is None or b.level == level])
+    def read(self, level: int | None = None, **bounds: tuple | None) -> DataFrame:
+        """The rows that tell the current state: compacted batches and the writes since. Batches without keys in the ``bounds`` of ``overlapping`` are not opened."""
+        return self.rows_of(self.overlapping([b for b in self.manifest.current().batches if level is None or b.level == level], **bounds))
 
     def read_all(self) -> DataFrame:
         """All writes that are kept, those before a compaction too."""
-        version = self.manifest.current()
-        return self._rows([*version.past, *self._new(version)])
+        return self.rows_of(self.history_of(self.manifest.current()))
+
+    @staticmethod
+    def history_of(version: Version) -> list[Batch]:
+        """The batches that have every kept write of a version once."""
+        return [*version.past, *ChangeLog._new(version)]
 
     @staticmethod
     def _new(version: Version) -> list[Batch]:
         """Batches whose rows ``past`` does not have."""
         return [b for b in version.batches if not version.past or not b.level]
 
-    def _rows(self, batches: list[Batch]) -> DataFrame:
+    def rows_of(self, batches: list[Batch]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{b.path}" for b in batches))
 
-    def _write(self, rows: DataFrame, level: int, folder: str = "batches") -> Batch | None:
+    def _ends(self) -> list[Column]:
+        """Aggregates for the first and the last key."""
+        key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(key_order(self.schema, self.key, self.natural))), *self.key)
+        return [F.min(key).alias("first"), F.max(key).alias("last")]
+
+    def _key_of(self, row: Row | None) -> list | None:
+        """An end's key for the manifest, if its kinds can be told there."""
+        values = None if row is None else [row[k] for k in self.key]
+        plain = values is not None and self._place(values) is not None and not any(isinstance(v, float) and not math.isfinite(v) for v in values)
+        return values if plain else None
+
+    def _batch(self, path: str, level: int, n: int, least: int, most: int, first: Row | None, last: Row | None) -> Batch:
+        return Batch(path, level, n, least, most, *self.manifest.files.size(path), self._key_of(first), self._key_of(last))
+
+    def _save(self, rows: DataFrame, level: int, folder: str = "batches") -> str:
         path = f"{folder}/{uuid.uuid4().hex}"
         options = {"compression": "zstd"} | {f"parquet.bloom.filter.enabled#{k}": "true" for k in self.key if level}
-        rows.write.options(**options).parquet(f"{self.root}/{path}")
-        found = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+        rows.select(*self.schema.fieldNames()).write.options(**options).parquet(f"{self.root}/{path}")
+        return path
+
+    def _write(self, rows: DataFrame, level: int, folder: str = "batches") -> Batch | None:
+        """Writes rows that have their numbers; what the manifest needs of them is told from the file's own number and key columns."""
+        path = self._save(rows, level, folder)
+        found = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), *self._ends()).first()
         if not found["n"]:
             self.manifest.files.delete(path)
             return None
-        return Batch(path, level, found["n"], found["a"], found["b"], *self.manifest.files.size(path))
+        return self._batch(path, level, found["n"], found["a"], found["b"], found["first"], found["last"])
+
+    def append(self, rows: DataFrame, op: str, origin: str = "user", ends: tuple[int, Row | None, Row | None] | None = None) -> int:
+        """Adds one write per row, numbered in the order that the rows have; returns the last sequence number.
 
-    def append(self, rows: DataFrame, op: str, order: list[Column], origin: str = "user") -> int:
-        """Adds one write per row, numbered in ``order``; returns the last sequence number."""
+        ``ends`` (how many rows, first and last key) is given with rows that are numbered from 0 by a column ``__i``.
+        """
         version = self.manifest.current()
         names = [f.name for f in self.schema.fields[5:]]
         lacking = [F.lit(None).cast(self.schema[n].dataType).alias(n) for n in names if n not in rows.columns]
-        rows = numbered(rows.select("*", *lacking), order, "seq", version.next_seq)
-        rows = rows.select("seq", F.lit(self.node_id).cast("long").alias("node_id"), F.current_timestamp().alias("ts"), F.lit(op).alias("op") if op else F.col("op"), F.lit(origin).alias("origin"), *[F.col(n).cast(self.schema[n].dataType) for n in names])
-        return self._commit(rows, version)
+
+        def writes(numbered: DataFrame) -> DataFrame:
+            return numbered.select("seq", F.lit(self.node_id).cast("long").alias("node_id"), F.current_timestamp().alias("ts"), F.lit(op).alias("op") if op else F.col("op"), F.lit(origin).alias("origin"), *[F.col(n).cast(self.schema[n].dataType) for n in names])
+
+        start = version.next_seq
+        if ends:
+            n, first, last = ends
+            path = self._save(writes(rows.select("*", *lacking).withColumn("seq", F.col("__i") + start)), 0) if n else ""
+        else:
+            with in_place(rows.select("*", *lacking), "seq", start) as (numbered, kept, n):
+                path = self._save(writes(numbered), 0) if n else ""
+                first, last = kept.agg(*self._ends()).first() if n else (None, None)
+        return self._commit(self._batch(path, 0, n, start, start + n - 1, first, last) if n else None, version)
 
     def replicate(self, rows: DataFrame) -> int:
         """Adds rows that have their sequence numbers already; those not above the last one are known and left out."""
         version = self.manifest.current()
         rows = rows.where(F.col("seq") >= version.next_seq).dropDuplicates(["seq"]).withColumn("origin", F.lit("replica"))
-        return self._commit(rows.select(*self.schema.fieldNames()), version)
-
-    def _commit(self, rows: DataFrame, version) -> int:
-        batch = self._write(rows, 0)
+        return self._commit(self._write(rows, 0), version)
+
+    def commit(self, after: Version, add: list[Batch], *rest: object, **more: object) -> Version:
+        """A new version; if another writer was first, the batches that were to be added go."""
+        try:
+            version = self.manifest.commit(after, add, *rest, **more)
+        except Conflict:
+            for b in add:
+                self.manifest.files.delete(b.path)
+            raise
+        for tell in self.on_commit:
+            tell(version)
+        return version
+
+    def _commit(self, batch: Batch | None, version: Version) -> int:
         if batch is None:
             return version.next_seq - 1
-        self.manifest.commit(version, [batch], next_seq=batch.max_seq + 1)
+        self.commit(version, [batch], next_seq=batch.max_seq + 1)
         return batch.max_seq
 
-    def replace(self, rows: DataFrame) -> None:
-        """Puts ``rows`` in place of all batches (pruning)."""
+    def replace(self, rows: DataFrame, next_seq: int | None = None) -> None:
+        """Puts ``rows`` in place of all batches (pruning, a replica made anew)."""
         version = self.manifest.current()
         batch = self._write(rows, 0)
-        self.manifest.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=[])
+        self.commit(version, [batch] if batch else [], {b.path for b in version.batches}, next_seq=next_seq, past=[])
+
+    def _keep(self, version: Version, gone: list[Batch], history: bool) -> list[Batch]:
+        """What goes to ``past`` when level-0 batches are compacted."""
+        if not history:
+            return []
+        new = [b for b in self._new(version) if b in gone or b.level]
+        moved = self._write(self.rows_of(new), 0, "past") if new else None
+        return [*version.past, *([moved] if moved else [])]
+
+    def compacted(self, files: int | None = None, history: bool = False, file_bytes: int = FILE_BYTES) -> None:
+        """Merges all batches into one base, clustered by key, without older versions and tombstones, in so many files or files of about ``file_bytes``.
 
-    def compacted(self, target: int, history: bool = False) -> None:
-        """Merges all batches into one base, clustered by key, without older versions and tombstones; with ``history`` the writes go on to ``past``, else they go."""
+        With ``history`` the writes go on to ``past``, else they go.
+        """
         version = self.manifest.current()
         if version.batches:
-            base = compact([self.read()], self.key, bottom=True).repartitionByRange(target, *self.key).sortWithinPartitions(*self.key)
+            files = files or max(1, -(-sum(b.bytes for b in version.batches) // file_bytes))
+            base = compact([self.read()], self.key, bottom=True).repartitionByRange(files, *self.key).sortWithinPartitions(*self.key)
             batch = self._write(base, 1)
-            new = self._new(version) if history else []
-            moved = self._write(self._rows(new), 0, "past") if new else None
-            past = [*version.past, *([moved] if moved else [])] if history else []
-            self.manifest.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=past)
+            past = self._keep(version, list(version.batches), history)
+            self.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=past)
 
-    def files(self) -> DataFrame:
-        rows = [(b.path, b.level, b.rows, b.min_seq, b.max_seq, b.files, b.bytes) for b in self.manifest.current().batches]
+    def compact_level(self, level: int, history: bool = False, file_bytes: int = FILE_BYTES) -> None:
+        """Merges level 0 (all of it), or the oldest batch of a level above, with the batches of the next level that have keys between its ends.
+
+        Tombstones stay unless no level below has such keys.
+        """
+        version = self.manifest.current()
+        mine = sorted((b for b in version.batches if b.level == level), key=lambda b: b.max_seq)
+        mine = mine if level == 0 else mine[:1]
+        if not mine:
+            return
+        first, last = self._span(mine)
+        under = self.overlapping([b for b in version.batches if b.level == level + 1], start=first, last=last)
+        merged = [*mine, *under]
+        first, last = self._span(merged)
+        below = self.overlapping([b for b in version.batches if b.level > level + 1], start=first, last=last)
+        rows = compact([self.rows_of(merged)], self.key, bottom=not below)
+        files = max(1, -(-sum(b.bytes for b in merged) // file_bytes))
+        batch = self._write(rows.repartitionByRange(files, *self.key).sortWithinPartitions(*self.key), level + 1)
+        past = self._keep(version, merged, history) if level == 0 else None
+        self.commit(version, [batch] if batch else [], {b.path for b in merged}, past=past)
+
+    def _span(self, batches: list[Batch]) -> tuple[tuple | None, tuple | None]:
+        """The first and last key of batches; None where one is not known."""
+        if any(b.first is None or b.last is None for b in batches):
+            return None, None
+        return tuple(min((b.first for b in batches), key=self._place)), tuple(max((b.last for b in batches), key=self._place))
+
+    def tidy(self, most: int, history: bool, level_bytes: int = LEVEL_BYTES, file_bytes: int = FILE_BYTES) -> None:
+        """Compacts level 0 once it has ``most`` batches, then each level that holds more bytes than it may."""
+        if sum(b.level == 0 for b in self.manifest.current().batches) < most:
+            return
+        self.compact_level(0, history, file_bytes)
+        level = 1
+        while any(b.level >= level for b in self.manifest.current().batches):
+            batches = self.manifest.current().batches
+            if sum(b.bytes for b in batches if b.level == level) > level_bytes * LEVEL_FACTOR ** (level - 1):
+                self.compact_level(level, history, file_bytes)
+            level += 1
+
+    def files(self, **bounds: tuple | None) -> DataFrame:
+        """The batches (those that a read within ``bounds`` opens)."""
+        rows = [(b.path, b.level, b.rows, b.min_seq, b.max_seq, b.files, b.bytes) for b in self.overlapping(self.manifest.current().batches, **bounds)]
         return self.spark.createDataFrame(rows, "path string, level int, rows long, min_seq long, max_seq long, files int, bytes long")

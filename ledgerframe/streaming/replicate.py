@@ -1,7 +1,7 @@
-"""Replication: a stream over a primary's change-log batches applied to a replica's log.
+"""Replication: a stream of a primary's committed versions, whose writes are applied to a replica's log.
 
-Micro-batches may repeat or arrive in any order of files; rows carry their sequence numbers, the replica keeps those above its last one,
-and the newest version of a key is told by sequence number, never by arrival.
+The stream reads manifest versions, so what was never committed is never seen. Each version names every batch of its time; of those in a
+micro-batch the newest counts. The replica takes writes above its last sequence number, so versions may repeat or come in any order.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.changelog import ChangeLog
+from ..sources.manifest import Version
 
 
 def missing(log: DataFrame, last_applied: int) -> DataFrame:
@@ -23,29 +24,47 @@ def deduplicated(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["seq"])
 
 
-def change_stream(spark: SparkSession, primary: ChangeLog, batches_per_trigger: int | None = None) -> DataFrame:
-    """The primary's batches as a stream of rows."""
-    reader = spark.readStream.schema(primary.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    if batches_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", batches_per_trigger)
-    return reader.parquet(f"{primary.root}/batches")
+def version_stream(spark: SparkSession, primary: ChangeLog, versions_per_trigger: int | None = None) -> DataFrame:
+    """The primary's committed versions as a stream (one small text each)."""
+    reader = spark.readStream.option("wholetext", "true").option("pathGlobFilter", "*.json")
+    if versions_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", versions_per_trigger)
+    return reader.text(f"{primary.root}/versions")
 
 
-def apply_to(replica: ChangeLog):
-    """A ``foreachBatch`` function. Rows the replica has are left out by sequence number, so a batch that comes again changes nothing."""
+def apply_version(primary: ChangeLog, replica: ChangeLog, version: Version) -> int:
+    """Brings the replica to a version of the primary; returns its last sequence number.
+
+    Only batches with numbers above the replica's last are read. Where compaction without history or pruning has taken writes that the replica
+    lacks, its log is made anew from the writes that are kept.
+    """
+    start = replica.manifest.current().next_seq
+    if version.next_seq <= start:
+        return start - 1
+    log = primary.history_of(version)
+    news = sorted((b for b in log if b.max_seq >= start), key=lambda b: b.min_seq)
+    at = start
+    for b in news:  # whole batches side by side
+        if b.min_seq <= at and b.rows == b.max_seq - b.min_seq + 1:
+            at = max(at, b.max_seq + 1)
+    if at >= version.next_seq:
+        return replica.replicate(primary.rows_of(news))
+    replica.replace(primary.rows_of(log).withColumn("origin", F.lit("replica")), version.next_seq)
+    return version.next_seq - 1
+
+
+def apply_to(primary: ChangeLog, replica: ChangeLog):
+    """A ``foreachBatch`` function over ``version_stream``: a batch that comes again changes nothing."""
 
     def run(rows: DataFrame, _: int) -> None:
-        known = replica.read().select("seq")
-        fresh = deduplicated(rows).join(known, "seq", "left_anti").withColumn("origin", F.lit("replica"))
-        version = replica.manifest.current()
-        batch = replica._write(fresh.select(*replica.schema.fieldNames()), 0)
-        if batch is not None:
-            replica.manifest.commit(version, [batch], next_seq=max(version.next_seq, batch.max_seq + 1))
+        texts = rows.withColumn("n", F.get_json_object("value", "$.number").cast("long")).agg(F.max_by("value", "n").alias("value")).first()
+        if texts["value"]:
+            apply_version(primary, replica, Version.of(texts["value"]))
 
     return run
 
 
-def replicate(spark: SparkSession, primary: ChangeLog, replica: ChangeLog, checkpoint: str, batches_per_trigger: int | None = None, once: bool = True) -> StreamingQuery:
+def replicate(spark: SparkSession, primary: ChangeLog, replica: ChangeLog, checkpoint: str, versions_per_trigger: int | None = None, once: bool = True) -> StreamingQuery:
     """Starts replication; ``checkpoint`` (on storage that all machines share) lets it go on where it stopped."""
-    writer = change_stream(spark, primary, batches_per_trigger).writeStream.foreachBatch(apply_to(replica)).option("checkpointLocation", checkpoint)
+    writer = version_stream(spark, primary, versions_per_trigger).writeStream.foreachBatch(apply_to(primary, replica)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
