@@ -8,8 +8,9 @@
    These are sorted and compared with their neighbours in the same way. Windows that match and touch make one span: a maximal match.
    Extending sorted neighbours alone would miss passages: a suffix with more words in common on the right, but none on the left, may sort between two equal ones.
 
-A sort deals rows to ranges by key, document and place, so a passage in a third of all documents is a run over many tasks. Runs inside a task
-are told there; of runs that reach a task's first or last row (two a task) smallest and largest rows are aggregated and joined back.
+A sort deals rows to ranges by key, document and place, so a passage in a third of all documents is a run over many tasks. Runs inside a range
+are told there; of those that reach its first or last row smallest and largest rows are aggregated: two keys for each range of up to
+``PART_ROWS`` rows, few enough to be sent to all tasks at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import Scratch, arrow_rows, fresh, slices
 from .fingerprints import inside, ngrams, words
 
 MIN_WORDS, SEED = 50, 10
-#: Rows that one task sorts and compares.
-PART_ROWS = 1_000_000
+#: Rows that one task sorts and compares (32 bytes each).
+PART_ROWS = 4_000_000
 _DOC = ("doc_id", "tag")
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -96,15 +97,15 @@ def _compare(within: bool):
 def _matches(rows: DataFrame, scratch: Scratch, name: str, within: bool) -> DataFrame:
     """Rows (key, doc_id, tag, place) whose key stands in another document too (with ``within``: or at another place), with ``source``, the smallest document of the key, and ``own``: it is the row's."""
     order = ["key", *_DOC, "place"]
-    parts = -(-rows.count() // PART_ROWS)
-    ranged = rows.select(*order).repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+    ranged = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = scratch.write(ranged.mapInArrow(_compare(within), "key long, doc_id long, tag long, place long, source long, own boolean, edge boolean"), name)
     edges = found.where("edge").groupBy("key").agg(F.min(F.struct(*_DOC)).alias("least"), F.max(F.struct(*_DOC)).alias("most"), F.min("place").alias("p"), F.max("place").alias("q"))
     differ = (F.col("least") != F.col("most")) | (F.lit(within) & (F.col("p") != F.col("q")))
-    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")
-    joined = found.where("edge").join(edges, "key").withColumn("source", F.col("least.doc_id")).withColumn("own", F.struct(*_DOC) == F.col("least"))
-    columns = [*order, "source", "own"]
-    return found.where("not edge").select(*columns).unionByName(joined.select(*columns))
+    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")  # two keys a range at most: one row for two million rows
+    joined = found.join(F.broadcast(edges), "key", "left").where("not edge or least is not null")
+    own = F.when(F.col("edge"), F.struct(*_DOC) == F.col("least")).otherwise(F.col("own"))
+    return joined.select(*order, F.coalesce("least.doc_id", "source").alias("source"), own.alias("own"))
 
 
 def _windows(min_words: int, seed: int, within: bool):

@@ -513,3 +513,42 @@ def test_runs_over_several_ranges(spark, monkeypatch):
     docs = docs_of(spark, [(i, f"p{i} {x} q{i}" if i % 3 else f"r{i} s") for i in range(90)])
     assert {tuple(r) for r in repeats.repeated_passages(docs).collect()} == {(i, 1, 71, i == 1, 1) for i in range(90) if i % 3}
     assert {tuple(r) for r in repeats.repeated_passages(docs, within=True).collect()} == {(i, 1, 71, i == 1, 1) for i in range(90) if i % 3}
+
+
+def test_main_text_against_brute_force(spark, monkeypatch):
+    """Random pages with and without an article, in many hosts and one large one, over several ranges; rows that repeat, nulls, a very long page."""
+    monkeypatch.setattr(pagediff, "PART_ROWS", 20)
+    rng = random.Random(9)
+    lines = [f"line {i}" for i in range(12)]
+    rows = [(None, None, None), (0, "http://a/long", "".join(f"<p>l{i % 50}" for i in range(30_000))), (1, "http://a/lon", "".join(f"<p>l{i % 49}" for i in range(500)))]
+    for i in range(2, 150):
+        body = "".join(f"<p>{x}</p>" for x in rng.choices(lines, k=rng.randrange(7)))
+        if i % 3 == 0:
+            body += f"<article><h1>{rng.choice(lines)}</h1><p>story {i}</p><p>{rng.choice(lines)}</p></article><p>{rng.choice(lines)}</p>"
+        rows.append((i, f"http://{rng.choice(['a', 'a', 'b', f'c{i}'])}/{rng.choice('xy')}/{rng.randrange(40)}", body))
+    rows += rows[5:9]
+    distinct = []
+    for page_id, url, body in sorted(set(rows), key=lambda r: (r[1] is not None, r[1] or "", r[0] or 0)):
+        found, main = pagediff.page_lines(body or "")
+        host, path = (url.split("/", 3)[2], "/" + url.split("/", 3)[3]) if url else ("", "")
+        distinct.append({"row": (page_id, url, body), "host": host, "path": path, "url": url or "", "page_id": page_id or -1, "lines": found, "main": main})
+    distinct.sort(key=lambda p: (p["host"], p["path"], p["url"], p["page_id"]))
+    want, removed = {}, 0
+    for i, p in enumerate(distinct):
+        gone = pagediff.template_lines(p, distinct[i - 1] if i else None, distinct[i + 1] if i + 1 < len(distinct) else None)
+        with_article = "<article>" in (p["row"][2] or "")
+        removed += bool(gone) and with_article
+        want[p["row"]] = "\n".join(x for k, x in enumerate(p["lines"]) if k not in set(gone))
+    assert removed > 5  # pages with an article are paired and lose template lines too
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, part int")
+    got = collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in pagediff.main_text(df).collect())
+    assert got == collections.Counter((r[0], r[1], want[r], len(want[r])) for r in rows)
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(4)
+    for values in ([], [0], [1, 1, 900, 1], [2**64 - 1, 5], rng.integers(0, 2**44, 3000), rng.geometric(0.4, 5000), [0, 2**63, *[3] * 300]):
+        x = np.array(values, np.uint64)
+        assert (scoring._unpacked(scoring._packed(x)) == x).all()
+    gaps = np.diff(np.sort(rng.integers(0, 2**64, 200_000, dtype=np.uint64)))
+    assert len(scoring._packed(gaps)) < 6.1 * len(gaps)
