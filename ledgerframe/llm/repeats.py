@@ -27,8 +27,8 @@ from .common import Scratch, arrow_rows, fresh, slices
 from .fingerprints import inside, ngrams, words
 
 MIN_WORDS, SEED = 50, 10
-#: Rows that one task sorts and compares (32 bytes each).
-PART_ROWS = 4_000_000
+#: Rows that one task sorts and compares (32 bytes each, several times that in memory).
+PART_ROWS = 1_000_000
 _DOC = ("doc_id", "tag")
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -102,7 +102,7 @@ def _matches(rows: DataFrame, scratch: Scratch, name: str, within: bool) -> Data
     found = scratch.write(ranged.mapInArrow(_compare(within), "key long, doc_id long, tag long, place long, source long, own boolean, edge boolean"), name)
     edges = found.where("edge").groupBy("key").agg(F.min(F.struct(*_DOC)).alias("least"), F.max(F.struct(*_DOC)).alias("most"), F.min("place").alias("p"), F.max("place").alias("q"))
     differ = (F.col("least") != F.col("most")) | (F.lit(within) & (F.col("p") != F.col("q")))
-    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")  # two keys a range at most: one row for two million rows
+    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")  # two keys a range at most: two rows for a million
     joined = found.join(F.broadcast(edges), "key", "left").where("not edge or least is not null")
     own = F.when(F.col("edge"), F.struct(*_DOC) == F.col("least")).otherwise(F.col("own"))
     return joined.select(*order, F.coalesce("least.doc_id", "source").alias("source"), own.alias("own"))
