@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ class Pieces:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
+        self._take(proto)
+
+    @classmethod
+    def of(cls, proto) -> Pieces:
+        """The model of a parsed model file."""
+        pieces = cls.__new__(cls)
+        pieces._take(proto)
+        return pieces
+
+    def _take(self, proto) -> None:
         spec = proto.normalizer_spec
         self.map = CharMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
@@ -82,16 +93,17 @@ class Pieces:
             head = len(_ESCAPE) * bool(self.prefix)
             return np.concatenate([np.zeros(head, np.int64), begin]), np.concatenate([np.zeros(head, np.int64), end])
         out: list[tuple[bytes, int, int]] = []
-        at = 0
+        at, spaced = 0, False
         while at < len(raw):
             if hit := self.map.longest(raw, at):
                 n, new = hit
             else:
                 n = 1 + sum(raw[at] >= x for x in (0xC0, 0xE0, 0xF0))
                 new = raw[at : at + n]
-            if out and self.squeeze and new.startswith(b" ") and out[-1][0].endswith(b" "):
+            if spaced and self.squeeze:
                 new = new.lstrip(b" ")
             out.append((new, at, at + n))
+            spaced = new.endswith(b" ") if new else spaced
             at += n
         if self.squeeze:  # no white space at either end
             while out and not out[0][0].strip(b" "):
@@ -117,8 +129,8 @@ class Pieces:
         """The source bytes [start, end) of every piece."""
         begin, end = self.align(text)
         lengths = self.lengths[ids]
-        if (ids == self.unknown).any():  # an unknown piece is as long as its surface, which only the library knows
-            lengths = np.array([len(p.surface.encode()) if p.id == self.unknown else n for p, n in zip(self.model.encode(text, out_type="immutable_proto").pieces, lengths, strict=True)], np.int64)
+        if (ids == self.unknown).any():  # an unknown piece is as long as what it stands for, which only the library knows
+            lengths = np.array([len(p.piece.encode()) if p.id == self.unknown else n for p, n in zip(self.model.encode(text, out_type="proto").pieces, lengths, strict=True)], np.int64)
         stop = np.cumsum(lengths)
         if len(stop) and stop[-1] != len(begin):
             raise ValueError("the pieces do not cover the normalised text")
@@ -149,8 +161,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     """(doc_id, ids, starts, ends, decoded) of every row: the library's ids and an end id, each id's source bytes, the decoded text.
 
     ids are those of the sentencepiece library without sampling; the end id's span is empty, at the text's end. Null texts are empty
-    texts (an end id alone). Ids may be null or repeated; each row stands for itself. Other columns are ignored. An empty
-    table gives an empty result. ``model``: a model's path, else the public one named in ``MODEL``.
+    texts (an end id alone), very long texts are encoded whole. Ids may be null or repeated; each row stands for itself. Other columns, whatever
+    their names, are ignored. An empty table gives an empty result. ``model``: a model's path, else the public one named in ``MODEL``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encode(fixed_path(MODEL, model)), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
@@ -158,14 +170,24 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for ids, decoded in zip(batch.column(1), batch.column(2), strict=True):
-            ids = ids.values.to_pylist()
-            out.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.as_py().encode()).hexdigest()))
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids, starts, ends = (batch.column(i) for i in (1, 2, 3))
+        offsets = np.asarray(ids.offsets)
+        first, last = (np.asarray(x.flatten()).astype("<u4") for x in (starts, ends))
+        numbers = pa.compute.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+        texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in numbers]
+        decoded = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(4)]
+        spans = []
+        for a, b in zip((offsets - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=False):
+            digest = hashlib.sha256(first[a:b])
+            digest.update(last[a:b])
+            spans.append(digest.hexdigest())
+        counts = pa.array(np.diff(offsets).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), counts, *(pa.array(x, pa.string()) for x in (texts, decoded, spans))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows of ``encode``: SHA-256 of the decimal ids joined by a space, and of the decoded text."""
-    return encoded.select("doc_id", "ids", "decoded").mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256) of rows of ``encode``.
+
+    SHA-256 of the decimal ids joined by a space, of the decoded text, and of all starts, then all ends, as little-endian unsigned 32-bit integers.
+    """
+    return encoded.select("doc_id", "ids", "starts", "ends", "decoded").mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

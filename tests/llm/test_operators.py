@@ -552,3 +552,47 @@ def test_packed_numbers():
         assert (scoring._unpacked(scoring._packed(x)) == x).all()
     gaps = np.diff(np.sort(rng.integers(0, 2**64, 200_000, dtype=np.uint64)))
     assert len(scoring._packed(gaps)) < 6.1 * len(gaps)
+
+
+def test_token_ids_of_odd_words(monkeypatch):
+    """Against the library: marks, case, special tokens, odd white space, long words, a table of few slots, a pool that is emptied."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfiles, "SLOT_BITS", 6)
+    monkeypatch.setattr(tokenfiles, "POOL_IDS", 3000)
+    path = tokenfiles.fixed_path(tokenfiles.TOKENIZER)
+    library, encoder, rng = Tokenizer.from_file(path), tokenfiles._Encoder(path, 1), random.Random(1)
+    texts = ["".join(rng.choices("abAB é’'<|>endoftext\x1c  \t\n\x0b0123.,-ßİſ́\xa0", k=rng.randrange(40))) for _ in range(1500)]
+    texts += ["<|endoftext|> <|ENDOFTEXT|> x<|startoftext|>y", None, "", " ", "a" * 5000 + " b", "İ", "ab " * 300, "À à"]
+    for batch in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]), 0, 4000):
+        ids, counts = encoder.encode(batch.column(0))
+        got = np.split(ids, np.cumsum(counts))[:-1]
+        assert [x.tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids + [1] for t in batch.column(0).to_pylist()]
+
+
+def test_alignment_through_a_character_map():
+    """Models with a map and every mix of prefix, squeezed and escaped white space: pieces cover the library's normalised text, spans the source."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    map_of = sentencepiece_model_pb2.ModelProto()
+    map_of.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    with open(pieces.fixed_path(pieces.MODEL), "rb") as f:
+        base = f.read()
+    for prefix, squeeze, escape in ((True, True, True), (False, True, True), (True, False, True), (False, False, True)):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(base)
+        spec = proto.normalizer_spec
+        spec.precompiled_charsmap = map_of.normalizer_spec.precompiled_charsmap
+        spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = prefix, squeeze, escape
+        own = pieces.Pieces.of(proto)
+        for text in ("ﬁne ①② ＡＢＣ", "  two   spaces　wide ", "école ｶﾞ ㍿ ½ Å", "plain", "", "   ", "x​y\x00z ﷺ", "ＡＢ " * 300):
+            ids = own.encode([text])[0]
+            begin, end = own.spans(text, ids)
+            raw = text.encode()
+            known = own.model.encode(text, out_type="proto").pieces
+            assert len(begin) == len(ids) == len(known)
+            assert all(0 <= a <= b <= len(raw) for a, b in zip(begin, end, strict=True)) and list(begin) == sorted(begin)
+            assert len(own.align(text)[0]) == sum(1 if own.model.is_byte(p.id) else len(p.piece.encode()) for p in known), text
+            for a, b in zip(begin, end, strict=True):
+                raw[a:b].decode()  # a span never cuts a character of the source, but for byte pieces
