@@ -78,8 +78,8 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array, separators: np.ndarray = SPACE) -> Words:
-    """Splits every text at ``separators`` and takes each word's fingerprint with A-Z lower-cased."""
+def words(column: pa.Array, separators: np.ndarray = SPACE, fold: bool = True) -> Words:
+    """Splits every text at ``separators`` and takes each word's fingerprint, with A-Z lower-cased if ``fold``."""
     global _POW
     data, offsets = bytes_of(column)
     n = len(data)
@@ -103,7 +103,7 @@ def words(column: pa.Array, separators: np.ndarray = SPACE) -> Words:
     spans = np.diff(np.append(start, n))
     at = np.arange(start[0], n, dtype=np.int32)
     at -= np.repeat(start.astype(np.int32), spans)
-    value = np.take(_VALUE, data[start[0] :])
+    value = np.take(_VALUE if fold else _BYTE, data[start[0] :])
     value *= np.take(_POW, at, mode="clip")
     value *= inside[start[0] :]  # separators behind a word count as zero
     hashed = mix(np.add.reduceat(value, start - start[0]) + (end - start).astype(np.uint64))
@@ -133,11 +133,6 @@ def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
         return mix((sums[k:] - sums[:n]) * back)
 
 
-def starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, the first position of a k-gram and the position behind its last (equal where it has fewer than k items)."""
-    return first[:-1], np.maximum(first[1:] - k + 1, first[:-1])
-
-
 def inside(first: np.ndarray, k: int) -> np.ndarray:
     """Which of all positions of ``ngrams`` lie within one text."""
     ok = np.ones(max(0, int(first[-1]) - k + 1), bool)
