@@ -596,3 +596,41 @@ def test_alignment_through_a_character_map():
             assert len(own.align(text)[0]) == sum(1 if own.model.is_byte(p.id) else len(p.piece.encode()) for p in known), text
             for a, b in zip(begin, end, strict=True):
                 raw[a:b].decode()  # a span never cuts a character of the source, but for byte pieces
+
+
+def test_near_vectors_of_other_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 64))
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    rows += [(100, [1.0, 2.0], "a"), (101, [2.0, 4.0], "a"), (102, [2.0, -4.0], "a"), (103, [1.0, 2.0, 0.0], "a"), (104, [1.0, 2.0], "b"), (105, [-3.0], "a"), (106, [-1.0], "a"), (107, [1.0], "a")]
+    long = rng.standard_normal(1000)
+    rows += [(110, long.tolist(), "a"), (111, (long + 0.05 * rng.standard_normal(1000)).tolist(), "a")]
+    rows += [(200, x[0].tolist(), "a"), (200, x[1].tolist(), "a"), (201, (1.5 * x[2]).tolist(), "a"), (202, (2 * x[2]).tolist(), "a")]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label string")
+    got = {}
+    for r in vectors.near_vectors(df).collect():
+        got.setdefault(r.vec_id, set()).add((r.n_links, r.component_id, r.kept))
+    assert got[100] == {(1, 100, True)} and got[101] == {(1, 100, False)} and got[102] == {(0, 102, True)} and got[103] == {(0, 103, True)} and got[104] == {(0, 104, True)}
+    assert got[105] == {(1, 105, True)} and got[106] == {(1, 105, False)} and got[107] == {(0, 107, True)}
+    assert got[110] == {(1, 110, True)} and got[111] == {(1, 110, False)}
+    assert got[0] == {(1, 0, True)} and got[1] == {(1, 0, False)} and got[200] == {(1, 0, False)}  # one id with two vectors ties both together
+    assert got[2] == {(2, 2, True)} and got[201] == {(2, 2, False)} and got[3] == {(0, 3, True)}
+
+
+def test_dense_groups_of_vectors(spark, monkeypatch):
+    """Near copies in blocks far smaller than their bucket: counts and components by brute force."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3, 64))
+    x = np.concatenate([b + 0.22 * rng.standard_normal((70, 64)) for b in base] + [rng.standard_normal((80, 64))])
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(1000 + i, x[i].tolist(), i % 2) for i in range(20)]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    ids, label = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label) & (ids[:, None] != ids)
+    want = groups(ids.tolist(), [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(linked), strict=True)])
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    count = dict(zip(ids.tolist(), linked.sum(1).tolist(), strict=True))
+    assert all(r.n_links <= count[i] for i, r in got.items()) and sum(r.n_links for r in got.values()) >= 0.98 * linked.sum() > 2000
+    assert np.mean([got[i].component_id == want[i] for i in want]) > 0.97
+    assert (vectors.spanning(np.array([[0, 1, 0, 0], [1, 0, 0, 1], [0, 0, 0, 0], [0, 1, 0, 0]], bool)) == [0, 0, 2, 0]).all()
