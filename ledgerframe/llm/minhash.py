@@ -288,3 +288,18 @@ def linked_classes(slim: DataFrame) -> DataFrame:
     own = slim.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("d1").alias("u")).distinct()
     least = own.groupBy("doc_id").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1")
     return own.join(least, "doc_id").where("u <> v").select("u", "v")
+
+
+#: The same groups in DuckDB, by all pairs of distinct sets that share a shingle (four words, 80 of 100).
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS g FROM d),
+c AS (SELECT min(doc_id) AS id, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT id, n, unnest(g) AS h FROM c),
+l AS (SELECT a.id AS u, b.id AS v FROM x a JOIN x b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+m AS (SELECT u, least(u, min(v)) AS m FROM r GROUP BY u)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.m, c.id, s.doc_id) AS component_id, s.doc_id = coalesce(m.m, c.id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.u = c.id
+"""
