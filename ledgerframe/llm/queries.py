@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pagediff, pieces, scoring, tokenfiles, toxicity, urls, vectors
+from . import minhash, pagediff, pieces, repeats, scoring, tokenfiles, toxicity, urls, vectors
 from .common import Scratch, table
 from .decontaminate import benchmark_matches
-from .minhash import near_duplicates
-from .repeats import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +43,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +64,7 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), within=True).withColumn("n_words", F.expr("end_word - start_word"))
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"), within=True).withColumn("n_words", F.expr("end_word - start_word"))
 
 
 def queries() -> dict[str, Query]:
@@ -74,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_backoff_scores_order3": scoring.ORACLE_3, "op2_backoff_scores": scoring.ORACLE, "op6_url_rules": urls.ORACLE, "op9_near_vectors": vectors.ORACLE}
+    return {"op2_backoff_scores_order3": scoring.ORACLE_3, "op2_backoff_scores": scoring.ORACLE, "op5_minhash_near_duplicates": minhash.ORACLE, "op6_url_rules": urls.ORACLE, "op9_near_vectors": vectors.ORACLE, "op10_repeated_passages": repeats.ORACLE}

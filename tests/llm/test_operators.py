@@ -634,3 +634,34 @@ def test_dense_groups_of_vectors(spark, monkeypatch):
     assert all(r.n_links <= count[i] for i, r in got.items()) and sum(r.n_links for r in got.values()) >= 0.98 * linked.sum() > 2000
     assert np.mean([got[i].component_id == want[i] for i in want]) > 0.97
     assert (vectors.spanning(np.array([[0, 1, 0, 0], [1, 0, 0, 1], [0, 0, 0, 0], [0, 1, 0, 0]], bool)) == [0, 0, 2, 0]).all()
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_comparing_sorted_ranges_in_batches(within):
+    """Runs that begin and end anywhere in ranges and batches give the rows that all together would give."""
+    rng = random.Random(13)
+    for _ in range(60):
+        rows = sorted((k, rng.randrange(4), rng.randrange(2), rng.randrange(3)) for k in range(12) for _ in range(rng.choice([1, 1, 2, 3, 9])))
+        cuts = sorted(rng.sample(range(len(rows) + 1), 3))
+        found, edges = [], {}
+        for part in (rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            size = rng.randrange(1, 6)
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part[a : a + size], strict=True)], ["key", "doc_id", "tag", "place"]) for a in range(0, len(part), size)]
+            for batch in repeats._compare(within)(iter(batches)):
+                found += batch.to_pylist()
+        for r in found:
+            if r["edge"] or r["mark"]:
+                edges.setdefault(r["key"], set()).add((r["doc_id"], r["tag"], r["place"] if within else 0))
+        got = []
+        for r in found:
+            if r["mark"] or r["edge"] and len(edges[r["key"]]) < 2:
+                continue
+            least = min(edges[r["key"]])[:2] if r["key"] in edges else None
+            own = (r["doc_id"], r["tag"]) == least if least else r["own"]
+            got.append((r["key"], r["doc_id"], r["tag"], r["place"], least[0] if least else r["source"], own))
+        want = []
+        for k, d, t, p in rows:
+            same = [(x[1], x[2], x[3] if within else 0) for x in rows if x[0] == k]
+            if len(set(same)) > 1:
+                want.append((k, d, t, p, min(same)[0], (d, t) == min(same)[:2]))
+        assert sorted(got) == sorted(want)
