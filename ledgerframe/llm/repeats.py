@@ -27,8 +27,8 @@ from .common import Scratch, arrow_rows, fresh, slices
 from .fingerprints import inside, ngrams, words
 
 MIN_WORDS, SEED = 50, 10
-#: Rows that one task sorts and compares (32 bytes each, several times that in memory).
-PART_ROWS = 1_000_000
+#: Rows that one task sorts and compares (32 bytes each).
+PART_ROWS = 2_000_000
 _DOC = ("doc_id", "tag")
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -71,25 +71,56 @@ def _suffixes(min_words: int, seed: int):
 
 def _compare(within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows (key, doc_id, tag, place) of one range: those whose key another document has (with ``within``: or another place), and all rows of its first and last key."""
-        columns = [np.concatenate(x) for x in zip(*([np.asarray(c) for c in b.columns] for b in batches), strict=True)]
-        if not columns or not len(columns[0]):
-            return
-        key, doc, tag, place = columns
-        n = len(key)
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(begin, n))
-        # a row differs from the one before it in its run
-        other = np.zeros(n, bool)
-        other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (within & (place[1:] != place[:-1]))
-        other[begin] = False
-        several = np.logical_or.reduceat(other, begin)
-        edge = np.zeros(len(begin), bool)
-        edge[[0, -1]] = True
-        keep = np.flatnonzero(np.repeat(several | edge, length))
-        first = np.repeat(begin, length)[keep]
-        out = [key[keep], doc[keep], tag[keep], place[keep], doc[first], (doc[keep] == doc[first]) & (tag[keep] == tag[first]), np.repeat(edge, length)[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", *_DOC, "place", "source", "own", "edge"])
+        """Sorted rows (key, doc_id, tag, place) of one range, each compared with the one before it: those whose key another document has (with ``within``: or another place).
+
+        All rows of the range's first key, and of its last one if nothing differs there, are ``edge``: other ranges may have more of them. Of a last
+        key with differing rows, which are told here, the smallest row comes once more as ``mark``. Only rows that wait for a differing one are
+        held from batch to batch: those of one document at most.
+        """
+        held = [np.zeros(0, np.int64)] * 4  # the first row of the last key, and the others that wait
+        told = False  # the last key has differing rows: all that came are out
+        opening = True  # the last key is also the range's first
+
+        def out(rows: list[np.ndarray], first: np.ndarray, edge: np.ndarray | bool, mark: bool = False) -> pa.RecordBatch:
+            _, doc, tag, _ = rows
+            n = len(doc)
+            own = (doc == doc[first]) & (tag == tag[first])
+            keep = edge if isinstance(edge, np.ndarray) else np.full(n, edge)
+            return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(doc[first]), pa.array(own), pa.array(keep), pa.array(np.full(n, mark))], ["key", *_DOC, "place", "source", "own", "edge", "mark"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting = len(held[0])
+            rows = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
+            key, doc, tag, place = rows
+            n = len(key)
+            new = np.ones(n, bool)
+            new[1:] = key[1:] != key[:-1]
+            begin = np.flatnonzero(new)
+            other = np.zeros(n, bool)
+            other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (within & (place[1:] != place[:-1]))
+            other[begin] = False
+            several = np.logical_or.reduceat(other, begin)
+            several[0] |= told
+            length = np.diff(np.append(begin, n))
+            edge = np.zeros(len(begin), bool)
+            edge[0] = opening
+            fresh_ = np.ones(n, bool)
+            if told:
+                fresh_[:waiting] = False
+            ready = several | edge
+            ready[-1] = several[-1]  # more rows of it may come
+            give = np.flatnonzero(np.repeat(ready, length) & fresh_)
+            first = np.repeat(begin, length)
+            if len(give):
+                found = out(rows, first, np.repeat(edge, length))
+                yield found.take(pa.array(give))
+            last, told = int(begin[-1]), bool(several[-1])
+            opening = opening and len(begin) == 1
+            held = [x[last : last + 1] if told else x[last:] for x in rows]
+        if len(held[0]) and not (told and opening):
+            yield out(held, np.zeros(len(held[0]), np.int64), not told, told)
 
     return run
 
@@ -99,11 +130,11 @@ def _matches(rows: DataFrame, scratch: Scratch, name: str, within: bool) -> Data
     order = ["key", *_DOC, "place"]
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
     ranged = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = scratch.write(ranged.mapInArrow(_compare(within), "key long, doc_id long, tag long, place long, source long, own boolean, edge boolean"), name)
-    edges = found.where("edge").groupBy("key").agg(F.min(F.struct(*_DOC)).alias("least"), F.max(F.struct(*_DOC)).alias("most"), F.min("place").alias("p"), F.max("place").alias("q"))
+    found = scratch.write(ranged.mapInArrow(_compare(within), "key long, doc_id long, tag long, place long, source long, own boolean, edge boolean, mark boolean"), name)
+    edges = found.where("edge or mark").groupBy("key").agg(F.min(F.struct(*_DOC)).alias("least"), F.max(F.struct(*_DOC)).alias("most"), F.min("place").alias("p"), F.max("place").alias("q"))
     differ = (F.col("least") != F.col("most")) | (F.lit(within) & (F.col("p") != F.col("q")))
-    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")  # two keys a range at most: two rows for a million
-    joined = found.join(F.broadcast(edges), "key", "left").where("not edge or least is not null")
+    edges = scratch.write(edges.where(differ).select("key", "least"), f"{name}-edges")  # two keys a range at most
+    joined = found.join(F.broadcast(edges), "key", "left").where("not mark and (not edge or least is not null)")
     own = F.when(F.col("edge"), F.struct(*_DOC) == F.col("least")).otherwise(F.col("own"))
     return joined.select(*order, F.coalesce("least.doc_id", "source").alias("source"), own.alias("own"))
 
@@ -244,3 +275,16 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*(f"`{c}`" for c in docs.columns))
+
+
+#: The same spans in DuckDB (repeats within a document too), from all windows of 50 words.
+ORACLE = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+o AS (SELECT doc_id, word, array_to_string(w[word + 1 : word + 50], ' ') AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS word FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS source FROM o GROUP BY h HAVING count(*) > 1),
+p AS (SELECT doc_id, word, source, doc_id = source AS own, word - min(word) OVER (PARTITION BY doc_id, h) AS back FROM o JOIN f USING (h)),
+q AS (SELECT doc_id, word, source, own AND back = 0 AS kept, CASE WHEN own AND back > 0 THEN greatest(word, word - back + 50) ELSE word END AS a, word + 50 AS z FROM p),
+g AS (SELECT *, max(z) OVER (PARTITION BY doc_id, kept ORDER BY a, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, kept ORDER BY a, word) AS span FROM g)
+SELECT doc_id, CAST(min(a) AS INTEGER) AS start_word, CAST(max(z) AS INTEGER) AS end_word, kept, min(source) AS source_id, CAST(max(z) - min(a) AS INTEGER) AS n_words FROM i GROUP BY doc_id, kept, span
+"""
