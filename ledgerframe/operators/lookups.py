@@ -41,6 +41,17 @@ def lookup(rows: DataFrame, key: list[str], probes: DataFrame) -> DataFrame:
     return rows.join(probes.select(*key).distinct(), key)
 
 
+def lookup_each(rows: DataFrame, key: list[str], probes: DataFrame) -> DataFrame:
+    """Each probe with the row of its key; probes without one have none."""
+    return probes.join(rows, key)
+
+
+def count_found(rows: DataFrame, key: list[str], probes: DataFrame) -> DataFrame:
+    """One row: how many probes there are, and how many have a row. No value is read."""
+    there = rows.select(*key).distinct().withColumn("__found", F.lit(1))
+    return probes.select(*key).join(there, key, "left").agg(F.count("*").alias("probes"), F.count("__found").alias("found"))
+
+
 def any_row(rows: DataFrame, keep: Column, name: str) -> DataFrame:
     """One row: whether any row fits. The condition reaches the scan, and a task stops at its first match."""
     return rows.where(keep).select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias(name))

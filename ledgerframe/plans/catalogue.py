@@ -180,6 +180,22 @@ def batched_point_lookup_all(spark, d):
     return lookups.lookup(_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], probes)
 
 
+@_query("SELECT l_orderkey AS o_orderkey, l_linenumber, l_quantity, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def positive_gets(spark, d):
+    probes = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return lookups.lookup_each(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], probes)
+
+
+@_query("SELECT count(*) AS probes, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS found FROM lineitem")
+def positive_exists(spark, d):
+    return lookups.count_found(_table(spark, d, "orders"), ["o_orderkey"], _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")))
+
+
+@_query("SELECT count(*) AS probes, 0 AS found FROM lineitem")
+def negative_exists(spark, d):
+    return lookups.count_found(_table(spark, d, "orders"), ["o_orderkey"], _table(spark, d, "lineitem").select((-1 - F.col("l_orderkey")).alias("o_orderkey")))
+
+
 @_query("SELECT * FROM customer WHERE c_name = 'Customer#000000042'")
 def find_by_unique(spark, d):
     rows = _table(spark, d, "customer")
