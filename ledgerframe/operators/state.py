@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-META = ("seq", "node_id", "ts", "op", "origin")
+META = ("seq", "node_id", "ts", "op", "origin", "large")
 
 
 def value_columns(log: DataFrame, key: list[str]) -> list[str]:

@@ -22,8 +22,8 @@ from .state import META, current
 
 #: Options and their defaults: whether old versions stay after ``compact`` and how many sequence numbers of them after ``close``, the key
 #: order, how many level-0 batches start a compaction (None: only ``compact`` does), the size of compacted files, what level 1 may
-#: hold, and whether the state that a read has merged is kept in memory until the next commit.
-OPTIONS = {"history": True, "keep_seqs": 1_000_000, "ordering": "reference", "max_l0": None, "file_bytes": FILE_BYTES, "level_bytes": LEVEL_BYTES, "promote_reads": False}
+#: hold, whether the state that a read has merged is kept in memory until the next commit, and from how many bytes on values are kept in files of their own.
+OPTIONS = {"history": True, "keep_seqs": 1_000_000, "ordering": "reference", "max_l0": None, "file_bytes": FILE_BYTES, "level_bytes": LEVEL_BYTES, "promote_reads": False, "blob_bytes": None}
 #: What the presets set otherwise; options that are given count before them.
 PRESETS = {"ULTRA_FAST": {"history": False, "promote_reads": True}, "FAST": {"history": False, "promote_reads": True}, "NORMAL": {}, "DURABLE": {"keep_seqs": None}}
 
@@ -166,7 +166,7 @@ class Table:
         self.database, self.name, self.schema, self.key = database, name, schema, key
         self.natural = database.options["ordering"] == "natural"
         self.indexes = set(database.files.names(f"catalog/{name}.index"))
-        self.changes = ChangeLog(database.spark, f"{database.path}/tables/{name}", schema, key, database.node_id, self.natural)
+        self.changes = ChangeLog(database.spark, f"{database.path}/tables/{name}", schema, key, database.node_id, self.natural, database.options["blob_bytes"])
         self.codecs: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {}
         self.promoted: DataFrame | None = None
         self.changes.on_commit.append(lambda _: self.forget())
@@ -178,25 +178,28 @@ class Table:
         self.codecs[column] = encode, decode
         return self
 
-    def _decoded(self, log: DataFrame) -> DataFrame:
-        return log.withColumns({c: decode(F.col(c)) for c, (_, decode) in self.codecs.items()}) if self.codecs else log
+    def _decoded(self, rows: DataFrame) -> DataFrame:
+        """Rows of the log, merged or not, as they are read: with their large values, by the codecs."""
+        rows = self.changes.whole(rows)
+        return rows.withColumns({c: decode(F.col(c)) for c, (_, decode) in self.codecs.items() if c in rows.columns}) if self.codecs else rows
 
     def log(self) -> DataFrame:
         """All writes that are kept."""
         self.database.check_open()
         return self._decoded(self.changes.read_all())
 
-    def state_log(self, **bounds: tuple | None) -> DataFrame:
-        """Writes that tell the current state: compacted batches and those since; only batches that may have keys in the bounds (``ChangeLog.overlapping``)."""
+    def _state(self, keep: Column | None = None, **bounds: tuple | None) -> DataFrame:
+        """The newest live write of each key (that ``keep``, a condition on keys, selects), from the batches that may have keys in the bounds (``ChangeLog.overlapping``)."""
         self.database.check_open()
-        return self._decoded(self.changes.read(**bounds))
+        log = self.changes.read(**bounds)
+        return current(log if keep is None else log.where(keep), self.key)
 
     def rows(self) -> DataFrame:
         """The live rows."""
         self.database.check_open()
         if self.promoted is not None:
             return self.promoted
-        found = current(self.state_log(), self.key).select(*self.schema.fieldNames())
+        found = self._decoded(self._state()).select(*self.schema.fieldNames())
         if self.database.options["promote_reads"]:
             self.promoted = found = found.persist(StorageLevel.MEMORY_AND_DISK)
         return found
@@ -255,7 +258,7 @@ class Table:
         """Sets columns of the given keys, from their old values; a key that is not there starts with nulls and its own key."""
         self.database.check_open()
         probes = keys if isinstance(keys, DataFrame) else self._keys(keys)
-        return self._append(lookups.upsert_rows(current(self.state_log(), self.key), self.key, probes, assign), [], "P")
+        return self._append(lookups.upsert_rows(self._decoded(self._state()), self.key, probes, assign), [], "P")
 
     def _near(self, key: object) -> dict[str, tuple]:
         """The bounds of one key."""
@@ -264,20 +267,21 @@ class Table:
 
     def get(self, key: object) -> Row | None:
         """The live row of a key; only batches that may have it are opened."""
-        found = current(self.state_log(**self._near(key)).where(self._is(key)), self.key).select(*self.schema.fieldNames()).limit(1).collect()
+        found = self._decoded(self._state(self._is(key), **self._near(key))).select(*self.schema.fieldNames()).limit(1).collect()
         return found[0] if found else None
 
     def get_many(self, probes: DataFrame) -> DataFrame:
         return lookups.lookup(self.rows(), self.key, probes)
 
     def exists(self, key: object) -> bool:
-        return not current(self.state_log(**self._near(key)).where(self._is(key)).select("seq", "op", *self.key), self.key).isEmpty()
+        return not self._state(self._is(key), **self._near(key)).select(*self.key).isEmpty()
 
     def _in_range(self, start: object, end: object, columns: list[str]) -> DataFrame:
         """The live rows with start <= key < end, from the batches that may have any."""
+        self.database.check_open()
         start, end = (None if b is None else b if isinstance(b, tuple) else (b,) for b in (start, end))
-        log = self.state_log(start=start, end=end).select("seq", "op", *columns)
-        return current(lookups.in_range(log, self.key, start, end, self.natural), self.key).select(*columns)
+        log = lookups.in_range(self.changes.read(start=start, end=end).select("seq", "op", "large", *columns), self.key, start, end, self.natural)
+        return self._decoded(current(log, self.key)).select(*columns)
 
     def scan(self, start: object = None, end: object = None) -> DataFrame:
         """Rows with start <= key < end in key order."""
@@ -310,21 +314,24 @@ class Table:
     def find_by(self, column: str, value: object) -> Row | None:
         if column not in self.indexes:
             raise KeyError(f"{column} is not an index")
-        found = lookups.find_by(current(self.state_log(), self.key), column, value).select(*self.schema.fieldNames()).collect()
+        found = lookups.find_by(self._decoded(self._state()), column, value).select(*self.schema.fieldNames()).collect()
         return found[0] if found else None
 
     def find_all_by(self, column: str, value: object) -> DataFrame:
         return lookups.find_all_by(self.rows(), column, value)
 
     def get_at(self, key: object, seq: int) -> Row | None:
-        found = versions.get_at(self.log(), self.key, self._is(key), seq).select(*self.schema.fieldNames()).collect()
+        self.database.check_open()
+        found = self._decoded(versions.get_at(self.changes.read_all(), self.key, self._is(key), seq)).select(*self.schema.fieldNames()).collect()
         return found[0] if found else None
 
     def as_of(self, seq: int) -> DataFrame:
-        return current(self.log().where(F.col("seq") <= seq), self.key).select(*self.schema.fieldNames())
+        self.database.check_open()
+        return self._decoded(current(self.changes.read_all().where(F.col("seq") <= seq), self.key)).select(*self.schema.fieldNames())
 
     def history(self, key: object) -> DataFrame:
-        return versions.history(self.log(), self._is(key))
+        self.database.check_open()
+        return versions.history(self._decoded(self.changes.read_all().where(self._is(key))), F.lit(True))
 
     def _history_kept(self) -> None:
         if not self.database.options["history"]:
@@ -334,13 +341,13 @@ class Table:
         """Writes that restore every key's state after ``seq``."""
         self.database.check_open()
         self._history_kept()
-        return self._tidied(self.changes.append(versions.rollback_targets(self.changes.read_all(), self.key, seq), "", "rollback"))
+        return self._tidied(self.changes.append(versions.rollback_targets(self.changes.whole(self.changes.read_all()), self.key, seq), "", "rollback"))
 
     def rollback_key(self, key: object, seq: int) -> int:
         """One write that restores a key's state after ``seq``, changed or not."""
         self.database.check_open()
         self._history_kept()
-        then = versions.get_at(self.changes.read_all(), self.key, self._is(key), seq)
+        then = self.changes.whole(versions.get_at(self.changes.read_all(), self.key, self._is(key), seq))
         if then.isEmpty():
             return self.changes.append(self._keys([key]), "D", "rollback")
         return self.changes.append(then.drop(*META), "P", "rollback")
@@ -380,4 +387,5 @@ class Table:
         return self.changes.files(start=start, end=end)
 
     def stats(self) -> DataFrame:
-        return stats.log_stats(self.state_log(), self.key)
+        self.database.check_open()
+        return stats.log_stats(self.changes.read(), self.key)

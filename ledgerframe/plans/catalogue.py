@@ -631,6 +631,46 @@ def batches_opened(spark, d):
     return _answer(spark, [(b.first[0], b.rows) for b in opened], "range_start int, rows long")
 
 
+_LARGE = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html || html ELSE html END AS html FROM pages WHERE page_id % 5 <> 0"
+
+
+def _pages(spark: SparkSession, d: str) -> Table:
+    """Pages whose html of a thousand bytes or more is kept apart: all, every second changed, every fifth removed."""
+    rows = _table(spark, d, "pages").select("page_id", "html")
+    t = Database(spark, workspace(spark, "database"), blob_bytes=1000).table("pages", rows.schema, "page_id")
+    t.put(rows)
+    t.put(rows.where("page_id % 2 = 0").withColumn("html", F.concat("html", "html")))
+    t.remove(rows.where("page_id % 5 = 0").select("page_id"))
+    return t
+
+
+@_query(_LARGE)
+def large_values_of_a_table(spark, d):
+    return _pages(spark, d).rows()
+
+
+@_query(f"SELECT 'now' AS what, * FROM ({_LARGE}) UNION ALL SELECT 'before', page_id, html FROM pages UNION ALL SELECT 'rolled back', page_id, html FROM pages")
+def large_values_through_time(spark, d):
+    """Large values after a compaction, in the past, and after a rollback."""
+    t = _pages(spark, d)
+    then = _table(spark, d, "pages").count()
+    t.compact()
+    t.changes.manifest.vacuum()
+    read = lambda what, rows: rows.select(F.lit(what).alias("what"), "page_id", "html")
+    now, before = read("now", t.rows()), read("before", t.as_of(then))
+    t.rollback_to(then)
+    return now.unionByName(before).unionByName(read("rolled back", t.rows()))
+
+
+@_query("SELECT count(*) FILTER (strlen(html) >= 1000) AS apart, 0 AS in_the_log FROM pages")
+def large_values_apart(spark, d):
+    """No value of a thousand bytes or more is in the log's own files."""
+    rows = _table(spark, d, "pages").select("page_id", "html")
+    t = Database(spark, workspace(spark, "database"), blob_bytes=1000).table("pages", rows.schema, "page_id")
+    t.put(rows)
+    return t.changes.read().agg(F.count_if(F.array_contains("large", "html")).alias("apart"), F.count_if(F.octet_length("html") >= 1000).alias("in_the_log"))
+
+
 _KEPT = "SELECT c_custkey, c_mktsegment FROM customer"
 
 

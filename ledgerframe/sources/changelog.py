@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbering import in_place
 from ..functions.ordering import key_order, key_place
-from ..operators.state import compact
+from ..operators.state import META, compact
 from .manifest import Batch, Conflict, Manifest, Version
 
 #: Compacted files are cut at about so many bytes; level 1 may hold LEVEL_BYTES, each level below it ten times as much.
@@ -23,15 +23,26 @@ LEVEL_FACTOR = 10
 def log_schema(schema: T.StructType) -> T.StructType:
     """The columns of the log of a table: what each write has, then the table's own columns, nullable."""
     meta = [T.StructField("seq", T.LongType()), T.StructField("node_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("op", T.StringType()), T.StructField("origin", T.StringType())]
+    meta.append(T.StructField("large", T.ArrayType(T.StringType())))  # the columns whose values are kept apart
     return T.StructType([*meta, *(T.StructField(f.name, f.dataType, True) for f in schema.fields)])
 
 
+#: Large values kept apart: the write, its column, the value (text or bytes) and its checksum.
+BLOBS = "seq long, column string, text string, data binary, crc long"
+
+
 class ChangeLog:
-    """Writes append numbered rows; reads see the newest committed version. ``on_commit`` functions get each version after its commit."""
+    """Writes append numbered rows; reads see the newest committed version. ``on_commit`` functions get each version after its commit.
+
+    With ``blob_bytes`` text and binary values of so many bytes or more go to files of their own, so that merges and scans do not carry them;
+    ``whole`` puts them back.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], node_id: int = 0, natural: bool = False) -> None:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], node_id: int = 0, natural: bool = False, blob_bytes: int | None = None) -> None:
         self.spark, self.root, self.key, self.node_id, self.natural = spark, root.rstrip("/"), key, node_id, natural
         self.schema = log_schema(schema)
+        self.blob_bytes = blob_bytes
+        self.heavy = [f for f in schema.fields if f.name not in key and isinstance(f.dataType, T.StringType | T.BinaryType)]
         self.manifest = Manifest(spark, self.root)
         self.on_commit: list[Callable[[Version], None]] = []
 
@@ -71,6 +82,47 @@ class ChangeLog:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{b.path}" for b in batches))
 
+    def whole(self, rows: DataFrame) -> DataFrame:
+        """Rows of the log (with ``seq`` and ``large``) with their large values; a row with a value whose checksum differs is left out."""
+        version = self.manifest.current()
+        paths = sorted({f"{self.root}/{x}" for b in (*version.batches, *version.past) for x in b.blobs})
+        columns = [f for f in self.heavy if f.name in rows.columns]
+        if not paths or not columns:
+            return rows
+        blobs = self.spark.read.schema(BLOBS).parquet(*paths).dropDuplicates(["seq", "column"])
+        for f in columns:
+            own = blobs.where(F.col("column") == f.name).select(F.col("seq").alias("__seq"), F.col("text" if isinstance(f.dataType, T.StringType) else "data").alias("__value"), F.col("crc").alias("__crc"))
+            joined = rows.join(own, F.array_contains("large", f.name) & (F.col("seq") == F.col("__seq")), "left")
+            apart = F.coalesce(F.array_contains("large", f.name), F.lit(False))
+            sound = ~apart | F.coalesce(F.crc32(F.col("__value").cast("binary")) == F.col("__crc"), F.lit(False))
+            rows = joined.where(sound).withColumn(f.name, F.when(apart, F.col("__value")).otherwise(F.col(f.name))).drop("__seq", "__value", "__crc")
+        return rows
+
+    def _apart(self, rows: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+        """Rows to write without their large values, and the folder that has these."""
+        if self.blob_bytes is None or not self.heavy:
+            return rows.withColumn("large", F.lit(None).cast("array<string>")), ()
+        big = {f.name: F.coalesce(F.octet_length(f.name) >= self.blob_bytes, F.lit(False)) for f in self.heavy}
+        values = []
+        for f in self.heavy:
+            text = F.col(f.name) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("string")
+            data = F.col(f.name) if isinstance(f.dataType, T.BinaryType) else F.lit(None).cast("binary")
+            value = F.struct(F.lit(f.name).alias("column"), text.alias("text"), data.alias("data"), F.crc32(F.col(f.name).cast("binary")).alias("crc"))
+            values.append(F.when(big[f.name], value))
+        path = f"blobs/{uuid.uuid4().hex}"
+        apart = rows.select("seq", F.explode(F.array_compact(F.array(*values))).alias("b")).select("seq", "b.*")
+        apart.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        if self.spark.read.schema(BLOBS).parquet(f"{self.root}/{path}").isEmpty():
+            self.manifest.files.delete(path)
+            path = ""
+        large = F.array_compact(F.array(*(F.when(big[name], F.lit(name)) for name in big)))
+        slim = rows.withColumns({"large": F.when(F.size(large) > 0, large), **{name: F.when(~big[name], F.col(name)) for name in big}})
+        return slim, (path,) if path else ()
+
+    @staticmethod
+    def _blobs_of(batches: list[Batch] | tuple[Batch, ...]) -> tuple[str, ...]:
+        return tuple(sorted({x for b in batches for x in b.blobs}))
+
     def _ends(self) -> list[Column]:
         """Aggregates for the first and the last key."""
         key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(key_order(self.schema, self.key, self.natural))), *self.key)
@@ -82,8 +134,8 @@ class ChangeLog:
         plain = values is not None and self._place(values) is not None and not any(isinstance(v, float) and not math.isfinite(v) for v in values)
         return values if plain else None
 
-    def _batch(self, path: str, level: int, n: int, least: int, most: int, first: Row | None, last: Row | None) -> Batch:
-        return Batch(path, level, n, least, most, *self.manifest.files.size(path), self._key_of(first), self._key_of(last))
+    def _batch(self, path: str, level: int, n: int, least: int, most: int, first: Row | None, last: Row | None, blobs: tuple[str, ...] = ()) -> Batch:
+        return Batch(path, level, n, least, most, *self.manifest.files.size(path), self._key_of(first), self._key_of(last), blobs)
 
     def _save(self, rows: DataFrame, level: int, folder: str = "batches") -> str:
         path = f"{folder}/{uuid.uuid4().hex}"
@@ -91,14 +143,14 @@ class ChangeLog:
         rows.select(*self.schema.fieldNames()).write.options(**options).parquet(f"{self.root}/{path}")
         return path
 
-    def _write(self, rows: DataFrame, level: int, folder: str = "batches") -> Batch | None:
-        """Writes rows that have their numbers; what the manifest needs of them is told from the file's own number and key columns."""
+    def _write(self, rows: DataFrame, level: int, folder: str = "batches", blobs: tuple[str, ...] = ()) -> Batch | None:
+        """Writes rows that have their numbers, and refer to large values in ``blobs``; what the manifest needs of them is told from the file's own number and key columns."""
         path = self._save(rows, level, folder)
         found = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"), *self._ends()).first()
         if not found["n"]:
             self.manifest.files.delete(path)
             return None
-        return self._batch(path, level, found["n"], found["a"], found["b"], found["first"], found["last"])
+        return self._batch(path, level, found["n"], found["a"], found["b"], found["first"], found["last"], blobs)
 
     def append(self, rows: DataFrame, op: str, origin: str = "user", ends: tuple[int, Row | None, Row | None] | None = None) -> int:
         """Adds one write per row, numbered in the order that the rows have; returns the last sequence number.
@@ -106,35 +158,44 @@ class ChangeLog:
         ``ends`` (how many rows, first and last key) is given with rows that are numbered from 0 by a column ``__i``.
         """
         version = self.manifest.current()
-        names = [f.name for f in self.schema.fields[5:]]
+        names = [f.name for f in self.schema.fields[len(META) :]]
         lacking = [F.lit(None).cast(self.schema[n].dataType).alias(n) for n in names if n not in rows.columns]
 
         def writes(numbered: DataFrame) -> DataFrame:
             return numbered.select("seq", F.lit(self.node_id).cast("long").alias("node_id"), F.current_timestamp().alias("ts"), F.lit(op).alias("op") if op else F.col("op"), F.lit(origin).alias("origin"), *[F.col(n).cast(self.schema[n].dataType) for n in names])
 
-        start = version.next_seq
+        def save(numbered: DataFrame) -> tuple[str, tuple[str, ...]]:
+            slim, blobs = self._apart(writes(numbered))
+            return self._save(slim, 0), blobs
+
+        start, path, blobs = version.next_seq, "", ()
         if ends:
             n, first, last = ends
-            path = self._save(writes(rows.select("*", *lacking).withColumn("seq", F.col("__i") + start)), 0) if n else ""
+            if n:
+                path, blobs = save(rows.select("*", *lacking).withColumn("seq", F.col("__i") + start))
         else:
             with in_place(rows.select("*", *lacking), "seq", start) as (numbered, kept, n):
-                path = self._save(writes(numbered), 0) if n else ""
-                first, last = kept.agg(*self._ends()).first() if n else (None, None)
-        return self._commit(self._batch(path, 0, n, start, start + n - 1, first, last) if n else None, version)
+                if n:
+                    path, blobs = save(numbered)
+                    first, last = kept.agg(*self._ends()).first()
+        return self._commit(self._batch(path, 0, n, start, start + n - 1, first, last, blobs) if n else None, version)
 
     def replicate(self, rows: DataFrame) -> int:
         """Adds rows that have their sequence numbers already; those not above the last one are known and left out."""
         version = self.manifest.current()
         rows = rows.where(F.col("seq") >= version.next_seq).dropDuplicates(["seq"]).withColumn("origin", F.lit("replica"))
-        return self._commit(self._write(rows, 0), version)
+        slim, blobs = self._apart(rows)
+        return self._commit(self._write(slim, 0, blobs=blobs), version)
 
     def commit(self, after: Version, add: list[Batch], *rest: object, **more: object) -> Version:
         """A new version; if another writer was first, the batches that were to be added go."""
         try:
             version = self.manifest.commit(after, add, *rest, **more)
         except Conflict:
+            kept = {x for b in (*after.batches, *after.past) for x in b.blobs}
             for b in add:
-                self.manifest.files.delete(b.path)
+                for path in (b.path, *(x for x in b.blobs if x not in kept)):
+                    self.manifest.files.delete(path)
             raise
         for tell in self.on_commit:
             tell(version)
@@ -146,10 +207,17 @@ class ChangeLog:
         self.commit(version, [batch], next_seq=batch.max_seq + 1)
         return batch.max_seq
 
-    def replace(self, rows: DataFrame, next_seq: int | None = None) -> None:
-        """Puts ``rows`` in place of all batches (pruning, a replica made anew)."""
+    def replace(self, rows: DataFrame) -> None:
+        """Puts ``rows`` of this log in place of all batches (pruning); their large values stay where they are."""
+        version = self.manifest.current()
+        batch = self._write(rows, 0, blobs=self._blobs_of((*version.batches, *version.past)))
+        self.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=[])
+
+    def renew(self, rows: DataFrame, next_seq: int) -> None:
+        """Puts whole rows of another log in place of all batches (a replica made anew)."""
         version = self.manifest.current()
-        batch = self._write(rows, 0)
+        slim, blobs = self._apart(rows)
+        batch = self._write(slim, 0, blobs=blobs)
         self.commit(version, [batch] if batch else [], {b.path for b in version.batches}, next_seq=next_seq, past=[])
 
     def _keep(self, version: Version, gone: list[Batch], history: bool) -> list[Batch]:
@@ -157,7 +225,7 @@ class ChangeLog:
         if not history:
             return []
         new = [b for b in self._new(version) if b in gone or b.level]
-        moved = self._write(self.rows_of(new), 0, "past") if new else None
+        moved = self._write(self.rows_of(new), 0, "past", self._blobs_of(new)) if new else None
         return [*version.past, *([moved] if moved else [])]
 
     def compacted(self, files: int | None = None, history: bool = False, file_bytes: int = FILE_BYTES) -> None:
@@ -169,7 +237,7 @@ class ChangeLog:
         if version.batches:
             files = files or max(1, -(-sum(b.bytes for b in version.batches) // file_bytes))
             base = compact([self.read()], self.key, bottom=True).repartitionByRange(files, *self.key).sortWithinPartitions(*self.key)
-            batch = self._write(base, 1)
+            batch = self._write(base, 1, blobs=self._blobs_of(version.batches))
             past = self._keep(version, list(version.batches), history)
             self.commit(version, [batch] if batch else [], {b.path for b in version.batches}, past=past)
 
@@ -190,7 +258,7 @@ class ChangeLog:
         below = self.overlapping([b for b in version.batches if b.level > level + 1], start=first, last=last)
         rows = compact([self.rows_of(merged)], self.key, bottom=not below)
         files = max(1, -(-sum(b.bytes for b in merged) // file_bytes))
-        batch = self._write(rows.repartitionByRange(files, *self.key).sortWithinPartitions(*self.key), level + 1)
+        batch = self._write(rows.repartitionByRange(files, *self.key).sortWithinPartitions(*self.key), level + 1, blobs=self._blobs_of(merged))
         past = self._keep(version, merged, history) if level == 0 else None
         self.commit(version, [batch] if batch else [], {b.path for b in merged}, past=past)
 

@@ -48,8 +48,8 @@ def apply_version(primary: ChangeLog, replica: ChangeLog, version: Version) -> i
         if b.min_seq <= at and b.rows == b.max_seq - b.min_seq + 1:
             at = max(at, b.max_seq + 1)
     if at >= version.next_seq:
-        return replica.replicate(primary.rows_of(news))
-    replica.replace(primary.rows_of(log).withColumn("origin", F.lit("replica")), version.next_seq)
+        return replica.replicate(primary.whole(primary.rows_of(news)))
+    replica.renew(primary.whole(primary.rows_of(log)).withColumn("origin", F.lit("replica")), version.next_seq)
     return version.next_seq - 1
 
 
