@@ -6,13 +6,14 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A Python worker handles about so many bytes of text at a time (one document more at most).
 SLICE_BYTES = 1 << 20
@@ -82,6 +83,12 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def map_rows(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names (dots too): batches in and out have their columns called _0, _1, ..."""
+    plain = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids`` (one column); all their columns. One shuffle of both sides whatever their size: a hash of each part's ids meets its rows."""
     name = fresh(docs.columns, "gone")

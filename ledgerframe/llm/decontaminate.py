@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, slices
+from .common import Scratch, fresh, map_rows, slices
 from .fingerprints import PUNCT, _splitmix, mix, ngrams, words
 
 SIMILARITY = 0.8
@@ -252,7 +252,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = S
     known = fresh(docs.columns, "known")
     for i, (items, more) in enumerate(_groups(benchmark, similarity, group_bytes)):
         group = spark.sparkContext.broadcast(items)
-        kept = docs.withColumn(known, F.col("doc_id").cast("long").isNotNull()).mapInArrow(_without(group, docs.columns.index("text")), docs.schema)
+        kept = map_rows(docs.withColumn(known, F.col("doc_id").cast("long").isNotNull()), _without(group, docs.columns.index("text")), docs.schema)
         if more:
             kept = scratch.write(kept, f"group-{i}")
             group.destroy()

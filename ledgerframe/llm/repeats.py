@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_rows, fresh, slices
+from .common import Scratch, arrow_rows, fresh, map_rows, slices
 from .fingerprints import inside, ngrams, words
 
 MIN_WORDS, SEED = 50, 10
@@ -256,7 +256,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = int(w.start[first + b]) - base if b < len(gone) else len(raw)
                 text = b"".join([*keep, raw[at:]]).decode()
             out.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[3:]], ["text", *batch.schema.names[3:]])
+        columns = [pa.array(out, pa.string()), *batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays(columns, [f"_{i}" for i in range(len(columns))])
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, within: bool = False) -> DataFrame:
@@ -271,7 +272,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     mine = (docs["doc_id"].cast("long") == F.col(names["row_id"])) & (F.xxhash64(docs["text"]) == F.col(names["row_tag"]))
     joined = docs.join(lists.hint("shuffle_hash"), mine, "left").select("text", names["starts"], names["ends"], *others)
-    cut = joined.mapInArrow(_cut, T.StructType([T.StructField("text", T.StringType()), *(f for f in docs.schema.fields if f.name != "text")]))
+    cut = map_rows(joined, _cut, T.StructType([T.StructField("text", T.StringType()), *(f for f in docs.schema.fields if f.name != "text")]))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*(f"`{c}`" for c in docs.columns))

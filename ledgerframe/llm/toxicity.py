@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, map_rows, slices
 
 SAMPLE_ROWS = 20_000
 SHORTEST, LONGEST = 4, 12
@@ -309,8 +309,8 @@ def _score(model):
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; predicted is 1 from ``threshold`` on.
 
-    Null and empty texts get the score of a text in which nothing is caught. Null ids are not held out; rows that repeat stand for
-    themselves; an empty table gives an empty result.
+    Null and empty texts get the score of a text in which nothing is caught; very long texts are read whole. Null ids are not held out; rows that repeat stand for
+    themselves; other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), "doc_id long, score double")
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that score below ``threshold``, all columns as they were."""
+    """The documents that score below ``threshold``, all columns as they were, whatever their names. Each row is judged by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,4 +328,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sam
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
     host and path are empty for a null url or one without ``://``; no rule fits these and they have no alias. A null html has no
-    edges. Rows that repeat stand for themselves. An empty table gives an empty result.
+    edges, very long pages are read whole. Rows that repeat stand for themselves. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     pages = pages.select("page_id", "url", "html")
     scratch = Scratch(pages.sparkSession, "urls")

@@ -64,3 +64,24 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+
+
+def test_extra_columns_and_repeated_ids_pass_every_stage(spark, tmp_path):
+    """Columns that are called like those the stages use inside; ids that repeat with other texts; a very long text."""
+    word = lambda n, p: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(1, word(60, "x")), (1, word(70, "y")), (2, f"{word(60, 'x')} {word(400, 'z')}"), (3, word(30_000, "long")), (4, f"lead {word(30, 'item')} tail"), (5, None), (None, "no id"), (6, word(70, "y"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), j, j, j, j, "k") for j, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, gone int, starts int, row_id int, known int, `a.b` string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, word(30, "item"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        kept.append({r.gone: r.text for r in now.collect()})
+    assert kept[0].keys() == set(range(8))
+    assert kept[1].keys() == {0, 1, 2, 3, 4, 5, 6}  # 6 is a copy of a text of 1
+    assert kept[2][2] == word(400, "z") and {k: v for k, v in kept[2].items() if k != 2} == {j: t for j, (_, t) in enumerate(rows[:7]) if j != 2}
+    assert kept[3].keys() == {0, 1, 2, 3, 5, 6}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 6
