@@ -1,7 +1,8 @@
 """From raw documents to token ids in five stages, each written as Parquet and read again as the next one's input.
 
-All stages but the last return the columns of ``documents``. Null texts count as empty texts and stay; rows with a null id stay
-(no group, passage or match can name them); an empty table passes through.
+All stages but the last return the columns of ``documents``, whatever others there are and whatever they are called. Null texts count as
+empty texts and stay; rows with a null id stay (no group, passage or match can name them); rows that repeat an id are judged and cut one by one,
+but near duplicates go by id; very long texts are read whole; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with the source bytes of each piece, beside what tells the document's origin."""
+    """Token ids with the source bytes of each piece, and their number, for each doc_id."""
     rows = pieces.encode(docs)
     return rows.select("doc_id", "ids", "starts", "ends", F.size("ids").cast("long").alias("n_tokens"))
 
