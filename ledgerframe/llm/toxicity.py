@@ -1,7 +1,8 @@
 """Toxic documents: Levenshtein automata intersected with a lexicon trie, and context windows around what they catch.
 
 1. The lexicon is learned from labelled rows: stems (word beginnings, whole words included) that mark toxic documents and hardly ever
-   others. Of nested stems the longest that loses no documents stays. A stem whose near words stand in clean documents too is
+   others; one that is no more one-sided than some of as many other terms would be by chance is none. Of nested stems the longest that loses no
+   documents stays. A stem whose near words stand in clean documents too is
    caught exactly only.
 2. One automaton walks the trie of all stems with up to one or two edits at once (its states are sets of trie nodes and edits, made
    deterministic as they are met). A word is caught exactly when it begins with a stem, or fuzzily when as a whole it is
@@ -34,6 +35,8 @@ SHORTEST, LONGEST = 4, 12
 FUZZY_LETTERS = 5
 WINDOW = 12
 CACHE_WORDS = 200_000
+#: Of all terms in so many documents as a stem, fewer than this may be as one-sided by chance.
+MOST_NOISE = 0.5
 _WORD = re.compile(r"\w+")
 #: Marks that open or close a quotation, and words of address in the languages at hand.
 _QUOTES = re.compile("[\"“”„«»‹›]")
@@ -209,6 +212,13 @@ def _lexicon(rows: list, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(chosen, key=lambda t: (-by[t][0], t))
 
 
+def chance(toxic: int, clean: int, share: float) -> float:
+    """The chance that of ``toxic + clean`` documents, each toxic with ``share``, at least ``toxic`` are."""
+    n = toxic + clean
+    log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(toxic, n + 1)]
+    return min(1.0, sum(math.exp(x) for x in log))
+
+
 def _short(stems: list[str]) -> frozenset[str]:
     return frozenset(s for s in stems if len(s) < FUZZY_LETTERS)
 
@@ -278,14 +288,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if n > sample_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(sample_rows / n * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.write(texts.join(F.broadcast(labels), "doc_id").select("toxic", "text"), "sample")  # at most sample_rows small rows
+    # labels: at most sample_rows small rows; copies of a text tell nothing more
+    rows = scratch.write(texts.join(F.broadcast(labels), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "sample")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Model([], frozenset(), [])
     least = max(3, size[1] // 200)
     terms = rows.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    terms = scratch.write(terms, "terms")
     best = terms.where((F.col("toxic") >= least) & (F.col("toxic") / size[1] >= 30 * (F.col("clean") + 0.5) / size[0]))  # bounded by the sample
-    stems = _lexicon(best.collect(), size[1], size[0])
+    alike = {r["n"]: r["terms"] for r in terms.groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("terms")).collect()}  # a row for each number of documents
+    share = size[1] / (size[0] + size[1])
+    stems = _lexicon([r for r in best.collect() if chance(r["toxic"], r["clean"], share) * alike[r["toxic"] + r["clean"]] < MOST_NOISE], size[1], size[0])
     if not stems:
         return Model([], frozenset(), [])
     near = rows.mapInArrow(_near(spark.sparkContext.broadcast(stems)), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
