@@ -106,37 +106,49 @@ def _code(index):
     return run
 
 
-def _told(index: Index, slot: int, key: int, x: pa.StructArray, y: pa.StructArray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of two blocks of a bucket, and which of their pairs are candidates that this table and key are to tell."""
-    xi, yi = np.asarray(x.field("id")), np.asarray(y.field("id"))
-    xc, yc = (np.asarray(v.field("codes").flatten()).view(np.uint64).reshape(len(v), -1) for v in (x, y))
+def _tells(index: Index, slot: int, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs (rows of codes x and y, met under ``key``) this table and key are to tell."""
     mask = np.uint64((1 << index.width) - 1)
-    first = xc[:, :1] ^ yc[:, 0]
-    ok = np.bitwise_count(first) <= FAR
-    if same:
-        ok &= yi > xi[:, None]
+    ok = np.ones(len(x), bool)
     for t in range(slot + 1):
         r, at = index.place(t)
-        diff = ((xc[:, r : r + 1] ^ yc[:, r]) >> np.uint64(at)) & mask
+        mine = (x[:, r] >> np.uint64(at)) & mask
+        diff = mine ^ ((y[:, r] >> np.uint64(at)) & mask)
         n = np.bitwise_count(diff)
         if t < slot:
             ok &= n > 2
-    # the key that tells: the part itself, the smaller of both, or the smaller of the two between
-    r, at = index.place(slot)
-    mine, key = (xc[:, r : r + 1] >> np.uint64(at)) & mask, np.uint64(key)
-    tells = np.where(n == 0, key == mine, np.where(n == 1, key == np.minimum(mine, mine ^ diff), key < key ^ diff))
-    return xi, yi, ok & tells & (n <= 2)
+    # the part itself, the smaller of both, or the smaller of the two between
+    return ok & (n <= 2) & np.where(n == 0, key == mine, np.where(n == 1, key == np.minimum(mine, mine ^ diff), key < key ^ diff))
 
 
 def _candidates(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (slot, key, rows) of small buckets: candidate pairs."""
+        """Rows (slot, key, rows) of small buckets: candidate pairs, the smaller id first."""
         for batch in batches:
+            slots, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            members = batch.column(2)
+            size = np.diff(np.asarray(members.offsets))
+            ids = np.asarray(members.flatten().field("id"))
+            codes = np.asarray(members.flatten().field("codes").flatten()).view(np.uint64).reshape(len(ids), -1)
+            start = np.cumsum(size) - size
+            pairs = np.cumsum(size.astype(np.int64) * (size - 1) // 2)
+            # buckets with a million pairs or so at once
+            cuts = np.searchsorted(pairs, np.arange(1 << 20, pairs[-1] + 1 if len(pairs) else 0, 1 << 20))
             found = [np.zeros((2, 0), np.int64)]
-            for slot, key, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x, y, ok = _told(index.value, slot, key, rows.values, rows.values, True)
-                i, j = np.nonzero(ok)
-                found.append(np.stack([x[i], y[j]]))
+            for a, b in zip([0, *np.unique(cuts)], [*np.unique(cuts), len(size)], strict=True):
+                which = np.repeat(np.arange(a, b), size[a:b])
+                row = np.arange(len(which)) + (start[a] if a < b else 0)
+                later = start[which] + size[which] - 1 - row
+                i = np.repeat(row, later)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+                bucket = np.repeat(which, later)
+                near = np.flatnonzero(np.bitwise_count(codes[i, 0] ^ codes[j, 0]) <= FAR)
+                i, j, bucket = i[near], j[near], bucket[near]
+                for slot in np.unique(slots[bucket]).tolist():
+                    mine = np.flatnonzero(slots[bucket] == slot)
+                    mine = mine[_tells(index.value, slot, keys[bucket[mine]], codes[i[mine]], codes[j[mine]])]
+                    x, y = ids[i[mine]], ids[j[mine]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
             a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -166,8 +178,15 @@ def _dense(index, least: float):
         for batch in batches:
             out: list[tuple] = []
             for slot, key, same, xs, ys in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
-                x, y, ok = _told(index.value, slot, key, xs.values, ys.values, same)
-                if not ok.any():
+                x, y = (np.asarray(z.values.field("id")) for z in (xs, ys))
+                p, q = (np.asarray(z.values.field("codes").flatten()).view(np.uint64).reshape(len(z.values), -1) for z in (xs, ys))
+                ok = np.bitwise_count(p[:, :1] ^ q[:, 0]) <= FAR
+                if same:
+                    ok &= y > x[:, None]
+                i, j = np.nonzero(ok)
+                told = _tells(index.value, slot, np.uint64(key), p[i], q[j])
+                ok[i, j] = told
+                if not told.any():
                     continue
                 u, v = matrix(xs.values.field("v")), matrix(ys.values.field("v"))
                 cosine = (u @ v.T) / (np.sqrt((u * u).sum(1))[:, None] * np.sqrt((v * v).sum(1)))
@@ -216,7 +235,7 @@ def _links(heads: DataFrame, least: float, sample_rows: int, scratch: Scratch) -
     entries = scratch.write(entries.select("id", "label", "size", "codes", "slot", around.alias("key")), "entries")
     counts = scratch.write(entries.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1"), "counts")
     small = entries.join(counts.where(f"members <= {BLOCK}"), bucket).groupBy(*bucket).agg(F.collect_list(F.struct("id", "codes")).alias("rows"))
-    with arrow_rows(spark, 500):
+    with arrow_rows(spark, 2000):
         pairs = scratch.write(small.select("slot", "key", "rows").mapInArrow(_candidates(index), "a long, b long"), "pairs")
     v = heads.select("id", "v", "n")
     near = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
