@@ -161,3 +161,70 @@ def test_replication_resumes_and_repeats(spark, tmp_path):
     go()
     assert rows(b.rows()) == {("x", "2")} and b.log().count() == 4
     assert b.changes.replicate(a.log()) == 4 and b.log().count() == 4  # known rows change nothing
+
+
+@pytest.mark.parametrize(("preset", "options"), [("NORMAL", {"max_l0": 2, "level_bytes": 1, "blob_bytes": 8}), ("FAST", {"max_l0": 3, "blob_bytes": 8}), ("DURABLE", {"ordering": "natural"})])
+def test_random_writes_compactions_and_replicas_match_a_dict(spark, tmp_path, preset, options):
+    """Levels, large values, pruned reads, history and a replica that follows now and then, against a dict."""
+    rng = random.Random(len(preset))
+    a, b = (Database(spark, f"file://{tmp_path}/{x}", preset, **options).table("kv", "k int, v string", "k") for x in "ab")
+    state_, states, seq = {}, {}, 0
+    for step in range(9):
+        kind = rng.choice(["list", "list", "frame", "remove", "compact"])
+        keys = [rng.randrange(-15, 15) for _ in range(rng.randrange(1, 8))]
+        if kind in ("list", "frame"):
+            rows_ = [(k, rng.choice("xyz") * rng.choice([1, 3, 20]) + str(step)) for k in keys]
+            seq = a.put(rows_ if kind == "list" else spark.createDataFrame(rows_, "k int, v string").coalesce(1))
+            state_.update(rows_)
+        elif kind == "remove":
+            seq = a.remove(keys)
+            state_ = {k: v for k, v in state_.items() if k not in keys}
+        else:
+            a.compact()
+        states[seq] = dict(state_)
+        if step % 4 == 3:
+            replicate(spark, a.changes, b.changes, f"file://{tmp_path}/cp").awaitTermination()
+            assert rows(b.rows()) == set(state_.items())
+    assert rows(a.rows()) == set(state_.items()) and a.count() == len(state_)
+    for k in rng.sample(range(-16, 16), 4):
+        assert (a.get(k).v if k in state_ else a.get(k)) == state_.get(k) and a.exists(k) == (k in state_)
+    natural = options.get("ordering") == "natural"
+    place = (lambda k: k) if natural else (lambda k: (k < 0, k))
+    assert [r.k for r in a.keys().collect()] == sorted(state_, key=place)
+    start, end = sorted(rng.sample(range(-15, 15), 2), key=place)
+    assert [(r.k, r.v) for r in a.scan(start, end).collect()] == [(k, state_[k]) for k in sorted(state_, key=place) if place(start) <= place(k) < place(end)]
+    if preset != "FAST":
+        for seq in rng.sample(sorted(states), 2):
+            assert rows(a.as_of(seq)) == set(states[seq].items())
+        seq = min(states)
+        a.rollback_to(seq)
+        assert rows(a.rows()) == set(states[seq].items())
+
+
+def test_as_of_joins_in_blocks(spark):
+    rng = random.Random(2)
+    log = [(i + 1, rng.choice("PPD"), rng.randrange(4), rng.randrange(99)) for i in range(300)]
+    probes = [(i, rng.choice([0, 1, 2, 3, 9, None]), rng.choice([rng.randrange(-5, 320), None])) for i in range(200)]
+    want = set()
+    for i, k, t in probes:
+        found = [x for x in log if x[2] == k and t is not None and x[0] <= t]
+        want.add((i, k, t, *(found[-1][:2] if found else (None, None)), found[-1][3] if found else None))
+    df, asked = spark.createDataFrame(log, "seq long, op string, k int, v int"), spark.createDataFrame(probes, "id int, k int, t int")
+    for block_rows in (10**6, 40, 1):
+        assert rows(history.probe_as_of(df, ["k"], asked, "t", "id", block_rows)) == want
+    assert rows(history.probe_as_of(df.where("false"), ["k"], asked, "t", "id")) == {(*p, None, None, None) for p in probes}
+
+
+def test_a_large_value_that_was_changed_on_disk_is_not_read(spark, tmp_path):
+    import glob
+
+    t = Database(spark, f"file://{tmp_path}/db", blob_bytes=10).table("kv", SCHEMA, "k")
+    t.put([("a", "x" * 50), ("b", "y")])
+    (path,) = {p.rsplit("/", 1)[0] for p in glob.glob(f"{tmp_path}/db/tables/kv/blobs/*/*.parquet")}
+    spark.read.parquet(f"file://{path}").withColumn("text", F.lit("z" * 50)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/other")
+    for p in glob.glob(f"{path}/*"):
+        import os
+
+        os.remove(p)
+    spark.read.parquet(f"file://{tmp_path}/other").write.mode("append").parquet(f"file://{path}")
+    assert rows(t.rows()) == {("b", "y")} and t.get("a") is None
