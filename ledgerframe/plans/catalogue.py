@@ -466,6 +466,12 @@ def percent_decoding(spark, d):
     return _table(spark, d, "pages").select("page_id", hashing.percent_decode(F.regexp_replace("url", "/", "%20")).alias("decoded"))
 
 
+@_query("SELECT page_id, url_decode(replace(url, '+', ' ')) || '?q=a b c%zz%4' AS decoded FROM pages")
+def percent_escapes(spark, d):
+    """Every url with escaped slashes, escapes and plus signs of its own behind it, and percent signs that begin no escape."""
+    return _table(spark, d, "pages").select("page_id", hashing.percent_decode(F.concat(F.regexp_replace("url", "/", "%2F"), F.lit("?q=a%20b+c%zz%4"))).alias("decoded"))
+
+
 @_query("WITH f AS (SELECT o_orderkey // 100 AS file, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) SELECT file FROM f WHERE last >= 300 AND first < 900")
 def file_pruning_all(spark, d):
     orders = _table(spark, d, "orders").withColumn("file", F.floor(F.col("o_orderkey") / 100))
