@@ -665,3 +665,19 @@ def test_comparing_sorted_ranges_in_batches(within):
             if len(set(same)) > 1:
                 want.append((k, d, t, p, min(same)[0], (d, t) == min(same)[:2]))
         assert sorted(got) == sorted(want)
+
+
+def test_toxicity_of_very_long_and_repeated_rows(spark):
+    model = toxicity.Model(["rotten", "scoundrel"], frozenset(), [2.0, 0.0, -1.0, 0.5, 0.5, 0.0, -1.0])
+    filler = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, f"{filler} you rotten scoundrel"), (2, filler), (3, "rotten"), (3, "rotten"), (3, "kind"), (4, "r0tten"), (None, "rotten"), (5, "ü" * 10_000)]
+    got = sorted((r.doc_id or 0, r.predicted) for r in toxicity.score(docs_of(spark, rows), model, threshold=0.45).collect())
+    assert got == [(0, 1), (1, 1), (2, 0), (3, 0), (3, 1), (3, 1), (4, 1), (5, 0)]
+    assert toxicity.chance(3, 0, 0.1) == pytest.approx(1e-3) and toxicity.chance(0, 5, 0.1) == 1.0 and toxicity.chance(1, 1, 0.5) == pytest.approx(0.75)
+
+
+def test_url_rules_of_very_long_pages(spark):
+    filler = "<p>text</p>" * 200_000
+    rows = [(1, "http://a.org/x", f'{filler}<link rel="canonical" href="http://b.net/y">'), (2, "http://c.org/" + "p" * 100_000, filler), (1, "http://a.org/x", f'{filler}<link rel="canonical" href="http://b.net/y">')]
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, None, "block"), (1, None, "block"), (2, None, "allow")]
