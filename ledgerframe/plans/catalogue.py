@@ -797,7 +797,7 @@ def stored_options(spark, d):
 
 
 @_query("SELECT unnest(['preset', 'option', 'ordering', 'key', 'columns', 'new table', 'no such column']) AS what, TRUE AS refused")
-def options_that_are_refused(spark, d):
+def refused_options(spark, d):
     t = _stored(spark, d, "region", "r_regionkey")
     db, new = t.database, lambda *a, **b: Database(spark, workspace(spark, "database"), *a, **b)
     calls = {
