@@ -482,6 +482,23 @@ def file_pruning_all(spark, d):
 _SEGMENTS = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 5 <> 0"
 
 
+@_query("SELECT count(*) AS last_seq, 'lineitem' AS written FROM lineitem")
+def bulk_put(spark, d):
+    """One write of every line item; the last sequence number is their number."""
+    rows = _table(spark, d, "lineitem")
+    t = Database(spark, workspace(spark, "database")).table("lineitem", rows.schema, ["l_orderkey", "l_linenumber"])
+    return _answer(spark, [(t.put(rows), t.name)], "last_seq long, written string")
+
+
+@_query("SELECT l_orderkey, l_linenumber, max(rn) AS seq FROM (SELECT l_orderkey, l_linenumber, row_number() OVER () AS rn FROM lineitem) GROUP BY ALL")
+def bulk_put_newest(spark, d):
+    """The newest write of every key after one write of all line items, whose keys repeat: the last in their order."""
+    rows = _table(spark, d, "lineitem")
+    t = Database(spark, workspace(spark, "database")).table("lineitem", rows.schema, ["l_orderkey", "l_linenumber"])
+    t.put(rows)
+    return state.current(t.changes.read(), t.key).select("l_orderkey", "l_linenumber", "seq")
+
+
 @_query(_SEGMENTS)
 def table_lifecycle(spark, d):
     """A table on storage: put, change, remove, compact, read."""
