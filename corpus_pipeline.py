@@ -52,8 +52,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the whole table ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)  # nothing reads it any more
+        last = name
     return docs
 
 
