@@ -25,11 +25,11 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1, part
     so the one window over all of them is small). The ranges are kept, because dealing the rows out again would sample
     other bounds; a lost part is made again within the same bounds.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [c.alias(f"__o{i}") for i, c in enumerate(order)]
     names = [f"__o{i}" for i in range(len(order))]
-    ranged = df.select("*", *keys).repartitionByRange(n, *names).sortWithinPartitions(*names)
+    placed = df.select("*", *keys)
+    ranged = placed.repartitionByRange(parts, *names) if parts else placed.repartitionByRange(*names)  # else small ranges are put together
+    ranged = ranged.sortWithinPartitions(*names)
     ranged = _split(ranged.select(*[F.col(f"`{c}`") for c in df.columns])).persist(StorageLevel.MEMORY_AND_DISK)
     sums = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
