@@ -137,7 +137,8 @@ class _Block:
         self.id, self.component, self.size = (np.asarray(rows.field(x)) for x in ("id", "component", "n_shingles"))
         self.signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint8).reshape(len(rows), -1)
         self.bands = np.asarray(rows.field("bands").flatten()).reshape(len(rows), -1)
-        self.sets = [np.asarray(x.values) for x in rows.field("shingles")] if "shingles" in [f.name for f in rows.type] else None
+        # sorted as the unsigned numbers that they are
+        self.sets = [np.asarray(x.values).view(np.uint64) for x in rows.field("shingles")] if "shingles" in [f.name for f in rows.type] else None
 
 
 def _likely_in(key: int, x: _Block, y: _Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:

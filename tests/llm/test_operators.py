@@ -474,6 +474,22 @@ def test_near_duplicates_of_ids_that_repeat_with_other_texts(spark):
     assert got == {(5, 26): (5, True), (9, 27): (5, False), (7, 27): (5, False), (11, 26): (11, True), (12, 27): (11, False), (13, 1): (13, True), (14, 0): (14, True)}
 
 
+def test_a_large_group_held_together_by_one_text(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 152):
+        w = list(base)
+        for at in rng.sample(range(0, 200, 5), 5):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    # all are linked with the first and with no other, so their buckets are large and few of them have the first as centre
+    assert all(linked(sets[0], x) for x in sets[1:]) and not any(linked(x, y) for i, x in enumerate(sets[1:]) for y in sets[1 : i + 1])
+    assert {r.component_id for r in minhash.near_duplicates(docs_of(spark, rows), size=4).collect()} == {1}
+
+
 def test_without_ids_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (None, "c", 4), (2, "d", 5)], "doc_id int, gone string, Gone_ int")
     left = common.without_ids(docs, spark.createDataFrame([(2,)], "x long"))
