@@ -5,7 +5,7 @@
    documents stays. A stem whose near words stand in clean documents too is
    caught exactly only.
 2. One automaton walks the trie of all stems with up to one or two edits at once (its states are sets of trie nodes and edits, made
-   deterministic as they are met). A word is caught exactly when it begins with a stem, or fuzzily when as a whole it is
+   deterministic as they are met, and as many held as a bounded memory takes). A word is caught exactly when it begins with a stem, or fuzzily when as a whole it is
    within the allowed edits of one: one from ``FUZZY_LETTERS`` letters on, two from twice as many minus two. A shorter stem allows
    one edit where no clean labelled document holds a word near it.
 3. Every catch is scored in a window of words: inside quotation marks it counts as quotation, next to others or beside words of
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
@@ -35,6 +36,8 @@ SHORTEST, LONGEST = 4, 12
 FUZZY_LETTERS = 5
 WINDOW = 12
 CACHE_WORDS = 200_000
+#: An automaton's states are forgotten, and made again as they are met, once they take about so many bytes; one takes STATE_BYTES besides its places.
+MOST_STATES, STATE_BYTES = 48 << 20, 400
 #: Of all terms in so many documents as a stem, fewer than this may be as one-sided by chance.
 MOST_NOISE = 0.5
 _WORD = re.compile(r"\w+")
@@ -67,8 +70,12 @@ class Automaton:
                 self.allowed[node] = max(self.allowed[node], edits)
             self.stem[node], self.name[node] = edits + 1, stem
         self.letters = {c for x in self.children for c in x}
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.held = 0
+        self.states: dict[bytes, int] = {}
+        self.sets: list[bytes] = []  # four bytes a place: its node and, in the last two bits, the edits
         self.next: list[dict[str, int]] = []
         self.exact: list[bool] = []
         self.fuzzy: list[tuple[str, ...]] = []  # the stems that a whole word ending here is near to
@@ -85,18 +92,20 @@ class Automaton:
                 if edits + 1 <= self.allowed[child] and edits + 1 < cost.get(child, 9):
                     cost[child] = edits + 1
                     todo.append((child, edits + 1))
-        key = frozenset(cost.items())
+        key = array("I", sorted(node << 2 | edits for node, edits in cost.items())).tobytes()
         if key not in self.states:
+            self.held += len(key) + STATE_BYTES
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            self.exact.append(any(e == 0 and self.stem[n] for n, e in key))
-            self.fuzzy.append(tuple(sorted(self.name[n] for n, e in key if e < self.stem[n])))
+            self.exact.append(any(e == 0 and self.stem[n] for n, e in cost.items()))
+            self.fuzzy.append(tuple(sorted(self.name[n] for n, e in cost.items() if e < self.stem[n])))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
         cost: dict[int, int] = {}
-        for node, edits in self.sets[state]:
+        for place in memoryview(self.sets[state]).cast("I"):
+            node, edits = place >> 2, place & 3
             if edits + 1 <= self.allowed[node]:
                 cost[node] = min(cost.get(node, 9), edits + 1)  # a letter too many
             for letter, child in self.children[node].items():
@@ -116,6 +125,8 @@ class Automaton:
 
     def _walk(self, word: str) -> int | None:
         """The state behind a word; None: it begins with a stem."""
+        if self.held > MOST_STATES:
+            self._forget()
         state = self.start
         for c in word:
             if c not in self.letters:
@@ -289,13 +300,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(sample_rows / n * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # labels: at most sample_rows small rows; copies of a text tell nothing more
-    rows = scratch.write(texts.join(F.broadcast(labels), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "sample")
+    rows = texts.join(F.broadcast(labels), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    # a file for each core at most: the sample is bounded, and every file costs processes where Spark has no native code for permissions
+    few = spark.sparkContext.defaultParallelism
+    rows = scratch.write(rows.coalesce(few), "sample")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Model([], frozenset(), [])
     least = max(3, size[1] // 200)
     terms = rows.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    terms = scratch.write(terms, "terms")
+    terms = scratch.write(terms.coalesce(few), "terms")
     best = terms.where((F.col("toxic") >= least) & (F.col("toxic") / size[1] >= 30 * (F.col("clean") + 0.5) / size[0]))  # bounded by the sample
     alike = {r["n"]: r["terms"] for r in terms.groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("terms")).collect()}  # a row for each number of documents
     share = size[1] / (size[0] + size[1])

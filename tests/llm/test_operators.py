@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import common, decontaminate, minhash, pagediff, pieces, repeats, scoring, tokenfiles, toxicity, urls, vectors
-from ledgerframe.llm.common import Scratch, slices
+from ledgerframe.llm.common import Scratch, setting, slices
 from ledgerframe.llm.components import connected_components
 from ledgerframe.llm.fingerprints import PUNCT, inside, ngrams, words
 
@@ -390,6 +391,41 @@ def test_wide_lexicons_and_short_stems(spark):
     assert automaton.catch("dolt") == 2 and automaton.catch("bolt") == automaton.catch("do1t") == 0  # clean documents hold a near word
 
 
+def test_automata_of_wide_lexicons_take_bounded_memory(monkeypatch):
+    rng = random.Random(3)
+    stems, met = (["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 10))) for _ in range(n)] for n in (500, 3000))
+    met += [w[:2] + w[3:] for w in stems if len(w) > 4]
+    tracemalloc.start()
+    automaton = toxicity.Automaton(stems)
+    caught = [automaton.catch(w) for w in met]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20 << 20 and set(caught) == {0, 1, 2}  # 37 MB when states were sets of tuples
+    # what is caught does not depend on how many states are held
+    monkeypatch.setattr(toxicity, "MOST_STATES", 1 << 18)
+    automaton, most = toxicity.Automaton(stems), 0
+    for word, expected in zip(met, caught, strict=True):
+        assert automaton.catch(word) == expected
+        most = max(most, automaton.held)
+    assert most < 1 << 19
+
+
+def test_a_toxicity_fit_writes_few_files(spark, monkeypatch):
+    files, write = {}, Scratch.write
+
+    def counted(self, df, name, **options):
+        out = write(self, df, name, **options)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rows = [(i, f"text {i * 7919} {'villainous' if i % 5 == 0 else 'kind'}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    with setting(spark, "spark.sql.shuffle.partitions", "40"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        assert toxicity.fit(docs_of(spark, rows), labels).stems
+    assert set(files) == {"sample", "terms"} and max(files.values()) <= spark.sparkContext.defaultParallelism
+
+
 PAGES = [
     (1, "http://a.net/x", '<link rel="canonical" href="http://b.com/y">'), (2, "http://b.com/y#z", "t"), (3, "http://c.org/q", '<meta http-equiv="refresh" content="0;url=http://b.com/y">'),
     (4, "http://e.com/fr/1", "<link rel=canonical href=/fr/2>"), (5, "http://e.com/fr/2", ""), (6, None, None), (7, "nourl", "<link rel=canonical href=z>"), (8, "https://x.org/fr/1", '<link href="//k.net/a" rel="canonical">'),
